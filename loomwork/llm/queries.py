@@ -7,13 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontam, langid, simhash, toxicity
+from .common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    scored = langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "language.*")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts and labels of the rows that may be learnt from."""
+    labels = _table(spark, sf_dir, "labels").where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull()).select("doc_id", label)
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(_labelled(spark, sf_dir, "toxic"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, model, to="score")
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,8 +48,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN).select("doc_id", "bpe.*")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_text("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_bpe": op7_bpe}
+    return {"op1_language": op1_language, "op4_toxicity": op4_toxicity, "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
