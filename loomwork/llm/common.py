@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     costs no more than the tasks that it ran."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
