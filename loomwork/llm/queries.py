@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash, toxicity
-from .common import remainder
+from . import bpe, decontam, langid, lm, permutation, quality, simhash, tokenfile, toxicity, warc
+from .common import remainder, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,25 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "language.*")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = shared_path(spark, "warc")
+    return warc.read(warc.write(pages, folder), folder)
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts and labels of the rows that may be learnt from."""
     labels = _table(spark, sf_dir, "labels").where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull()).select("doc_id", label)
     return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit(_labelled(spark, sf_dir, "quality"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, model, to="score")
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(_labelled(spark, sf_dir, "toxic"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +49,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
+    model, counts = lm.fit(docs.where(~F.col("held_out")))
+    scored = lm.score(docs, model, counts)
+    return scored.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -48,13 +68,40 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN).select("doc_id", "bpe.*")
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest, folder = tokenfile.save(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(manifest, folder)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_text("fp").alias("fingerprint"), "component_id")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = permutation.saved(permutation.usable(_table(spark, sf_dir, "embeddings")))
+    index = permutation.fit(rows)
+    if index is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return permutation.search(rows, F.pmod("vec_id", F.lit(20)) == 0, index)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op4_toxicity": op4_toxicity, "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op9_simhash": op9_simhash}
+    return {
+        "op1_language": op1_language,
+        "op2_warc": op2_warc,
+        "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
+        "op5_lm": op5_lm,
+        "op6_decontamination": op6_decontamination,
+        "op7_bpe": op7_bpe,
+        "op8_tokens": op8_tokens,
+        "op9_simhash": op9_simhash,
+        "op10_neighbours": op10_neighbours,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
