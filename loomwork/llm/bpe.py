@@ -203,20 +203,21 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
     return docs.withColumn(to, data(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encodes and decodes each text and adds `bpe`: the ids' number and SHA-256, and that of the decoded bytes. One
-    pass, so that the ids need not leave the worker."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each text and adds `bpe`: the ids' number and SHA-256, and that of the decoded bytes; with
+    `keep_ids` the ids too. One pass, so that the ids need not leave the worker."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()]
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:binary" * keep_ids + ">")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path, pattern)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            rows = []
             for x in byte_rows(batch):
                 ids = own.encode(x.decode("utf-8", "replace"))
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), ids if keep_ids else None))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k, _ in zip(columns, kinds, names)], names)
 
     return docs.withColumn("bpe", both(raw(text)))

@@ -70,3 +70,21 @@ def byte_rows(batch: pa.Array) -> Iterator[bytes]:
     """Each value's bytes; null as empty."""
     for value in batch:
         yield value.as_py() or b""
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], list[int]]:
+    """Texts and labels 0 or 1 of `rows` labelled keys of each class at most, those of the least hashes, without texts
+    that are null or longer than `longest` bytes. The keys are chosen among the labels alone and then sent to the
+    texts, so no text is dealt out; of repeated keys, four rows for each chosen one are taken at most over all."""
+    chosen: list[tuple[int, int]] = []
+    for value in (0, 1):
+        keys = labels.where((F.col(label) == value) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct()
+        chosen += [(r["k"], value) for r in keys.orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
+    if not chosen:
+        return [], []
+    spark = docs.sparkSession
+    small = F.broadcast(spark.createDataFrame(chosen, "k bigint, y int"))
+    usable = docs.select(F.col(key).cast("bigint").alias("k"), raw(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= longest))
+    found = usable.join(small, "k").select("k", "y", "t").limit(8 * rows).toArrow()
+    order = sorted(zip(found["k"].to_pylist(), found["y"].to_pylist(), found["t"].to_pylist()))
+    return [t for _, _, t in order], [y for _, y, _ in order]

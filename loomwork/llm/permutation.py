@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Pivots, those that represent a vector, the share of a shard that is reranked, and rows of a shard, about.
-PIVOTS, PREFIX, SHARE, SHARD_ROWS = 128, 24, 0.25, 4096
+#: Pivots, those that represent a vector, the share of a shard that is reranked, times k at least, rows of a shard, about.
+PIVOTS, PREFIX, SHARE, LEAST, SHARD_ROWS = 256, 64, 0.25, 25, 4096
 #: Queries of a shard computed together.
 TOGETHER = 256
 
@@ -100,7 +100,7 @@ class Shard:
         asked = np.concatenate([asked, np.zeros((len(asked), 1))], axis=1)
         ranks = prefixes(asked, self.index.pivots, self.index.prefix)
         n = len(self.ids)
-        take = min(n, max(4 * k, int(np.ceil(share * n))))
+        take = min(n, max(LEAST * k, int(np.ceil(share * n))))
         for low in range(0, len(queries), TOGETHER):
             sums = self.footrules(ranks[low : low + TOGETHER])
             least = np.partition(sums, n - take, axis=1)[:, n - take]
@@ -117,13 +117,13 @@ class Shard:
 
 
 def fit(rows: DataFrame, pivots: int = PIVOTS, prefix: int = PREFIX, shard_rows: int = SHARD_ROWS) -> Index | None:
-    """rows: as `usable` gives them. The pivots are the vectors of the least hashes: a sample of `pivots` rows."""
+    """rows: as `usable` gives them. The pivots are a sample of `pivots` distinct vectors of rows of the least hashes."""
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     total = rows.agg(F.count("*").alias("n"), F.max(squares).alias("m")).first()
     if not total["n"]:
         return None
     largest = float(np.sqrt(total["m"])) * (1 + 1e-12)
-    distinct = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(4 * pivots).collect()  # copies may be among them
+    distinct = rows.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h", "v").limit(4 * pivots).collect()  # copies may be among them
     found = np.unique(np.array([r["v"] for r in distinct]), axis=0)
     chosen = found[np.random.default_rng(3).permutation(len(found))[:pivots]]
     shards = max(1, -(-total["n"] // shard_rows))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw
+from .common import byte_rows, labelled_sample, raw
 
 #: Bytes of a filter and between its places; sizes of a byte's vector, and of the filter bank and the hidden layer.
 WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 8, 2, 8, 40, 16
@@ -174,22 +174,8 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
     return Model(p)
 
 
-def sample(labelled: DataFrame, text: str, label: str, key: str, rows: int = LEARN_ROWS, longest: int = LEARN_BYTES) -> tuple[list[bytes], list[int]]:
-    """Up to `rows` labelled texts of each class, those of the least hash of key and text, none longer than `longest`
-    bytes."""
-    texts: list[bytes] = []
-    labels: list[int] = []
-    usable = labelled.where(F.col(text).isNotNull() & (F.octet_length(text) <= longest))
-    for value in (0, 1):
-        part = usable.where(F.col(label) == value).select(raw(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")).orderBy("h", "t").limit(rows)
-        found = [bytes(r["t"]) for r in part.select("t").collect()]
-        texts += found
-        labels += [value] * len(found)
-    return texts, labels
-
-
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = LEARN_ROWS) -> Model:
-    return train(*sample(labelled, text, label, key, rows))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = LEARN_ROWS) -> Model:
+    return train(*labelled_sample(docs, labels, label, rows, LEARN_BYTES, key, text))
 
 
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -29,22 +29,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(pages, folder), folder)
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts and labels of the rows that may be learnt from."""
-    labels = _table(spark, sf_dir, "labels").where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull()).select("doc_id", label)
-    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def _learnable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and the labels that may be learnt from."""
+    return _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.fit(_labelled(spark, sf_dir, "quality"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, labels = _learnable(spark, sf_dir)
+    model = quality.fit(docs, labels)
     scored = quality.score(docs, model, to="score")
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, labels = _learnable(spark, sf_dir)
+    model = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, model, to="score")
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -84,10 +84,10 @@ def cuts(free: list[int], distance: int, blocks: int) -> list[int]:
 
 
 def blocks_for(classes: int, distance: int) -> int:
-    """Blocks so that about as many contents are possible as there are classes, within 8: more blocks list a class
-    more often, under contents that are rarer."""
+    """Blocks so that some sixteen classes share contents by chance, as far as four more blocks than bits that differ
+    allow: more blocks list a class more often, under contents that are rarer."""
     for blocks in range(distance + 1, distance + 5):
-        if 64 * (blocks - distance) // blocks >= np.log2(max(2, classes)) - 1:
+        if 64 * (blocks - distance) // blocks >= np.log2(max(2, classes)) - 4:
             return blocks
     return distance + 4
 
@@ -264,12 +264,28 @@ def reach(links: DataFrame) -> DataFrame:
         both = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _rooted(classes: DataFrame, distance: int) -> DataFrame:
+    """classes: fp, least. The same with each component's root."""
+    roots = reach(near_links(classes.select("fp"), distance))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, fp, and component_id, the smallest doc_id that links reach."""
     marked = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", words, seed).select("doc_id", "fp"), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = reach(near_links(classes.select("fp"), distance))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(classes, distance)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+    """The row of the smallest doc_id of each component, with all its columns; of rows that repeat it, one. A null
+    doc_id stands after all others."""
+    marked = written(fingerprints(docs, text, "__fp", words, seed), "marked")
+    classes = written(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(doc_id).alias("least")), "classes")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("kept")
+    kept = _rooted(classes, distance).groupBy("root").agg(first).select(F.col("kept.least").alias("__least"), F.col("kept.fp").alias("__kept"))
+    found = marked.join(kept, marked[doc_id].eqNullSafe(kept["__least"]) & (marked["__fp"] == kept["__kept"]), "left_semi")
+    return found.dropDuplicates([doc_id, "__fp"]).drop("__fp")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw
+from .common import byte_rows, labelled_sample, raw
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STEP = 48, 36
@@ -31,6 +31,8 @@ VECTOR, STATE, ATTEND, WORD_ROWS, GRAM_ROWS = 16, 16, 8, 1 << 14, 1 << 15
 #: Labelled rows learnt from, of each class at most, and the longest text among them; passes over that many rows of both
 #: classes, more over fewer rows, up to the most passes.
 LEARN_ROWS, LEARN_BYTES, PASSES, MOST_PASSES = 2000, 60_000, 7, 24
+#: Texts that must hold a word or a run of bytes for its vector to be learnt.
+RARE = 4
 #: Windows computed together; words that a worker keeps; words whose vectors are made together.
 BATCH, KEPT, CHUNK = 2048, 300_000, 20_000
 _AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -212,14 +214,16 @@ def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {"word": f(WORD_ROWS, VECTOR, scale=0.05), "gram": f(GRAM_ROWS, VECTOR, scale=0.05), "W": f(2, VECTOR, 3 * STATE, scale=0.4), "b": np.zeros((2, 3 * STATE), np.float32), "U": f(2, STATE, 3 * STATE, scale=0.25), "A": f(2 * STATE, ATTEND, scale=0.3), "a": np.zeros(ATTEND, np.float32), "v": f(ATTEND, scale=0.5), "w": f(2 * STATE, scale=0.3), "c": np.zeros(1, np.float32)}
 
 
-def _odds(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Log odds of the texts that hold a row, smoothed; the start of one dimension of the vectors."""
+def _odds(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the texts that hold a row, drawn towards zero where few do: the start of one dimension of the
+    vectors. And which rows enough texts hold to be learnt."""
     seen = np.zeros((2, size), np.int64)
     for x, label in zip(rows, labels):
         seen[label, x] += 1
     n = np.bincount(labels, minlength=2)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    return np.where(seen.any(axis=0), odds.clip(-3, 3), 0).astype(np.float32)
+    both = seen.sum(axis=0)
+    return (odds.clip(-4, 4) * both / (both + RARE)).astype(np.float32), both >= RARE
 
 
 def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed: int = 7) -> Model:
@@ -244,8 +248,11 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
     del vocabulary
     known = [(np.unique(x), label) for x, label, out in zip(numbers, y, spared) if not out]
     seen = np.array([label for _, label in known])
-    p["word"][:, 0] += 0.3 * _odds([np.unique(own[x]) for x, _ in known], seen, WORD_ROWS)
-    p["gram"][:, 0] += 0.3 * _odds([np.unique(np.concatenate([np.zeros(0, np.int32), *(grams[ends[i] : ends[i + 1]] for i in x)])) for x, _ in known], seen, GRAM_ROWS)
+    learnt = {}
+    for name, rows in (("word", [np.unique(own[x]) for x, _ in known]), ("gram", [np.unique(np.concatenate([np.zeros(0, np.int32), *(grams[ends[i] : ends[i + 1]] for i in x)])) for x, _ in known])):
+        odds, learnt[name] = _odds(rows, seen, len(p[name]))
+        p[name][:, 0] += 0.3 * odds
+        p[name][~learnt[name]] *= 0.2  # vectors that little is known of stay near zero
     del known
     at, sizes, per = cut(numbers)
     first = np.cumsum(per) - per
@@ -266,9 +273,10 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
         picks = np.concatenate([worst[used_texts], other[clean]])
         target, force = np.concatenate([y[used_texts], y[clean]]), np.concatenate([weight[used_texts], 0.5 * weight[clean]])
         order, rate = rng.permutation(len(picks)), 0.01 * (1 - turn / passes) + 0.001
-        for low in range(0, len(order), 128):
-            pick = order[low : low + 128]
-            w_at, size = at[picks[pick]], sizes[picks[pick]]
+        size = int(np.clip(len(order) // 40, 16, 128))
+        for low in range(0, len(order), size):
+            pick = order[low : low + size]
+            w_at, lengths = at[picks[pick]], sizes[picks[pick]]
             used, inverse = np.unique(w_at, return_inverse=True)
             inverse = np.ascontiguousarray(inverse.reshape(w_at.shape).T)
             part = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in used])
@@ -276,7 +284,7 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
             begins = np.cumsum(n_grams) - n_grams
             x = words.inputs(own[used], grams[part], begins)
             mine = words.projected(x)
-            logit, kept = _run(p, lambda d, t: mine[d][:, inverse[t]], size, keep=True)
+            logit, kept = _run(p, lambda d, t: mine[d][:, inverse[t]], lengths, keep=True)
             error = ((_sigmoid(logit) - target[pick]) * force[pick] / len(pick)).astype(np.float32)
             g, d_in = _back(p, kept, error, inverse, len(used))
             d_x = sum(d_in[d] @ p["W"][d].T for d in (0, 1))
@@ -290,9 +298,10 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
                 s += (1 - beta[1]) * (grad * grad - s)
                 p[name] -= rate * scale * m / (np.sqrt(s) + 1e-7)
             for name, rows, grad in (("word", own[used], d_x), ("gram", grams[part], np.repeat(d_x / n_grams[:, None], n_grams, axis=0))):
-                where, inv = np.unique(rows, return_inverse=True)
+                often = learnt[name][rows]
+                where, inv = np.unique(rows[often], return_inverse=True)
                 total = np.zeros((len(where), VECTOR), np.float32)
-                np.add.at(total, inv, grad)
+                np.add.at(total, inv, grad[often])
                 s = moment[name][1]
                 s[where] += total * total
                 p[name][where] -= rate * total / (np.sqrt(s[where]) + 1e-6)
@@ -345,22 +354,8 @@ def _parting(top: np.ndarray, y: np.ndarray) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def sample(labelled: DataFrame, text: str, label: str, key: str, rows: int = LEARN_ROWS, longest: int = LEARN_BYTES) -> tuple[list[bytes], list[int]]:
-    """Up to `rows` labelled texts of each class, those of the least hash of key and text, none longer than `longest`
-    bytes."""
-    texts: list[bytes] = []
-    labels: list[int] = []
-    usable = labelled.where(F.col(text).isNotNull() & (F.octet_length(text) <= longest))
-    for value in (0, 1):
-        part = usable.where(F.col(label) == value).select(raw(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")).orderBy("h", "t").limit(rows)
-        found = [r["t"] for r in part.select("t").collect()]
-        texts += [bytes(t) for t in found]
-        labels += [value] * len(found)
-    return texts, labels
-
-
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = LEARN_ROWS) -> Model:
-    return train(*sample(labelled, text, label, key, rows))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = LEARN_ROWS) -> Model:
+    return train(*labelled_sample(docs, labels, label, rows, LEARN_BYTES, key, text))
 
 
 def scores(model: Model, words: Words | None, texts: list[bytes]) -> np.ndarray:
