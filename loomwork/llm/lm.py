@@ -35,11 +35,11 @@ from .common import byte_rows, raw, written
 #: The end of a text; no word holds white space.
 END = b"\n"
 #: Frequent words, classes of the others, bytes that choose these; tokens before one; sizes of vectors.
-FREQUENT, OTHERS, LAST_BYTES, ORDER, VECTOR = 384, 256, 3, 3, 24
+FREQUENT, OTHERS, LAST_BYTES, ORDER, VECTOR = 288, 160, 3, 3, 24
 #: Of the tokens, every so many is trained on; tokens and noise words of a step.
 STRIDE, STEP_TOKENS, NOISE, RATE = 6, 1024, 48, 0.15
 #: Words up to which their counts are sent to all tasks, at 16 bytes each; words that a worker keeps.
-BROADCAST_WORDS, KEPT = 8_000_000, 400_000
+BROADCAST_WORDS, KEPT = 8_000_000, 600_000
 #: Tokens whose probabilities are computed together.
 TOGETHER = 4096
 
@@ -151,18 +151,22 @@ def contexts(classes: np.ndarray, ends: np.ndarray, outside: int) -> np.ndarray:
     return out
 
 
-def _classes(frequent: dict[bytes, int], tokens: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """The tokens' classes; `known` keeps those of other words."""
-    first = len(frequent)
-    out = []
-    for w in tokens:
-        c = known.get(w)
-        if c is None:
-            if len(known) >= KEPT:
-                known.clear()
-            c = known[w] = frequent[w] if w in frequent else first + other_class(w)
-        out.append(c)
-    return np.array(out, np.int64)
+class Classes(dict):
+    """Word to class; what it has worked out is kept, up to KEPT words."""
+
+    def __init__(self, frequent: dict[bytes, int]):
+        super().__init__(frequent)
+        self.frequent = frequent
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+            self.update(self.frequent)
+        found = self[word] = self.frequent[word] if word in self.frequent else len(self.frequent) + other_class(word)
+        return found
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
 def train(texts: DataFrame, frequent: dict[bytes, int], unigram: np.ndarray, text: str = "text", stride: int = STRIDE) -> dict[str, np.ndarray]:
@@ -172,7 +176,7 @@ def train(texts: DataFrame, frequent: dict[bytes, int], unigram: np.ndarray, tex
 
     def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, share = held.value
-        known: dict[bytes, int] = {}
+        known = Classes(own)
         trainer, number = None, 0
         for batch in batches:
             texts_, size = [], 0
@@ -180,7 +184,7 @@ def train(texts: DataFrame, frequent: dict[bytes, int], unigram: np.ndarray, tex
             def learn() -> None:
                 nonlocal trainer, number
                 parts = [tokens_of(x) for x in texts_]
-                classes = _classes(own, [w for x in parts for w in x], known)
+                classes = known.of([w for x in parts for w in x])
                 ends = np.cumsum([len(x) for x in parts])
                 if trainer is None:  # the noise is told apart by what the task reads
                     trainer = Trainer(share, zlib.crc32(texts_[0]))
@@ -269,6 +273,7 @@ def class_scores(model: Model, classes: np.ndarray, ends: np.ndarray) -> np.ndar
     placed = [np.ascontiguousarray(p["E"] * d) for d in p["D"]]
     output = np.ascontiguousarray(p["Q"].T)
     before = contexts(classes, ends, len(bias))
+    longest, high, ones = float(np.linalg.norm(p["Q"], axis=1).max()), float(bias.max()), np.ones(len(bias), np.float32)
     for low in range(0, len(classes), TOGETHER):
         part = before[low : low + TOGETHER]
         guess = placed[0][part[:, 0]]
@@ -277,35 +282,46 @@ def class_scores(model: Model, classes: np.ndarray, ends: np.ndarray) -> np.ndar
         logits = guess @ output
         logits += bias
         own = logits[np.arange(len(part)), classes[low : low + TOGETHER]].astype(np.float64)
-        top = logits.max(axis=1)
-        logits -= top[:, None]
+        top = 0.0
+        if np.sqrt((guess * guess).sum(axis=1).max()) * longest + high > 60:  # else no exponential overflows
+            top = logits.max(axis=1)
+            logits -= top[:, None]
         np.exp(logits, out=logits)
-        out[low : low + TOGETHER] = own - top - np.log(logits.sum(axis=1, dtype=np.float64))
+        out[low : low + TOGETHER] = own - top - np.log((logits @ ones).astype(np.float64))
     return out / np.log(10)
 
 
+class Numbers(dict):
+    """Word to a number of its own; `new` lists the words that came last."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        self.new.append(word)
+        return found
+
+
 class Scorer:
     """Scores texts in a worker; what it has looked up of words serves later texts."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.number: dict[bytes, int] = {}
+        self.empty()
+
+    def empty(self) -> None:
+        self.number = Numbers()
         self.kind = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        found = [get(w, -1) for w in tokens]
-        out = np.array(found, np.int64)
-        if len(out) and out.min() < 0:
-            if len(self.number) >= KEPT:
-                self.number.clear()
-                self.kind, self.count = self.kind[:0], self.count[:0]
-                new = list(dict.fromkeys(tokens))
-            else:
-                new = list(dict.fromkeys(w for w, i in zip(tokens, found) if i < 0))
+        if len(self.number) >= KEPT:
+            self.empty()
+        out = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        new = self.number.new
+        if new:
             frequent, first = self.model.frequent, len(self.model.frequent)
-            self.number.update(zip(new, range(len(self.kind), len(self.kind) + len(new))))
             self.kind = np.concatenate([self.kind, np.array([frequent[w] if w in frequent else first + other_class(w) for w in new], np.int64)])
             if self.model.words is not None:
                 keys, counts = self.model.words
@@ -313,7 +329,7 @@ class Scorer:
                 at = np.searchsorted(keys, asked).clip(max=max(0, len(keys) - 1))
                 held = np.where(keys[at] == asked, counts[at], 0) if len(keys) else np.zeros(len(new), np.int64)
                 self.count = np.concatenate([self.count, held])
-            out = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+            self.number.new = []
         return out
 
     def classes(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
