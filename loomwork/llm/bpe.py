@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_rows, raw
+from .pieces import PATTERN, splits
 
-#: Entries that a worker keeps of pieces, and of pairs; a full table is emptied.
-PIECES, PAIRS = 600_000, 1_000_000
+#: Entries that a worker keeps of pieces, of what stands between spaces, and of pairs; a full table is emptied.
+PIECES, CHUNKS, PAIRS = 900_000, 600_000, 1_000_000
 NEVER = 1 << 40
 
 
@@ -48,6 +49,21 @@ class Pieces(dict):
         return ids
 
 
+class Chunks(dict):
+    """What stands between two spaces to the ids of it and the space before it."""
+
+    def __init__(self, pieces: Pieces, find):
+        self.pieces, self.find = pieces, find
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join(map(self.pieces.__getitem__, self.find(" " + chunk)))
+        if len(chunk) <= 64:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class PrefixEncoder:
     """Encodes and decodes by a table of ranks; `pattern` cuts a text into the pieces that are encoded separately."""
 
@@ -61,6 +77,7 @@ class PrefixEncoder:
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
         self._pieces = Pieces(self.piece)
+        self._chunks = Chunks(self._pieces, self.find) if pattern == PATTERN else None
 
     def merged(self, data: bytes, below: int = NEVER) -> list[int]:
         """Merging by lowest rank, leftmost first, with ranks below a limit only: the definition the rest rests on."""
@@ -142,6 +159,9 @@ class PrefixEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self._chunks is not None and splits(text):
+            first, *rest = text.split(" ")
+            return b"".join(map(self._pieces.__getitem__, self.find(first))) + b"".join(map(self._chunks.__getitem__, rest))
         return b"".join(map(self._pieces.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:

@@ -9,7 +9,7 @@ index gives each document's place. Layout of a file, integers little-endian:
     the code: u32 ids, ascending, and u8 lengths
     the blocks: u64 bit offset and u32 ids each
     the documents: u64 place of the first id in the file, in order
-    the payload: most significant bits first, filled with zeros to whole bytes, and LIMIT bits more
+    the payload: most significant bits first; eight bytes of zeros at the end
 
 Null texts encode as empty ones, so a document of them holds the end id alone. Rows that repeat a doc_id follow each
 other in an order that their texts give; null doc_ids come first. An empty table gives no file and an empty result.
@@ -18,6 +18,7 @@ Other columns are not touched. A lost task writes its file again under another n
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 import zlib
@@ -30,15 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_rows, raw, shared_path, written
+from .pieces import splits
 
 MAGIC = b"LWTK0001"
-#: Longest code in bits; ids of a block; entries that a worker keeps of pieces.
-LIMIT, BLOCK_IDS, PIECES = 18, 1024, 800_000
-#: Blocks decoded side by side.
-TOGETHER = 4096
-#: How the tokenizer's file cuts text before its merges: this pattern, that of public byte-level tokenizers.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
+#: Longest code in bits; ids of a block; stretches of text that a worker keeps.
+LIMIT, BLOCK_IDS, KEPT = 18, 1024, 900_000
+#: Blocks decoded side by side; ids of a file; ranges up to which their bounds are worked out here.
+TOGETHER, FILE_IDS, MOST_RANGES = 4096, 6_000_000, 4096
 
 # --- the code
 
@@ -101,24 +100,35 @@ def decoding_table(ids: np.ndarray, lengths: np.ndarray, limit: int) -> tuple[np
     return np.concatenate([table, np.zeros(rest, np.uint32)]), np.concatenate([steps, np.ones(rest, np.uint8)])
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Payload, and the bit offset and ids of each block."""
+def _pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids' codes after each other, filled to whole bytes, and where each begins."""
     size = lengths[ids].astype(np.int64)
     end = np.cumsum(size)
     start = end - size
-    blocks = np.arange(0, len(ids), block_ids)
-    bits = int(end[-1]) if len(ids) else 0
-    words = np.zeros(bits // 32 + 3, np.uint64)  # 32 bits each, with room for what runs over
+    bits = int(end[-1])
+    words = np.zeros(bits // 32 + 2, np.uint64)  # 32 bits each, with room for what runs over
     # a code ends within 64 bits from the start of the word it starts in
     shifted = codes[ids].astype(np.uint64) << (64 - (start & 31) - size).astype(np.uint64)
     word = start >> 5
-    if len(ids):
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        both = np.bitwise_or.reduceat(shifted, first)
-        at = word[first]
-        words[at] |= both >> np.uint64(32)
-        words[at + 1] |= both & np.uint64(0xFFFFFFFF)
-    return words.astype(">u4").tobytes()[: (bits + 7) // 8 + 8], start[blocks], np.diff(np.append(blocks, len(ids)))
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    both = np.bitwise_or.reduceat(shifted, first)
+    at = word[first]
+    words[at] |= both >> np.uint64(32)
+    words[at + 1] |= both & np.uint64(0xFFFFFFFF)
+    return words.astype(">u4").tobytes()[: (bits + 7) // 8], start
+
+
+def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Payload, and the bit offset and ids of each block. Groups of blocks begin at whole bytes, which bounds the memory
+    that packing takes."""
+    blocks = np.arange(0, len(ids), block_ids)
+    parts, offsets, done = [], [np.zeros(0, np.int64)], 0
+    for low in range(0, len(ids), 256 * block_ids):
+        data, start = _pack(ids[low : low + 256 * block_ids], codes, lengths)
+        offsets.append(start[::block_ids] + 8 * done)
+        parts.append(data)
+        done += len(data)
+    return b"".join(parts) + bytes(8), np.concatenate(offsets), np.diff(np.append(blocks, len(ids)))
 
 
 def unpack(payload: bytes, offsets: np.ndarray, sizes: np.ndarray, table: np.ndarray, steps: np.ndarray, limit: int) -> np.ndarray:
@@ -187,102 +197,110 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids by the tokenizers library, each distinct piece once. Text of Latin-1 characters is cut here; other text, for
-    which the library's classes of characters decide, goes to the library whole."""
+    """Ids by the tokenizers library, each distinct stretch between spaces once. Text of Latin-1 characters is cut here;
+    other text, for which the library's classes of characters decide, goes to the library whole."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self.find = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
 
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """The ids of a space and what stands between it and the next."""
+        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
+        for low in range(0, len(plain), 2000):  # these stay apart when they follow each other: one call for many
+            part = [" " + c for c in plain[low : low + 2000]]
+            found = self.own.encode("".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(c) for c in part])
+            starts = np.array([a for a, _ in found.offsets])
+            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+            data = np.array(found.ids, "<u4").tobytes()
+            self.known.update((c[1:], data[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
+        rest = [c for c in new if c not in self.known]
+        self.known.update(zip(rest, self._each([" " + c for c in rest])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.known) >= KEPT:
+            self.known.clear()
         cut: list[list[str] | None] = []
+        whole: list[str] = []  # texts that can't be cut, and the others up to their first space
         for x in texts:
             try:
                 x.encode("latin-1")
-                cut.append(self.find(x))
+                own = x.split(" ") if splits(x) else None
             except UnicodeEncodeError:
-                cut.append(None)
-        if len(self.known) >= PIECES:
-            self.known.clear()
+                own = None
+            whole.append(x if own is None else own.pop(0))
+            cut.append(own)
         known = self.known
-        new = list(dict.fromkeys(p for pieces in cut if pieces for p in pieces if p not in known))
-        whole = [x for x, pieces in zip(texts, cut) if pieces is None]
-        # a space and letters stays a piece of its own among others like it, so these are encoded many at a time
-        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        for low in range(0, len(plain), 2000):
-            part = plain[low : low + 2000]
-            found = self.own.encode("".join(part), add_special_tokens=False)
-            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
-            data = np.array(found.ids, "<u4").tobytes()
-            known.update((p, data[a:b]) for p, a, b in zip(part, cuts, cuts[1:]))
-        new = [p for p in new if p not in known]
-        for p, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        rest = iter(self.own.encode_batch_fast(whole, add_special_tokens=False))
-        return [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        self._learn(list({x for c in cut if c for x in c if x not in known}))
+        return [first + b"".join(map(known.__getitem__, c or ())) for first, c in zip(self._each(whole), cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, path: str, end_id: int = 0, text: str = "text", to: str = "ids") -> DataFrame:
-    """Adds the ids with the end id as little-endian unsigned integers: of 16 bits if all ids fit, behind a byte that
-    gives the width in bytes."""
+def _blocks(batch: pa.Array) -> Iterator[list[str]]:
+    texts, size = [], 0
+    for x in byte_rows(batch):
+        texts.append(x.decode("utf-8", "replace"))
+        size += len(x)
+        if size >= 1 << 20:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
 
-    @F.arrow_udf("binary")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import os
 
+def _added(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    if len(n) > len(total):
+        total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+    total[: len(n)] += n
+    return total
+
+
+def encode(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids: with the end id, little-endian unsigned integers, of 16 bits if all of a document fit, behind a byte
+    that gives the width in bytes. Besides, each task adds a row with `counts`: the ids that it has seen and how often,
+    as 64-bit integers."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        end = np.array([end_id], "<u4")
+        end, total = np.array([end_id], "<u4").tobytes(), np.zeros(1 << 16, np.int64)
+        names = ["doc_id", "ids", "counts"]
         for batch in batches:
-            out, texts, size = [], [], 0
-
-            def flush() -> None:
-                for x in _ENCODERS[path].encode(texts):
-                    found = np.concatenate([np.frombuffer(x, "<u4"), end])
-                    out.append(b"\x02" + found.astype("<u2").tobytes() if found.max() < 1 << 16 else b"\x04" + found.tobytes())
-                texts.clear()
-
-            for x in byte_rows(batch):
-                texts.append(x.decode("utf-8", "replace"))
-                size += len(x)
-                if size >= 1 << 20:
-                    flush()
-                    size = 0
-            flush()
-            yield pa.array(out, pa.binary())
-
-    return docs.withColumn(to, ids(raw(text)))
-
+            out = []
+            for texts in _blocks(batch.column(1)):
+                found = [np.frombuffer(x + end, "<u4") for x in _ENCODERS[path].encode(texts)]
+                total = _added(total, np.bincount(np.concatenate(found)))
+                out += [b"\x02" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\x04" + x.tobytes() for x in found]
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=names)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.concatenate([used, total[used]]).astype("<i8").tobytes()])], names=names)
 
-def _ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.uint32)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw(text).alias("t")).mapInArrow(rows, "doc_id bigint, ids binary, counts binary")
 
 
-def counts(encoded: DataFrame, ids: str = "ids") -> np.ndarray:
-    """How often each id occurs in all rows. Tasks send one row per id at most; the table is as long as the vocabulary."""
+def counts(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs in all rows: the tasks' counts, added up by id. The result is as long as the
+    vocabulary."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for x in byte_rows(batch.column(0)):
-                n = np.bincount(_ids(x))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["id", "n"])
+                both = np.frombuffer(x, "<i8").reshape(2, -1)
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["id", "n"])
 
-    rows = encoded.select(ids).mapInArrow(partial, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = encoded.where(F.col("counts").isNotNull()).select("counts").mapInArrow(partial, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     at, n = rows["id"].to_numpy(), rows["n"].to_numpy()
     out = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
     out[at] = n
@@ -296,56 +314,75 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write(encoded: DataFrame, uri: str, lengths: np.ndarray, doc_id: str = "doc_id", ids: str = "ids", limit: int = LIMIT, partitions: int | None = None) -> DataFrame:
-    """Writes the rows in ascending doc_id order, one file a partition, into a folder that all machines share. Gives
-    the manifest, a written table: part (ascending as the doc_ids are), file, n_ids, and the doc_ids in order."""
-    spark = encoded.sparkSession
-    held = spark.sparkContext.broadcast(lengths)
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _placed(encoded: DataFrame, files: int) -> DataFrame:
+    """Documents in ranges of ascending doc_id, sorted; the number of the range is `p`."""
+    rows = encoded.where(F.col("ids").isNotNull()).select("doc_id", "ids")
+    first = F.col("doc_id").asc_nulls_first()
+    if files > MOST_RANGES:
+        return rows.repartitionByRange(files, first).withColumn("p", F.spark_partition_id()).sortWithinPartitions(first, "ids")
+    # bounds from the doc_ids alone, so that the texts' ids needn't be read for a sample
+    shares = F.array(*[F.lit(i / files) for i in range(1, files)])
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, F.lit(10_000)).alias("b")).first()["b"] or [])) if files > 1 else []
+    after = F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))
+    rows = rows.withColumn("p", F.coalesce(F.size(after), F.lit(0)))
+    return rows.repartitionById(len(bounds) + 1, F.col("p")).sortWithinPartitions(first, "ids")
+
+
+def write(encoded: DataFrame, uri: str, lengths: np.ndarray, n_ids: int, file_ids: int = FILE_IDS, limit: int = LIMIT) -> DataFrame:
+    """Writes the rows in ascending doc_id order into a folder that all machines share, in files of about `file_ids` ids.
+    Gives the manifest, a written table: part and seq (ascending as the doc_ids are), file, n_ids, and the doc_ids in
+    order."""
+    held = encoded.sparkSession.sparkContext.broadcast(lengths)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list = []
         parts: list[np.ndarray] = []
-        number = None
-        for batch in batches:
-            number = batch.column(2)[0].as_py() if len(batch) and number is None else number
-            docs += batch.column(0).to_pylist()
-            parts += [np.frombuffer(x, "<u2" if x[0] == 2 else "<u4", offset=1) for x in byte_rows(batch.column(1))]
-        if not docs:
-            return
-        sizes = np.array([len(x) for x in parts], np.int64)
-        everything = np.concatenate(parts).astype(np.uint32)
-        data = to_bytes(everything, np.cumsum(sizes) - sizes, held.value, limit)
+        number, seq, size = None, 0, 0
         system, folder = _filesystem(uri)
         system.create_dir(folder, recursive=True)
-        name = f"part-{number:06d}-{uuid.uuid4().hex[:8]}.lwtk"
-        with system.open_output_stream(posixpath.join(folder, name), compression=None) as f:
-            f.write(data)
-        yield pa.record_batch([pa.array([number], pa.int32()), pa.array([name]), pa.array([int(sizes.sum())], pa.int64()), pa.array([docs], pa.list_(pa.int64()))], names=["part", "file", "n_ids", "docs"])
 
-    placed = encoded.select(F.col(doc_id).cast("bigint").alias("d"), F.col(ids).alias("i")).repartitionByRange(partitions, F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "i")
-    return written(placed.select("d", "i", F.spark_partition_id().alias("p")).mapInArrow(store, "part int, file string, n_ids bigint, docs array<bigint>"), "manifest")
+        def close() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in parts], np.int64)
+            data = to_bytes(np.concatenate(parts), np.cumsum(sizes) - sizes, held.value, limit)
+            name = f"part-{number:06d}-{seq:04d}-{uuid.uuid4().hex[:8]}.lwtk"
+            with system.open_output_stream(posixpath.join(folder, name), compression=None) as f:
+                f.write(data)
+            return pa.record_batch([pa.array([number], pa.int32()), pa.array([seq], pa.int32()), pa.array([name]), pa.array([int(sizes.sum())], pa.int64()), pa.array([docs], pa.list_(pa.int64()))], names=["part", "seq", "file", "n_ids", "docs"])
+
+        for batch in batches:
+            for i, x, p in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), batch.column(2).to_pylist()):
+                if docs and (size >= file_ids or p != number):
+                    yield close()
+                    docs, parts, seq, size = [], [], seq + 1, 0
+                number = p
+                docs.append(i)
+                parts.append(np.frombuffer(x, "<u2" if x[0] == 2 else "<u4", offset=1))
+                size += len(parts[-1])
+        if docs:
+            yield close()
+
+    placed = _placed(encoded, max(1, -(-n_ids // file_ids)))
+    return written(placed.select("doc_id", "ids", "p").mapInArrow(store, "part int, seq int, file string, n_ids bigint, docs array<bigint>"), "manifest")
 
 
 def read(manifest: DataFrame, uri: str, doc_id: str = "doc_id") -> DataFrame:
     """Reads the files back. Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     spark = manifest.sparkSession
-    files = manifest.select("part", "n_ids").orderBy("part").collect()  # one row a file
-    before = dict(zip([r["part"] for r in files], np.cumsum([0, *[r["n_ids"] for r in files]]).tolist()))
+    files = manifest.select("part", "seq", "n_ids").orderBy("part", "seq").collect()  # one row a file
+    before = dict(zip([(r["part"], r["seq"]) for r in files], np.cumsum([0, *[r["n_ids"] for r in files]]).tolist()))
     held = spark.sparkContext.broadcast(before)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _filesystem(uri)
         for batch in batches:
-            for part, name, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for part, seq, name, docs in zip(*(c.to_pylist() for c in batch.columns)):
                 with system.open_input_stream(posixpath.join(folder, name), compression=None) as f:
                     file = TokenFile(f.read())
                 starts = file.documents
                 sizes = np.diff(np.append(starts, file.n_ids))
                 crc = [0] * len(docs)
-                step = TOGETHER * 4  # blocks at a time; a document may lie in several
-                for low in range(0, len(file.sizes), step):
-                    found = file.blocks(low, low + step).astype("<u4")
+                for low in range(0, len(file.sizes), TOGETHER):  # a document may lie in several of these stretches
+                    found = file.blocks(low, low + TOGETHER).astype("<u4")
                     a = int(file.begin[low])
                     b = a + len(found)
                     data = memoryview(found.view(np.uint8))
@@ -354,16 +391,17 @@ def read(manifest: DataFrame, uri: str, doc_id: str = "doc_id") -> DataFrame:
                         x, y = max(int(starts[k]), a), min(int(starts[k] + sizes[k]), b)
                         if y > x:
                             crc[k] = zlib.crc32(data[4 * (x - a) : 4 * (y - a)], crc[k])
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(starts + held.value[part]), pa.array(sizes), pa.array(crc, pa.int64())], names=[doc_id, "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(starts + held.value[part, seq]), pa.array(sizes), pa.array(crc, pa.int64())], names=[doc_id, "start", "n_tokens", "ids_crc32"])
 
-    one_each = manifest.select("part", "file", "docs").repartition(max(1, len(files)), "part")
+    # a row a file: each is a task's work
+    one_each = manifest.select("part", "seq", "file", "docs").repartition(max(1, len(files)))
     return one_each.mapInArrow(load, f"`{doc_id}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def save(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", uri: str | None = None) -> tuple[DataFrame, str]:
-    """Encodes and writes all documents; gives the manifest and the folder. One pass encodes, into a written table; the
-    counts and the files are made from that."""
+    """Encodes and writes all documents; gives the manifest and the folder. One pass encodes and counts, into a written
+    table; the files are made from that."""
     uri = uri or shared_path(docs.sparkSession, "token-files")
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    encoded = written(encode(narrow, path, end_id).select("doc_id", "ids"), "ids")
-    return write(encoded, uri, code_lengths(counts(encoded))), uri
+    encoded = written(encode(docs, path, end_id, doc_id, text), "ids")
+    total = counts(encoded)
+    return write(encoded, uri, code_lengths(total), int(total.sum())), uri
