@@ -68,10 +68,10 @@ def forward_fill_state(t: Tables):
 
 
 @query("""
-WITH p AS (SELECT user_id, event_id AS at, CASE WHEN event_id % 3 = 0 THEN 300 + value ELSE -50 - value END AS length FROM events),
-s AS (SELECT *, last_value(CASE WHEN length > 0 THEN length END IGNORE NULLS) OVER w AS beat_length, last_value(CASE WHEN length > 0 THEN at END IGNORE NULLS) OVER w AS origin
-FROM p WINDOW w AS (PARTITION BY user_id ORDER BY at ROWS UNBOUNDED PRECEDING))
-SELECT user_id, at, round(beat_length, 6) AS beat_length, origin, round(60000.0 / beat_length, 6) AS bpm, round(CASE WHEN length < 0 THEN -100.0 / length ELSE 1.0 END, 6)::DOUBLE AS speed FROM s
+WITH p AS (SELECT user_id, event_id AS "at", CASE WHEN event_id % 3 = 0 THEN 300 + value ELSE -50 - value END AS length FROM events),
+s AS (SELECT *, last_value(CASE WHEN length > 0 THEN length END IGNORE NULLS) OVER w AS beat_length, last_value(CASE WHEN length > 0 THEN "at" END IGNORE NULLS) OVER w AS origin
+FROM p WINDOW w AS (PARTITION BY user_id ORDER BY "at" ROWS UNBOUNDED PRECEDING))
+SELECT user_id, "at", round(beat_length, 6) AS beat_length, origin, round(60000.0 / beat_length, 6) AS bpm, round(CASE WHEN length < 0 THEN -100.0 / length ELSE 1.0 END, 6)::DOUBLE AS speed FROM s
 """)
 def timing_sections(t: Tables):
     points = t.events.select("user_id", F.col("event_id").alias("at"), F.when(F.col("event_id") % 3 == 0, 300 + F.col("value")).otherwise(-50 - F.col("value")).alias("length"))
@@ -171,11 +171,11 @@ def scalar_features(t: Tables):
 
 
 @query("""
-WITH v AS (SELECT user_id, count(*) AS n, bool_or(coalesce(nullif(value, 42) IS NULL OR value <= 0 OR value > 99.5, true)) AS bad FROM events GROUP BY 1)
+WITH v AS (SELECT user_id, count(*) AS n, bool_or(coalesce(nullif(value, 42) IS NULL OR value <= 0 OR value > 200, true)) AS bad FROM events GROUP BY 1)
 SELECT e.event_id, e.user_id FROM events e SEMI JOIN (SELECT user_id FROM v WHERE n >= 3 AND NOT bad) g ON e.user_id = g.user_id
 """)
 def valid_event_groups(t: Tables):
-    good = sequence.valid_groups(t.events, "user_id", sequence.bad_number(F.col("value"), 99.5), 3)
+    good = sequence.valid_groups(t.events, "user_id", sequence.bad_number(F.col("value"), 200), 3)
     return t.events.join(good, "user_id", "left_semi").select("event_id", "user_id")
 
 

@@ -1,0 +1,288 @@
+"""Queries over orders, customers and baskets: catalogue upkeep, groups and their members, relational basics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import catalog, evaluate, graph, joins
+from .registry import Tables, query
+
+
+@query("""
+WITH g AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 5 AND NOT bool_or(coalesce(nullif(o_totalprice, 0) IS NULL OR o_totalprice > 400000, true)))
+SELECT o_orderkey, o_custkey FROM orders SEMI JOIN g USING (o_custkey)
+""")
+def valid_group_semi(t: Tables):
+    bad = F.nullif(F.col("o_totalprice"), F.lit(0.0)).isNull() | (F.col("o_totalprice") > 400000)
+    from ..operators.sequence import valid_groups
+
+    return t.orders.join(valid_groups(t.orders, "o_custkey", bad, 5), "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS o_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 3 <> 0)
+SELECT o_orderkey, o_custkey, coalesce(c_mktsegment, 'none') AS c_mktsegment, coalesce(c_acctbal, 0.0) AS c_acctbal FROM orders LEFT JOIN r USING (o_custkey)
+""")
+def lookup_left_coalesce(t: Tables):
+    right = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")
+    found = joins.lookup(t.orders, right, ["o_custkey"], {"c_mktsegment": "none", "c_acctbal": 0.0})
+    return found.select("o_orderkey", "o_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("""
+WITH a AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_retailprice END AS price FROM part), b AS (SELECT l_partkey, max(l_extendedprice) AS price FROM lineitem GROUP BY 1)
+SELECT p_partkey, coalesce(a.price, b.price) AS price FROM a LEFT JOIN b ON p_partkey = l_partkey
+""")
+def backfill_nulls(t: Tables):
+    left = t.part.select("p_partkey", F.when(F.col("p_size") % 4 != 0, F.col("p_retailprice")).alias("price"))
+    right = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("price"))
+    return joins.backfill(left, right, ["p_partkey"], ["price"])
+
+
+@query("SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders WHERE o_totalprice > 150000) USING (c_custkey)")
+def missing_anti(t: Tables):
+    big = t.orders.where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.join(big, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, o_orderpriority, round(c_acctbal, 2) AS c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_totalprice BETWEEN 50000 AND 200000 AND c_acctbal >= 0 AND lower(o_orderstatus) IN ('o', 'f') AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND c_mktsegment <> 'BUILDING'
+""")
+def optional_range_filters(t: Tables):
+    low, high = scalar.month_bounds("1995-01", "1996-12")
+    rows = scalar.in_range(t.orders, {"o_totalprice": (50000, 200000), "o_custkey": (None, None)})
+    day = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    rows = rows.where(F.lower("o_orderstatus").isin("o", "f") & (day >= low) & (day < high))
+    return rows.join(t.customer.where("c_acctbal >= 0 and c_mktsegment <> 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, year(o_orderdate) AS year, floor(o_totalprice / 20000) AS band FROM orders)
+SELECT o_orderkey, year::INT AS year, rank() OVER (PARTITION BY year ORDER BY band) + (count(*) OVER (PARTITION BY year, band) - 1) / 2.0::DOUBLE AS place FROM r
+""")
+def percentile_avg_rank(t: Tables):
+    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("year"), F.floor(F.col("o_totalprice") / 20000).alias("band"))
+    return rows.select("o_orderkey", "year", scalar.average_rank(["year"], F.col("band")).alias("place"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY date_trunc('year', o_orderdate) DESC, o_orderkey DESC) AS i FROM orders) WHERE i = 1
+""")
+def dedup_latest(t: Tables):
+    return catalog.latest(t.orders, ["o_custkey"], F.date_trunc("year", F.col("o_orderdate").cast("timestamp")).desc(), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+_SECOND = "SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, 'seen' AS note FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_totalprice, 'new' FROM orders WHERE o_orderkey % 7 = 0"
+
+
+def _second(t: Tables):
+    a = t.orders.where("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("seen").alias("note"))
+    return a.unionByName(t.orders.where("o_orderkey % 7 = 0").select((F.col("o_orderkey") + 10000000).alias("o_orderkey"), "o_custkey", "o_totalprice", F.lit("new").alias("note")))
+
+
+@query(f"""
+WITH b AS ({_SECOND}) SELECT o_orderkey, o_custkey, o_totalprice, NULL::VARCHAR AS note FROM orders ANTI JOIN b USING (o_orderkey) UNION ALL SELECT * FROM b
+""")
+def upsert_last_wins(t: Tables):
+    return catalog.upsert(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), _second(t), ["o_orderkey"])
+
+
+@query(f"""
+WITH b AS ({_SECOND}), x AS (SELECT o_orderkey, md5(CAST(floor(o_totalprice)::BIGINT AS VARCHAR)) AS h FROM orders), y AS (SELECT o_orderkey, md5(CAST(floor(o_totalprice)::BIGINT AS VARCHAR)) AS h FROM b)
+SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, CASE WHEN x.h IS NULL THEN 'new' WHEN y.h IS NULL THEN 'removed' WHEN x.h = y.h THEN 'same' ELSE 'changed' END AS change FROM x FULL JOIN y ON x.o_orderkey = y.o_orderkey
+""")
+def cdc_diff(t: Tables):
+    check = F.md5(F.floor("o_totalprice").cast("string"))
+    return catalog.changes(t.orders.select("o_orderkey", check.alias("h")), _second(t).select("o_orderkey", check.alias("h")), "o_orderkey", "h")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 100000), d AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT o_orderkey, o_orderpriority FROM p ANTI JOIN d USING (o_orderkey) UNION SELECT o_orderkey, o_orderpriority FROM p WHERE o_orderkey % 11 = 0
+""")
+def incremental_pending(t: Tables):
+    wanted = t.orders.where("o_totalprice > 100000").select("o_orderkey", "o_orderpriority")
+    done = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return catalog.pending(wanted, done, "o_orderkey", refresh=t.orders.where("o_orderkey % 11 = 0"))
+
+
+@query("SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority))) AS items, count(DISTINCT o_orderpriority)::INT AS n_items FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) >= 3")
+def group_sets(t: Tables):
+    return graph.group_sets(t.orders, "o_custkey", "o_orderpriority", 3)
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) AS items FROM lineitem GROUP BY 1)
+SELECT min(l_orderkey) AS l_orderkey, items, len(items)::INT AS n_items FROM s GROUP BY items
+""")
+def group_content_dedup(t: Tables):
+    return graph.distinct_sets(graph.group_sets(t.lineitem, "l_orderkey", "l_partkey"), "l_orderkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey, l_returnflag) AS top FROM lineitem) WHERE top - l_quantity <= 5
+""")
+def within_group_delta(t: Tables):
+    return graph.within_spread(t.lineitem, ["l_orderkey", "l_returnflag"], "l_quantity", 5).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem), n AS (SELECT g, count(*) AS n FROM e GROUP BY 1),
+p AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM e a JOIN e b ON a.i = b.i AND a.g < b.g GROUP BY 1, 2)
+SELECT a, b, shared::INT AS shared, round(shared / (x.n + y.n - shared), 6) AS similarity FROM p JOIN n x ON x.g = a JOIN n y ON y.g = b WHERE shared / (x.n + y.n - shared) >= 0.5
+""")
+def jaccard_near_dup(t: Tables):
+    found = graph.similar_groups(t.lineitem, "l_orderkey", "l_partkey", 0.5)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def jaccard_greedy_keep(t: Tables):
+    """Baskets that greedy removal of similar ones keeps."""
+    sets = graph.group_sets(t.lineitem, "l_orderkey", "l_partkey").withColumnRenamed("l_orderkey", "g")
+    pairs = graph.similar_groups(t.lineitem, "l_orderkey", "l_partkey", 0.5)
+    return graph.drop_similar(sets, pairs).select("g", "n_items")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem), w AS (SELECT g, 1.0::DOUBLE / count(*) AS w FROM e GROUP BY 1),
+p AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey)
+SELECT a, b, round(least(sum(w), 1.0), 6) AS weight FROM p JOIN e x ON x.i = a JOIN e y ON y.i = b AND y.g = x.g JOIN w ON w.g = x.g GROUP BY 1, 2
+""")
+def pair_relations(t: Tables):
+    pairs = graph.unordered(t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")), "a", "b")
+    return graph.related(pairs, t.lineitem, "l_orderkey", "l_partkey").withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def pair_sampling(t: Tables):
+    return graph.sample_pairs(t.lineitem, "l_orderkey", "l_partkey", 4)
+
+
+@query("SELECT o_orderkey, o_orderkey % 10 = 0 AS held_out, o_orderkey % 4 AS fold FROM orders")
+def holdout_split(t: Tables):
+    return t.orders.select("o_orderkey", (F.pmod("o_orderkey", F.lit(10)) == 0).alias("held_out"), F.pmod("o_orderkey", F.lit(4)).alias("fold"))
+
+
+@query()
+def hash_sample(t: Tables):
+    """A hundred orders, the same at every run: the sampling operator."""
+    return t.orders.orderBy(scalar.stable_order(F.col("o_orderkey"), seed=1), "o_orderkey").limit(100).select("o_orderkey")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, year(o_orderdate)::INT AS year, o_totalprice, rank() OVER (PARTITION BY year(o_orderdate) ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY year(o_orderdate), o_totalprice) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY year(o_orderdate)) AS n FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY o_totalprice DESC, o_orderkey) AS place FROM r WHERE k / n >= 0.75)
+SELECT o_orderkey, year, place::INT AS place FROM p ORDER BY place, year LIMIT 100
+""")
+def default_list_interleave(t: Tables):
+    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice")
+    top = catalog.top_share(rows, ["year"], "o_totalprice", 0.75)
+    return catalog.interleave(top, "year", [F.desc("o_totalprice"), F.col("o_orderkey")], 100).select("o_orderkey", "year", "place")
+
+
+@query("""
+SELECT n_name, l_returnflag, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted, count(*) AS n, count(DISTINCT o_custkey) AS customers
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate < TIMESTAMP '1998-09-02' GROUP BY 1, 2
+""")
+def tpch_pricing(t: Tables):
+    rows = t.lineitem.where("l_shipdate < timestamp_ntz '1998-09-02'").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name", "l_returnflag").agg(
+        F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"),
+        F.round(evaluate.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 4).alias("weighted"),
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("o_custkey").alias("customers"),
+    )
+
+
+@query("""
+WITH a AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'), c AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+SELECT * FROM ((SELECT o_custkey FROM a INTERSECT SELECT o_custkey FROM b) EXCEPT SELECT c_custkey FROM c)
+""")
+def common_ids(t: Tables):
+    a, b = (t.orders.where(F.col("o_orderstatus") == s).select("o_custkey") for s in "FO")
+    return a.intersect(b).exceptAll(t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")).distinct())
+
+
+@query("SELECT o_orderkey, o_orderstatus, NULL::BIGINT AS c_custkey, NULL::VARCHAR AS c_name FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT NULL, NULL, c_custkey, c_name FROM customer")
+def union_relaxed(t: Tables):
+    return t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus").unionByName(t.customer.select("c_custkey", "c_name"), allowMissingColumns=True)
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority AS truth, CASE WHEN o_orderkey % 3 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS called FROM orders),
+a AS (SELECT truth AS class, count(*) AS support, sum((truth = called)::INT) AS hits FROM c GROUP BY 1), b AS (SELECT called AS class, count(*) AS called FROM c GROUP BY 1)
+SELECT class, support, round(hits / support, 6) AS recall, round(CASE WHEN coalesce(called, 0) > 0 THEN hits / called ELSE 0 END, 6)::DOUBLE AS precision, round(2 * hits / (support + coalesce(called, 0)), 6) AS f1 FROM a LEFT JOIN b USING (class)
+""")
+def confusion_metrics(t: Tables):
+    rows = t.orders.select(F.col("o_orderpriority").alias("truth"), F.when(F.col("o_orderkey") % 3 == 0, "1-URGENT").otherwise(F.col("o_orderpriority")).alias("called"))
+    found = evaluate.confusion(rows, "truth", "called")
+    return found.select("class", "support", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
+
+
+@query("""
+WITH r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders)
+SELECT round(avg(o_totalprice), 4) AS worst_mean, count(*) AS n FROM r WHERE i <= ceil(0.2 * n)
+""")
+def bottom_share_mean(t: Tables):
+    return evaluate.worst_mean(t.orders, "o_totalprice").select(F.round("worst_mean", 4).alias("worst_mean"), "n")
+
+
+@query("""
+SELECT o_custkey, sha256(array_to_string(list_sort(list(o_orderkey::VARCHAR)), ',')) AS fingerprint FROM orders GROUP BY 1
+""")
+def population_fingerprint(t: Tables):
+    ids = F.array_join(F.sort_array(F.collect_list(F.col("o_orderkey").cast("string"))), ",")
+    return t.orders.groupBy("o_custkey").agg(F.sha2(ids.cast("binary"), 256).alias("fingerprint"))
+
+
+@query("""
+WITH a AS (SELECT o_custkey, o_orderpriority AS value, count(DISTINCT o_orderkey) AS c FROM orders GROUP BY 1, 2), n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT o_custkey, value, c FROM a JOIN n USING (o_custkey) WHERE 2 * c >= n
+""")
+def shared_values(t: Tables):
+    from ..operators.cluster import shared_values
+
+    return shared_values(t.orders.withColumn("values", F.array("o_orderpriority")), "o_custkey", "values")
+
+
+@query("""
+SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS code, sum(1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) ::BIGINT AS running,
+dense_rank() OVER (ORDER BY o_custkey)::BIGINT - 1 AS customer_code FROM orders
+""")
+def codes_and_offsets(t: Tables):
+    from ..operators.text import dictionary
+
+    by_order = dictionary(t.orders, "o_orderkey").select(F.col("value").alias("o_orderkey"), F.col("code").cast("bigint").alias("code"))
+    by_customer = dictionary(t.orders, "o_custkey").select(F.col("value").alias("o_custkey"), F.col("code").cast("bigint").alias("customer_code"))
+    running = F.count(F.lit(1)).over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return t.orders.withColumn("running", running).join(by_order, "o_orderkey").join(by_customer, "o_custkey").select("o_orderkey", "code", "running", "customer_code")
+
+
+@query("""
+SELECT p_partkey, (p_size // 60)::BIGINT || ':' || lpad((p_size % 60)::VARCHAR, 2, '0') AS duration, CASE WHEN p_partkey >= 1000 THEN format('{:.1f}k', floor(p_partkey / 100) / 10) ELSE p_partkey::VARCHAR END AS compact FROM part
+""")
+def display_formats(t: Tables):
+    return t.part.select("p_partkey", scalar.duration(F.col("p_size")).alias("duration"), scalar.compact(F.col("p_partkey")).alias("compact"))
+
+
+@query()
+def bootstrap_ci(t: Tables):
+    mean, low, high = evaluate.bootstrap(t.orders, "o_totalprice", rounds=400)
+    return t.spark.createDataFrame([(mean, low, high)], "mean double, low double, high double")
+
+
+@query()
+def permutation_test(t: Tables):
+    rows = t.customer.select("c_custkey", F.col("c_acctbal").alias("d"))
+    mean, p = evaluate.sign_flip_test(rows, "d", "c_custkey", rounds=1000)
+    return t.spark.createDataFrame([(mean, p)], "mean double, p double")
+
+
+@query()
+def greedy_folds(t: Tables):
+    sizes = {r["c_nationkey"]: r["n"] for r in t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a nation
+    return t.spark.createDataFrame(sorted(evaluate.balanced_folds(sizes, 4).items()), "c_nationkey int, fold int")

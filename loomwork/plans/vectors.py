@@ -1,0 +1,206 @@
+"""Queries over the vector table: search, density, ranking metrics, mining, near-copies, clusters, probes."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, Window
+from pyspark.sql import functions as F
+
+from ..operators import cluster, evaluate, vectors
+from .registry import Tables, query
+
+#: Neighbours that a density is taken over.
+NEIGHBOURS = 50
+
+_UNIT = """u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x * (1 + label) / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (1 + label), 1e-12)) AS v FROM embeddings)"""
+
+
+def _scaled(t: Tables):
+    """Vectors of several lengths, brought to length one."""
+    longer = F.transform(vectors.doubles("embedding"), lambda x: x * (1 + F.col("label")))
+    return t.embeddings.select("vec_id", "label", vectors.unit(longer).alias("embedding"))
+
+
+@query(f"""
+WITH {_UNIT}, p AS (SELECT a.vec_id, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT vec_id, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC) AS i FROM p),
+d AS (SELECT vec_id, avg(s) AS raw FROM r WHERE i <= {NEIGHBOURS} GROUP BY 1),
+m AS (SELECT avg(raw) AS m, stddev_pop(raw) AS s, avg(pow(raw, 3)) AS cm, stddev_pop(pow(raw, 3)) AS cs FROM d),
+e AS (SELECT vec_id, (pow(raw, 3) - cm) / CASE WHEN cs > 0 THEN cs ELSE 1 END * s + m AS density FROM d, m),
+q AS (SELECT v FROM u WHERE vec_id = 0),
+a AS (SELECT u.vec_id, u.label, list_inner_product(u.v, q.v) AS score, list_inner_product(u.v, q.v) - 0.3::DOUBLE * density AS adjusted FROM u JOIN e USING (vec_id), q WHERE u.vec_id <> 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY adjusted DESC, vec_id DESC) AS i FROM a)
+SELECT label, vec_id, round(score, 6) AS score, round(adjusted, 6) AS adjusted FROM b WHERE i = 1 ORDER BY adjusted DESC, label LIMIT 10
+""")
+def vector_search_density(t: Tables):
+    """The flagship: filtered search, corrected by density, one result a group."""
+    rows = _scaled(t)
+    density = vectors.densities(rows, NEIGHBOURS)
+    asked = vectors.mean_vector(rows.where("vec_id = 0"), [], "embedding")
+    found = vectors.search(rows.join(density, "vec_id"), asked, "label", 10, without=[0])
+    return found.select("label", "vec_id", F.round("score", 6).alias("score"), F.round("adjusted", 6).alias("adjusted"))
+
+
+@query(f"""
+WITH {_UNIT}, q AS (SELECT v FROM u WHERE vec_id = 3)
+SELECT u.vec_id, round(list_inner_product(u.v, q.v), 6) AS score FROM u, q WHERE label BETWEEN 2 AND 7 AND u.vec_id % 3 <> 0 AND u.vec_id <> 3 ORDER BY list_inner_product(u.v, q.v) DESC, u.vec_id LIMIT 25
+""")
+def vector_topk_filtered(t: Tables):
+    rows = _scaled(t)
+    keep = F.col("label").between(2, 7) & (F.col("vec_id") % 3 != 0) & (F.col("vec_id") != 3)
+    found = vectors.nearest(rows.where("vec_id = 3"), rows.where(keep), 25)
+    return found.select(F.col("candidate").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH {_UNIT}, x AS (SELECT i, avg(x) AS x FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u WHERE vec_id IN (1, 2, 5)) GROUP BY i),
+n AS (SELECT sqrt(sum(x * x)) AS n FROM x), q AS (SELECT list(x / n ORDER BY i) AS v FROM x, n),
+s AS (SELECT vec_id, label, list_inner_product(u.v, q.v) AS score FROM u, q WHERE vec_id NOT IN (1, 2, 5)),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id DESC) AS i FROM s)
+SELECT label, vec_id, round(score, 6) AS score FROM b WHERE i = 1 ORDER BY score DESC, label LIMIT 5
+""")
+def vector_mean_query(t: Tables):
+    rows = _scaled(t)
+    asked = vectors.mean_vector(rows.where(F.col("vec_id").isin(1, 2, 5)), [], "embedding")
+    found = vectors.search(rows.withColumn("density", F.lit(0.0)), asked, "label", 5, without=[1, 2, 5])
+    return found.select("label", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH {_UNIT}, x AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM x GROUP BY 1)
+SELECT label, list(round(x / n, 5) + 0.0 ORDER BY i) AS mean FROM x JOIN n USING (label) GROUP BY 1
+""")
+def group_mean_vectors(t: Tables):
+    found = vectors.mean_vector(_scaled(t), ["label"], "embedding")
+    return found.select("label", F.transform("mean", lambda x: F.round(x, 5) + 0.0).alias("mean"))
+
+
+_RANKED = f"""{_UNIT}, p AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label = b.label AS hit, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS i FROM p)"""
+
+
+def _ranked(t: Tables):
+    """Each tenth vector with all others in order of nearness: as many rows as the queries' pairs."""
+    rows = t.embeddings.select("vec_id", "label", vectors.unit("embedding").alias("embedding"))
+    n = rows.count()
+    found = vectors.nearest(rows.where("vec_id % 10 = 0"), rows, n)
+    labels = rows.select("vec_id", "label")
+    found = found.join(labels.withColumnsRenamed({"vec_id": "query", "label": "a"}), "query").join(labels.withColumnsRenamed({"vec_id": "candidate", "label": "b"}), "candidate")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate"))
+    return found.select("query", "candidate", "score", (F.col("a") == F.col("b")).alias("hit"), place.alias("place"))
+
+
+@query(f"""
+WITH {_RANKED}, w AS (SELECT *, sum(hit::INT) OVER (PARTITION BY q) AS n, sum(hit::INT) OVER (PARTITION BY q ORDER BY i) AS seen FROM r)
+SELECT q AS query, n::BIGINT AS positives, round(sum(CASE WHEN hit THEN seen / i ELSE 0 END) / n, 6) AS ap,
+round(sum(CASE WHEN hit AND i <= 10 THEN 1 / log2(i + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(n, 10)::BIGINT + 1), lambda j: 1 / log2(j + 1))), 6) AS ndcg,
+round(sum(CASE WHEN i <= n THEN hit::INT ELSE 0 END) / n, 6) AS r_precision, round(sum(CASE WHEN i <= 20 THEN hit::INT ELSE 0 END) / n, 6) AS recall FROM w WHERE n > 0 GROUP BY q, n
+""")
+def retrieval_metrics(t: Tables):
+    found = evaluate.ranking_metrics(_ranked(t), "query", "hit", "place")
+    return found.select("query", "positives", *[F.round(c, 6).alias(c) for c in ("ap", "ndcg", "r_precision", "recall")])
+
+
+@query(f"""
+WITH {_RANKED}, w AS (SELECT r.*, d.label AS a, e.label AS b FROM r JOIN u d ON d.vec_id = r.q JOIN u e ON e.vec_id = r.c), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY i) AS k FROM w WHERE NOT hit)
+SELECT q AS query, round(avg(abs(a - b)), 6) AS distance FROM o WHERE k <= 50 GROUP BY 1
+""")
+def difficulty_neighbors(t: Tables):
+    """Mean difference of labels over the fifty nearest of other labels."""
+    labels = t.embeddings.select("vec_id", "label")
+    rows = _ranked(t).where(~F.col("hit"))
+    near = rows.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where("k <= 50")
+    both = near.join(labels.withColumnsRenamed({"vec_id": "query", "label": "a"}), "query").join(labels.withColumnsRenamed({"vec_id": "candidate", "label": "b"}), "candidate")
+    return both.groupBy("query").agg(F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("distance"))
+
+
+@query(f"""
+WITH {_UNIT}, p AS (SELECT a.vec_id AS q, b.vec_id AS c, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS i FROM p), n AS (SELECT e.vec_id, count(r.c)::DOUBLE AS n FROM embeddings e LEFT JOIN r ON r.c = e.vec_id AND i <= 10 GROUP BY 1),
+s AS (SELECT avg(n) AS m, stddev_samp(n) AS sd FROM n)
+SELECT round(avg(pow((n - m) / sd, 3)), 6) AS skewness, max(n) AS most, sum((n = 0)::INT)::BIGINT AS never FROM n, s
+""")
+def hubness(t: Tables):
+    """How unevenly vectors occur among the ten nearest of others."""
+    rows = _scaled(t)
+    counts = vectors.nearest(rows, rows, 10).groupBy(F.col("candidate").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
+    every = rows.select("vec_id").join(counts, "vec_id", "left").select(F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("n"))
+    return every.agg(*evaluate.skewness("n"), F.max("n").alias("most"), F.sum((F.col("n") == 0).cast("bigint")).alias("never")).select(F.round(evaluate.skewness_of(), 6).alias("skewness"), "most", "never")
+
+
+@query(f"""
+WITH {_RANKED}, x AS (SELECT q, hit, round(s, 2) AS s FROM r), yes AS (SELECT * FROM x WHERE hit), n AS (SELECT * FROM x WHERE NOT hit)
+SELECT q AS query, round(avg(a), 6) AS accuracy FROM (SELECT p.q, avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END) AS a FROM (SELECT *, row_number() OVER () AS k FROM yes) p JOIN n USING (q) GROUP BY p.q, k) GROUP BY 1
+""")
+def item_item(t: Tables):
+    """How often a vector of the same label is nearer than one of another; equal scores count half."""
+    rows = _ranked(t).select("query", "hit", F.round("score", 2).alias("score"))
+    found = evaluate.pair_accuracy(rows.where("hit"), rows.where("not hit"), "query", "score")
+    return found.groupBy("query").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"))
+
+
+def _priority(r: Column, d: Column) -> Column:
+    return F.pow(r, F.lit(-0.5)) / (1 + F.pow(F.greatest(F.lit(100.0), 10 * r) / d, F.lit(2.0)))
+
+
+@query(f"""
+WITH {_UNIT}, w AS (SELECT vec_id, label, v, v[1:32] AS h FROM u),
+p AS (SELECT a.vec_id AS q, b.vec_id AS c, b.label AS g, list_inner_product(a.v, b.v) AS s, list_inner_product(a.h, b.h) AS s2 FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS i, rank() OVER (PARTITION BY q ORDER BY s2 DESC) AS j FROM p),
+k AS (SELECT *, pow(i, -0.5) / (1 + pow(greatest(100.0, 10.0 * i) / j, 2)) AS priority FROM r WHERE i <= 30),
+b AS (SELECT *, row_number() OVER (PARTITION BY q, g ORDER BY priority DESC, i, c) AS n FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY priority DESC, i, c) AS m FROM b WHERE n = 1)
+SELECT q AS query, c AS candidate, i::INT AS source_rank, j::INT AS other_rank, round(priority, 8) AS priority FROM o WHERE m <= 3
+""")
+def disagreement_mining(t: Tables):
+    """Near by all components, far by the first 32: the three that disagree most, of one label each."""
+    rows = _scaled(t)
+    half = rows.withColumn("embedding", F.slice("embedding", 1, 32))
+    n = rows.count()
+    some = rows.where("vec_id % 20 = 0")
+    first = vectors.nearest(some, rows, 30).withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate")))
+    other = vectors.nearest(half.where("vec_id % 20 = 0"), half, n).select("query", "candidate", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score"))).alias("j"))
+    both = first.join(other, ["query", "candidate"]).join(rows.select(F.col("vec_id").alias("candidate"), F.col("label").alias("g")), "candidate")
+    both = both.withColumn("priority", _priority(F.col("i").cast("double"), F.col("j").cast("double")))
+    order = [F.desc("priority"), F.col("i"), F.col("candidate")]
+    one = both.withColumn("n", F.row_number().over(Window.partitionBy("query", "g").orderBy(*order))).where("n = 1")
+    best = one.withColumn("m", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where("m <= 3")
+    return best.select("query", "candidate", F.col("i").alias("source_rank"), F.col("j").alias("other_rank"), F.round("priority", 8).alias("priority"))
+
+
+@query()
+def near_copy_suppression(t: Tables):
+    """The nearest results without near-copies of the query or of one another: a bounded list."""
+    rows = _scaled(t)
+    near = vectors.nearest(rows.where("vec_id = 1"), rows, 70).join(rows.select(F.col("vec_id").alias("candidate"), "embedding", F.col("label").alias("priority")), "candidate")
+    found = [r.asDict() for r in near.orderBy(F.desc("score"), "candidate").collect()]
+    query_vector = np.array(rows.where("vec_id = 1").first()["embedding"])
+    kept = vectors.distinct_results(found, query_vector, 20)
+    return t.spark.createDataFrame([(r["candidate"], r["score"]) for r in kept], "vec_id bigint, score double")
+
+
+@query()
+def cosine_cluster(t: Tables):
+    return cluster.cluster_groups(t.embeddings, "label", "vec_id", "embedding")
+
+
+@query()
+def ridge_probe(t: Tables):
+    """How well a linear map predicts the label, out of fold."""
+    rows = t.embeddings.withColumn("fold", evaluate.hash_fold("vec_id", 4))
+    r2 = evaluate.out_of_fold_r2(rows, "embedding", "label", "fold", 1.0)
+    return t.spark.createDataFrame([(r2,)], "r2 double")
+
+
+@query()
+def bfloat16_round_trip(t: Tables):
+    """Vectors rounded to 16 bits and back, and their products with the plain ones."""
+
+    @F.arrow_udf("array<float>")
+    def rounded(batch):
+        import pyarrow as pa
+
+        flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(batch.offsets.to_numpy() - batch.offsets[0].as_py(), pa.int32()), pa.array(vectors.from_bfloat16(vectors.bfloat16(flat))))
+
+    rows = t.embeddings.withColumn("b", rounded(F.col("embedding")))
+    return rows.select("vec_id", F.round(vectors.dot("embedding", "b"), 4).alias("kept"))
