@@ -31,8 +31,8 @@ from .common import byte_rows, raw, written
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints under the same contents that one task compares with each other; the rest of a larger group is cut again.
 TOGETHER = 4096
-#: Shingles hashed at a time.
-BLOCK = 1 << 18
+#: Shingles hashed at a time; links of a file.
+BLOCK, LINK_ROWS = 1 << 18, 200_000
 _MASK = (1 << 64) - 1
 
 
@@ -249,9 +249,10 @@ def reach(links: DataFrame) -> DataFrame:
     """Connected components by large-star and small-star: node and root, the component's smallest node by signed
     order, for all nodes but the roots. Each round is a written table; equal tables end it."""
     both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    parts = links.count() // LINK_ROWS + 1  # rounds never add links, so few files hold few of them
     state = None
     while True:
-        both = written(both, "stars")
+        both = written(both.coalesce(parts), "stars")
         new = both.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if new == state:
             return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
