@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def group_sets(edges: DataFrame, group: str, item: str, least: int = 1, to: str = "items") -> DataFrame:
     """Each group's distinct items in order, and how many."""
@@ -48,12 +50,9 @@ def similar_groups(edges: DataFrame, group: str, item: str, threshold: float) ->
 def drop_similar(sets: DataFrame, pairs: DataFrame, group: str = "g", size: str = "n_items") -> DataFrame:
     """Groups that greedy removal keeps: by size, largest first, then key, a group stays unless a similar one before it
     stays. Settled in rounds: what has no undecided similar group before it stays, what is similar to that goes. Each
-    round is checkpointed; the number of rounds is that of the longest chain."""
+    round is a written table; there are as many as the longest chain has links."""
     rows = sets.select(F.col(group).alias("g"), F.col(size).alias("n"))
-    spark = sets.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    keep = lambda df: written(df, "similar")
     order = lambda x: F.struct(-x["n"], x["g"])
     a, b = rows.alias("a"), rows.alias("b")
     links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().alias("p")

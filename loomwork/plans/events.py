@@ -207,3 +207,18 @@ def first_and_any(t: Tables):
         F.countDistinct("event_type").alias("kinds"),
         F.when(F.bool_or(F.col("event_type") == "purchase"), 2).otherwise(1).alias("code"),
     )
+
+
+@query("""
+SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1
+""")
+def stream_upsert(t: Tables):
+    """The events as a stream into a table of each user's last one."""
+    from ..storage import shared_path
+    from ..streaming.upsert import current, upsert_stream
+
+    path = shared_path(t.spark, "upserts")
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    upsert_stream(events, f"{path}/table", f"{path}/progress", "user_id", ["ts", "event_id"]).awaitTermination()
+    found, _ = current(t.spark, f"{path}/table")
+    return found.select("user_id", "event_id", "event_type", "value")
