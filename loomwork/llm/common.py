@@ -1,60 +1,14 @@
-"""What the training-data operators share: the folder all machines see, written tables, and text as bytes."""
+"""What the training-data operators share: how rows are divided, text as bytes, and samples of labelled texts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset and the master is local, a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _drop_written() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before this process
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a Parquet table in the shared folder: lineage ends there, and a lost executor
-    costs no more than the tasks that it ran."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..storage import shared_dir, shared_path, written  # noqa: F401  the operators' own modules take them from here
 
 def remainder(column: str, by: int) -> Column:
     """crc32 of the column as text, modulo: how the contracts divide rows. Null counts as the empty string."""
