@@ -82,7 +82,7 @@ def parse(data: bytes) -> list[tuple[str, list[int]]]:
     return out
 
 
-def read(spark: SparkSession, root: str, pattern: str = "*.osdb") -> DataFrame:
+def read(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, collection, item_id; a file that can't be read gives one row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     kind = pa.schema([("path", pa.string()), ("collection", pa.string()), ("item_id", pa.int64()), ("error", pa.string())])
