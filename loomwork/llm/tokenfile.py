@@ -246,6 +246,14 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """One for each worker process; what it has learnt serves later tasks. (A function of the module, so that tasks
+    refer to it: what they carry along themselves would be new in each.)"""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _blocks(batch: pa.Array) -> Iterator[list[str]]:
     texts, size = [], 0
     for x in byte_rows(batch):
@@ -272,14 +280,13 @@ def encode(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id",
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+        own = encoder(path)
         end, total = np.array([end_id], "<u4").tobytes(), np.zeros(1 << 16, np.int64)
         names = ["doc_id", "ids", "counts"]
         for batch in batches:
             out = []
             for texts in _blocks(batch.column(1)):
-                found = [np.frombuffer(x + end, "<u4") for x in _ENCODERS[path].encode(texts)]
+                found = [np.frombuffer(x + end, "<u4") for x in own.encode(texts)]
                 total = _added(total, np.bincount(np.concatenate(found)))
                 out += [b"\x02" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\x04" + x.tobytes() for x in found]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=names)

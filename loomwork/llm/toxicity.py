@@ -369,7 +369,15 @@ def scores(model: Model, words: Words | None, texts: list[bytes]) -> np.ndarray:
     return _sigmoid(top - model.shift)
 
 
-_WORDS: dict[int, Words] = {}
+_WORDS: dict[int, Words | None] = {}
+
+
+def _words(model: Model) -> Words | None:
+    """The words that a worker has read, for its later tasks with the same model."""
+    if id(model) not in _WORDS:
+        _WORDS.clear()
+        _WORDS[id(model)] = Words(model) if model.constant is None else None
+    return _WORDS[id(model)]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity") -> DataFrame:
@@ -379,10 +387,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.value
-        if id(own) not in _WORDS:  # the words that a worker has read serve its later tasks with the same model
-            _WORDS.clear()
-            _WORDS[id(own)] = Words(own) if own.constant is None else None
-        words = _WORDS[id(own)]
+        words = _words(own)
         for batch in batches:
             out, texts, size = [np.zeros(0)], [], 0
             for x in byte_rows(batch):
