@@ -98,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     parts = [F.array(entry(F.lit(SELF), F.lit(-1), F.lit(0))), F.transform("__kept", lambda x: entry(x.bitwiseAND(hash_part), x.bitwiseAND(place_part).cast("int"), F.lit(span)))]
     for n in short:
         at = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, n=n: entry(_run_key(F.col("__w"), i, n), i - 1, F.lit(n))))
+        parts.append(F.transform(at, _run_entry(entry, n)))
     # explode_outer: for explode, the optimizer would add a filter on the array's size, and repeat all its steps there
     rows = listed.select("__row", "doc_id", "__w", F.explode_outer(F.concat(*parts)).alias("e")).select("__row", "doc_id", "__w", "e.*")
     hits = rows.join(F.broadcast(keys) if small else keys, "gram")
@@ -120,6 +120,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return found.select("__row", "doc_id", F.col("n_words").cast("bigint"), covered.cast("bigint").alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), "item_ids")
 
 
+def _run_entry(entry, n: int):
+    """From a run's 1-based start to its entry. (A function of one argument: a second would be the element's place.)"""
+    return lambda i: entry(_run_key(F.col("__w"), i, n), i - 1, F.lit(n))
+
+
 def _run_key(array: Column, start: Column, n: int) -> Column:
     """Hash of n words from 1-based `start`, apart from the K-grams' hashes and the marker by its low bits."""
     return F.xxhash64(F.lit(n), F.array_join(F.slice(array, start, n), " ")).bitwiseOR(F.lit(1))
