@@ -26,10 +26,10 @@ def truncate(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
 
 def onsets(rows: DataFrame, key: str, time_ms: str, order: list, first: float = 200.0, most: float = 5000.0) -> DataFrame:
     """ioi: milliseconds since the key's row before, `first` for its first row, at most `most`. state: 0 for the first
-    row, 2 where the interval was cut, else 1."""
+    row, 2 from an interval of `most` on, else 1."""
     gap = F.col(time_ms) - F.lag(time_ms).over(Window.partitionBy(key).orderBy(*order))
     rows = rows.withColumn("__gap", gap)
-    state = F.when(F.col("__gap").isNull(), 0).when(F.col("__gap") > most, 2).otherwise(1)
+    state = F.when(F.col("__gap").isNull(), 0).when(F.col("__gap") >= most, 2).otherwise(1)
     return rows.withColumns({"ioi": clip(F.coalesce("__gap", F.lit(first)), 0.0, most), "state": state}).drop("__gap")
 
 

@@ -38,7 +38,7 @@ _MS = "CAST(epoch_us(ts) AS DOUBLE) / 1000"
 @query(f"""
 WITH a AS (SELECT event_id, user_id, {_MS} - lag({_MS}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
 SELECT event_id, user_id, CASE WHEN gap IS NULL THEN 200.0 ELSE least(greatest(gap, 0.0), 5000.0) END::DOUBLE AS ioi,
-CASE WHEN gap IS NULL THEN 0 WHEN gap > 5000 THEN 2 ELSE 1 END::INT AS state FROM a
+CASE WHEN gap IS NULL THEN 0 WHEN gap >= 5000 THEN 2 ELSE 1 END::INT AS state FROM a
 """)
 def sequence_onset_features(t: Tables):
     rows = t.events.withColumn("ms", F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1000)

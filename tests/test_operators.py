@@ -291,3 +291,60 @@ def test_entry_and_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 10
+
+
+def _objects(spark, rows):
+    """rows: time, kind and what differs from a plain circle."""
+    plain = {"map_id": 1, "x": 0, "y": 0, "end_time": None, "new_combo": False, "hit_sound": 0, "bpm": 120.0, "end_bpm": 120.0, "anchors": 0, "hard_anchors": 0, "repeats": 0, "length": 0.0, "path_valid": False, "end_dx": 0.0, "end_dy": 0.0, "third_dx": 0.0, "third_dy": 0.0, "two_thirds_dx": 0.0, "two_thirds_dy": 0.0}
+    out = []
+    for i, (time, kind, more) in enumerate(rows):
+        row = plain | {"time": time, "kind": kind, "object_index": i} | more
+        row["end_time"] = row["end_time"] or time
+        out.append(row)
+    schema = "map_id bigint, object_index int, x int, y int, time bigint, end_time bigint, kind string, new_combo boolean, hit_sound int, bpm double, end_bpm double, anchors int, hard_anchors int, repeats int, length double, path_valid boolean, end_dx double, end_dy double, third_dx double, third_dy double, two_thirds_dx double, two_thirds_dy double"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in out], schema)
+
+
+def test_standard_and_catching_features(spark):
+    from loomwork.operators import rulesets
+
+    rows = [(0, "circle", {"x": 256}), (500, "slider", {"x": 256, "end_time": 1000, "repeats": 1, "path_valid": True, "end_dx": 100.0, "length": 50.0, "anchors": 3, "hard_anchors": 1}), (1500, "circle", {"x": 259, "y": 4}), (1600, "spinner", {"end_time": 2600}), (3000, "circle", {}), (9000, "circle", {"x": 512})]
+    rows += [(9000 + 100 * i, "circle", {}) for i in range(1, 6)]
+    objects = _objects(spark, rows)
+    found = rulesets.standard(objects, None).orderBy("object_index").collect()
+    assert [r["incoming_motion_valid"] for r in found[:6]] == [0, 1, 1, 1, 0, 2]
+    assert math.isclose(found[2]["log_jump_distance"], math.log1p(5)) and math.isclose(found[2]["jump_direction_cos"], 0.6)
+    assert found[1]["span_count_bin"] == 1 and found[1]["red_anchor_bin"] == 1 and math.isclose(found[1]["span_rhythm_cos"], 1.0)
+    assert found[5]["norm_x"] == 1.0 and found[0]["norm_x"] == 0.0 and math.isclose(found[3]["log_spinner_duration_ms"], math.log1p(1000))
+    caught = rulesets.catching(objects, None).orderBy("object_index").collect()
+    assert [r["incoming_state"] for r in caught[:6]] == [0, 1, 1, 1, 0, 2] and caught[2]["movement_direction"] == 1.0
+    rules = rulesets.RULESETS["standard"]
+    assert len(rules.names) == 28 and len(set(rules.names)) == 28 and set(rules.names) <= set(found[0].asDict())
+    assert [len(rulesets.RULESETS[n].names) for n in ("drums", "catching", "keys")] == [10, 16, 16]
+    flipped = rules.augmented(rulesets.standard(objects, None), seed=1).orderBy("object_index").collect()
+    assert abs(flipped[5]["norm_x"]) == 1.0
+    vectors_ = rulesets.vectors("standard", objects, None, 4).first()
+    assert len(vectors_["rows"]) == 4 and all(len(v) == 28 for v in vectors_["rows"])
+    assert rulesets.standard(_objects(spark, rows[:5]), None).count() == 0
+
+
+def test_drum_features(spark):
+    from loomwork.operators import rulesets
+
+    rows = [(0, "circle", {}), (100, "circle", {"hit_sound": 2}), (200, "circle", {"hit_sound": 12}), (300, "slider", {"end_time": 800, "hit_sound": 4}), (900, "spinner", {"end_time": 1900, "hit_sound": 4})] + [(2000 + i, "circle", {}) for i in range(6)]
+    found = rulesets.drums(_objects(spark, rows), None).orderBy("object_index").collect()
+    assert [r["note_type"] for r in found[:5]] == [0, 1, 1, 2, 3] and [r["is_big"] for r in found[:5]] == [0, 0, 1, 1, 0]
+    assert math.isclose(found[3]["drumroll_rhythm_cos"], 1.0)
+
+
+def test_key_states(spark):
+    from loomwork.operators import rulesets
+
+    at = lambda column: {"x": column * 128 + 64}  # noqa: E731  four keys
+    rows = [(0, "circle", at(0)), (0, "hold", at(1) | {"end_time": 200}), (100, "circle", at(2)), (200, "circle", at(3)), (300, "circle", at(1))] + [(400 + 100 * i, "circle", at(0)) for i in range(6)]
+    maps_ = spark.createDataFrame([(1, 4.0)], "map_id bigint, cs double")
+    found = rulesets.keys(_objects(spark, rows), maps_).orderBy("time").collect()
+    state = lambda r: (r["left_2"], r["left_1"], r["right_1"], r["right_2"])
+    assert [state(r) for r in found[:4]] == [(1, 2, 0, 0), (0, 3, 1, 0), (0, 4, 0, 1), (0, 1, 0, 0)]
+    assert all(r["center"] == 0 and r["key_count"] == 3 for r in found)
+    assert len(rulesets.vectors("keys", _objects(spark, rows), maps_).first()["rows"]) == len(found)
