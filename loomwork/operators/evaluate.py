@@ -204,3 +204,28 @@ def sign_flip_test(differences: DataFrame, value: str, key: str, rounds: int = 2
     per = rows.mapInArrow(part, "r bigint, s double").groupBy("r").agg(F.sum("s").alias("s"))
     beyond = per.where(F.abs("s") >= abs(total["s"]) - 1e-12).count()
     return float(total["m"]), (beyond + 1) / (rounds + 1)
+
+
+def multiclass_r2_and_accuracy(rows: DataFrame, v: str, label: str, fold: str, penalty: float = 1.0, most_classes: int = 64) -> dict:
+    """Out-of-fold ridge classification: a target a class, the largest prediction wins. Sums by fold and class are
+    gathered, a system a fold is solved here, and rows are scored where they lie. Returns accuracy and macro recall."""
+    classes = [r[0] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).select(label).collect()]
+    usable = rows.where(F.col(label).isin(classes))
+    sums = {c: normal_equations(usable.withColumn("__y", (F.col(label) == c).cast("double")), v, "__y", fold) for c in classes}
+    folds = list(next(iter(sums.values())))
+    weights = {k: np.stack([solve([s for o, s in sums[c].items() if o != k], penalty) for c in classes]) for k in folds}
+    held = rows.sparkSession.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("int")
+    def best(x, k):
+        import pyarrow as pa
+
+        flat = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        flat = np.c_[flat, np.ones(len(flat))]
+        return pa.array([int((held.value[f] @ row).argmax()) for f, row in zip(k.to_pylist(), flat)], pa.int32())
+
+    index = F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1
+    scored = usable.select(index.cast("int").alias("y"), best(F.col(v).cast("array<double>"), F.col(fold).cast("string")).alias("p"))
+    per = scored.groupBy("y").agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("recall"), F.count(F.lit(1)).alias("n"))
+    total = per.agg((F.sum(F.col("recall") * F.col("n")) / F.sum("n")).alias("a"), F.avg("recall").alias("m")).first()
+    return {"accuracy": total["a"], "macro_recall": total["m"], "classes": len(classes)}

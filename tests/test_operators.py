@@ -348,3 +348,46 @@ def test_key_states(spark):
     assert [state(r) for r in found[:4]] == [(1, 2, 0, 0), (0, 3, 1, 0), (0, 4, 0, 1), (0, 1, 0, 0)]
     assert all(r["center"] == 0 and r["key_count"] == 3 for r in found)
     assert len(rulesets.vectors("keys", _objects(spark, rows), maps_).first()["rows"]) == len(found)
+
+
+def test_records(spark):
+    from loomwork.sources import records
+
+    rows = spark.createDataFrame([(1, "4", (7, "t")), (2, "x", (8, None))], "item int, state string, set struct<id:int,title:string>")
+    mapping = records.Mapping({"id": "item", "status": "state", "stars": "'no number'"}, {"status": {"4": "loved"}})
+    assert values(records.normalised(rows, mapping, "id bigint,status string,stars double,more int"), "id") == [(1, "loved", None, None), (2, None, None, None)]
+    assert values(records.flattened(rows, "set"), "item")[0] == (1, "4", 7, "t")
+    a = spark.createDataFrame([(1, None), (2, "a")], "id int, v string")
+    b = spark.createDataFrame([(1, "b", 5), (3, "c", 6)], "id int, v string, w int")
+    assert values(records.first_known([a, b], "id"), "id") == [(1, "b", 5), (2, "a", None), (3, "c", 6)]
+    coded = records.group_codes(spark.createDataFrame([(0, "b"), (1, None), (2, "a")], "i int, g string"), "g", "code", "i")
+    assert [r["code"] for r in coded.orderBy("i").collect()] == [1, -2, 0]
+
+
+def test_requests(spark):
+    from loomwork.plans.requests import SearchRequest, recommend, run
+
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 8, (rng.standard_normal(6)).tolist(), 0.1 * (i % 3), float(i) if i % 5 else None, ["4", "loved", "0"][i % 3], None if i % 7 == 0 else i * 10**12) for i in range(60)]
+    index = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>, density double, stars double, status string, released_us bigint")
+    found = run(index, SearchRequest((1, 2, 2), 5))
+    assert len(found) == 5 and [r["rank"] for r in found] == [1, 2, 3, 4, 5] and not {r["label"] for r in found} & {1, 2}
+    near = run(index, SearchRequest((1,), 9, {"stars": (10, 50)}, status="loved", exclude_same_group=False, distinct=True), statuses={"loved": ["4", "loved"]})
+    assert near and all(10 <= r["vec_id"] <= 50 and r["vec_id"] % 5 and r["vec_id"] % 3 != 2 for r in near)
+    dated = run(index, SearchRequest((1,), 60, months=("1970-01", "1970-02")))
+    assert dated and all(0 < r["vec_id"] <= 5 for r in dated)
+    for bad in ({"sources": ()}, {"sources": (1,), "top_k": 0}, {"sources": (-1,)}):
+        with pytest.raises(ValueError):
+            SearchRequest(**bad)
+    with pytest.raises(KeyError):
+        run(index, SearchRequest((999,)))
+    plays = spark.createDataFrame([(1, ["HD"]), (2, ["HD", "DT"]), (3, [])], "vec_id bigint, mods array<string>")
+    drawn = recommend(index, plays, ["HD"], SearchRequest((1,), 10, exclude_same_group=False))
+    assert len(drawn) == 5 and drawn == recommend(index, plays, ["HD"], SearchRequest((1,), 10, exclude_same_group=False)) and not {r["vec_id"] for r in drawn} & {1, 2, 3}
+
+
+def test_multiclass_probe(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 3, i % 4, (np.eye(3)[i % 3] * 3 + rng.standard_normal(3)).tolist()) for i in range(120)]
+    found = evaluate.multiclass_r2_and_accuracy(spark.createDataFrame(rows, "i int, y int, f int, v array<double>"), "v", "y", "f")
+    assert found["classes"] == 3 and found["accuracy"] > 0.85 and found["macro_recall"] > 0.85
