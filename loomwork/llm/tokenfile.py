@@ -34,8 +34,10 @@ from .common import byte_rows, raw, shared_path, written
 from .pieces import splits
 
 MAGIC = b"LWTK0001"
-#: Longest code in bits; ids of a block; stretches of text that a worker keeps.
-LIMIT, BLOCK_IDS, KEPT = 18, 1024, 900_000
+#: Longest code in bits; ids of a block; stretches of text, and texts, that a worker keeps.
+LIMIT, BLOCK_IDS, KEPT, COPIES = 18, 1024, 1_100_000, 2000
+#: Signs that form a piece of their own after a word.
+SIGNS = ".,;:!?%&$#*|"
 #: Blocks decoded side by side; ids of a file; ranges up to which their bounds are worked out here.
 TOGETHER, FILE_IDS, MOST_RANGES = 4096, 6_000_000, 4096
 
@@ -197,50 +199,104 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids by the tokenizers library, each distinct stretch between spaces once. Text of Latin-1 characters is cut here;
-    other text, for which the library's classes of characters decide, goes to the library whole."""
+    """Ids by the tokenizers library, each distinct stretch between spaces once, a word and the signs after it apart.
+    Text of Latin-1 characters is cut here; other text, for which the library's classes of characters decide, goes to
+    the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.seen: set[int] = set()
+        self.copies: dict[str, bytes] = {}
+        sizes = {x: len(x) for x in ByteLevel.alphabet()}  # a byte is one character of a token's name
+        vocabulary = self.own.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, i in vocabulary.items():
+            self.sizes[i] = sum(sizes.get(x, len(x.encode())) for x in name)
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, stretches: list[str]) -> None:
+        """Stretches that stay apart when they follow each other: one call for many, cut by the tokens' bytes."""
+        for low in range(0, len(stretches), 4000):
+            part = stretches[low : low + 4000]
+            whole = " " + " ".join(part)
+            ids = np.array(self.own.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.fromiter((len(c.encode()) for c in part) if not whole.isascii() else map(len, part), np.int64, len(part)) + 1
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(ends)) + 4).tolist()
+            data, at = ids.tobytes(), 0
+            for c, end in zip(part, cuts):
+                self.known[c] = data[at:end]
+                at = end
+
     def _learn(self, new: list[str]) -> None:
         """The ids of a space and what stands between it and the next."""
-        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        for low in range(0, len(plain), 2000):  # these stay apart when they follow each other: one call for many
-            part = [" " + c for c in plain[low : low + 2000]]
-            found = self.own.encode("".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(c) for c in part])
-            starts = np.array([a for a, _ in found.offsets])
-            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
-            data = np.array(found.ids, "<u4").tobytes()
-            self.known.update((c[1:], data[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
-        rest = [c for c in new if c not in self.known]
-        self.known.update(zip(rest, self._each([" " + c for c in rest])))
+        known, signs = self.known, self.signs
+        words, ended, plain, rest = [], [], [], []
+        for c in new:
+            if c.isalpha():
+                words.append(c)
+            elif (w := c.rstrip(SIGNS)).isalpha():
+                ended.append((c, w))
+            elif c and not c[0].isspace() and not c[-1].isspace():
+                plain.append(c)
+            else:
+                rest.append(c)
+        words += {w for _, w in ended if w not in known}.difference(words)
+        self._together(words + plain)
+        for c, w in ended:
+            end = c[len(w) :]
+            if end not in signs:
+                signs[end] = self._each([end])[0]
+            known[c] = known[w] + signs[end]
+        known.update(zip(rest, self._each([" " + c for c in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text. A text that comes again is kept, for its further copies."""
+        copies, seen = self.copies, self.seen
+        if len(copies) >= COPIES:
+            copies.clear()
+        if len(seen) >= 100 * COPIES:
+            seen.clear()
+        new = list(dict.fromkeys(x for x in texts if x not in copies))
+        found = dict(zip(new, self._encode(new)))
+        out = [copies[x] if x in copies else found[x] for x in texts]
+        for x in new:
+            if (h := hash(x)) in seen and len(x) < 1 << 16:
+                copies[x] = found[x]
+            seen.add(h)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) >= KEPT:
             self.known.clear()
-        cut: list[list[str] | None] = []
+            self.signs.clear()
+        get, gaps = self.known.get, []
+        found: list[list[bytes | None]] = []
         whole: list[str] = []  # texts that can't be cut, and the others up to their first space
-        for x in texts:
+        for k, x in enumerate(texts):
             try:
                 x.encode("latin-1")
                 own = x.split(" ") if splits(x) else None
             except UnicodeEncodeError:
                 own = None
             whole.append(x if own is None else own.pop(0))
-            cut.append(own)
-        known = self.known
-        self._learn(list({x for c in cut if c for x in c if x not in known}))
-        return [first + b"".join(map(known.__getitem__, c or ())) for first, c in zip(self._each(whole), cut)]
+            ids = list(map(get, own or ()))
+            found.append(ids)
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((k, at, own[at]))
+        self._learn(list({c for _, _, c in gaps}))
+        for k, at, c in gaps:
+            found[k][at] = self.known[c]
+        return [first + b"".join(ids) for first, ids in zip(self._each(whole), found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
