@@ -1,8 +1,9 @@
 """Quality by a convolutional network over bytes, trained and run in numpy.
 
-Each byte has a learned vector; learned filters over WIDTH bytes, every STRIDE bytes, are pooled by their maximum over
-chunks of CHUNK bytes. Chunks overlap and cover the whole text. Over a text's chunks the pooled values are averaged, and
-their maximum and minimum taken; a hidden layer and a logistic unit combine these into one probability.
+Each byte has a learned vector, and beside it how long the bytes up to it have repeated what is a few bytes before them.
+Learned filters over WIDTH bytes, every STRIDE bytes, are pooled by their maximum over chunks of CHUNK bytes. Chunks
+overlap and cover the whole text. Over a text's chunks the pooled values are averaged, and their maximum and minimum
+taken; with the text's length, a hidden layer and a logistic unit combine these into one probability.
 
 Null and empty texts are scored as one chunk of padding. Without any labelled row the score is 0.5; with labels of one
 class only, that class's value. Repeated rows get equal scores; an empty table gives an empty table; other columns are
@@ -23,6 +24,10 @@ from .common import byte_rows, labelled_sample, raw
 
 #: Bytes of a filter and between its places; sizes of a byte's vector, and of the filter bank and the hidden layer.
 WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 8, 2, 8, 40, 16
+#: How far back bytes are compared, bytes that must agree, and the longest repetition that is told from longer ones.
+LAGS, AGREE, LONGEST = range(2, 25), 8, 96
+#: Zero bytes before a text, so that nothing looks into the text before it.
+LEAD = 32
 #: Bytes of a chunk, and the parts it is pooled from; chunks start every CHUNK - PART bytes.
 CHUNK, PART = 512, 128
 #: Labelled rows learnt from, of each class at most, and the longest text among them; passes over that many rows.
@@ -39,22 +44,49 @@ class Model:
 
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts after each other, each after WIDTH zero bytes and filled with zeros to whole parts; parts per text."""
-    parts = np.array([-(-(len(x) + WIDTH) // PART) for x in texts])
+    """The texts after each other, each after LEAD zero bytes and filled with zeros to whole parts; parts per text."""
+    parts = np.array([-(-(len(x) + LEAD) // PART) for x in texts])
     out = bytearray()
     for x, n in zip(texts, parts):
-        out += bytes(WIDTH)
+        out += bytes(LEAD)
         out += x
-        out += bytes(int(n) * PART - WIDTH - len(x))
+        out += bytes(int(n) * PART - LEAD - len(x))
     return np.frombuffer(bytes(out) + bytes(WIDTH), np.uint8), parts
 
 
+def repetition(stream: np.ndarray) -> np.ndarray:
+    """For each byte, over LONGEST, how many bytes up to it belong to stretches that repeat earlier ones."""
+    n = len(stream)
+    held = np.zeros(n, bool)
+    for lag in LAGS:
+        if n <= lag + AGREE:
+            break
+        same = stream[lag:] == stream[:-lag]
+        width = 1
+        while width < AGREE:  # whether all of the last `width` bytes agree, by doubling
+            same[width:] &= same[:-width]
+            same[:width] = False
+            width *= 2
+        held[lag:] |= same
+    held &= stream != 0
+    at = np.arange(n)
+    start = np.maximum.accumulate(np.where(held, 0, at + 1))
+    return (np.minimum(at + 1 - start, LONGEST) * np.float32(1 / LONGEST)).astype(np.float32)
+
+
+def _inputs(p: dict, stream: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    out = np.empty((*stream.shape, VECTOR + 1), p["E"].dtype)
+    out[..., :VECTOR] = p["E"][stream]
+    out[..., VECTOR] = repeats
+    return out
+
+
 def _bank(p: dict) -> np.ndarray:
     """The filters by pairs of bytes: WIDTH / STRIDE slices beside each other."""
-    return p["F"].reshape(WIDTH // STRIDE, STRIDE * VECTOR, FILTERS).transpose(1, 0, 2).reshape(STRIDE * VECTOR, -1)
+    return p["F"].reshape(WIDTH // STRIDE, STRIDE * (VECTOR + 1), FILTERS).transpose(1, 0, 2).reshape(STRIDE * (VECTOR + 1), -1)
 
 
-def _parts(p: dict, stream: np.ndarray, where: bool = False):
+def _parts(p: dict, stream: np.ndarray, repeats: np.ndarray, where: bool = False):
     """The filters' largest values over each part, before the bias; with `where`, also the places."""
     slices, bank = WIDTH // STRIDE, _bank(p)
     n = (len(stream) - WIDTH) // PART
@@ -63,7 +95,8 @@ def _parts(p: dict, stream: np.ndarray, where: bool = False):
     for low in range(0, n, step):
         high = min(n, low + step)
         places = (high - low) * PART // STRIDE
-        vectors = p["E"][stream[low * PART : high * PART + WIDTH - STRIDE]].reshape(places + slices - 1, STRIDE * VECTOR)
+        own = slice(low * PART, high * PART + WIDTH - STRIDE)
+        vectors = _inputs(p, stream[own], repeats[own]).reshape(places + slices - 1, STRIDE * (VECTOR + 1))
         product = vectors @ bank
         total = product[:places, :FILTERS].copy()
         for j in range(1, slices):
@@ -85,19 +118,19 @@ def _chunks(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.minimum(first + width, (begin + parts)[text]) - 1, per
 
 
-def _features(pooled: np.ndarray, parts: np.ndarray):
-    """Per text: mean, maximum and minimum over its chunks of the chunks' largest values."""
+def _features(pooled: np.ndarray, parts: np.ndarray, sizes: np.ndarray):
+    """Per text: mean, maximum and minimum over its chunks of the chunks' largest values, and its length."""
     first, last, per = _chunks(parts)
     edges = np.stack([first, last + 1], 1).ravel()
     value = np.maximum.reduceat(np.concatenate([pooled, pooled[:1]]), edges, axis=0)[::2]
     begin = np.cumsum(per) - per
     value = np.maximum(value, 0)
-    return np.concatenate([np.add.reduceat(value, begin, axis=0) / per[:, None], np.maximum.reduceat(value, begin, axis=0), np.minimum.reduceat(value, begin, axis=0)], axis=1), (first, last, per, value)
+    return np.concatenate([np.add.reduceat(value, begin, axis=0) / per[:, None], np.maximum.reduceat(value, begin, axis=0), np.minimum.reduceat(value, begin, axis=0), np.log1p(sizes)[:, None] / 10], axis=1), (first, last, per, value)
 
 
 def logits(p: dict, texts: list[bytes]) -> np.ndarray:
     stream, parts = lay_out(texts)
-    features, _ = _features(_parts(p, stream)[0] + p["f"], parts)
+    features, _ = _features(_parts(p, stream, repetition(stream))[0] + p["f"], parts, np.array([len(x) for x in texts]))
     hidden = np.maximum(features @ p["H"] + p["h"], 0)
     return hidden @ p["w"] + p["c"][0]
 
@@ -108,9 +141,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _gradients(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     stream, parts = lay_out(texts)
-    pooled, at = _parts(p, stream, where=True)
+    repeats = repetition(stream)
+    pooled, at = _parts(p, stream, repeats, where=True)
     pooled += p["f"]
-    features, (first, last, per, value) = _features(pooled, parts)
+    features, (first, last, per, value) = _features(pooled, parts, np.array([len(x) for x in texts]))
     hidden = np.maximum(features @ p["H"] + p["h"], 0)
     logit = hidden @ p["w"] + p["c"][0]
     error = ((_sigmoid(logit) - y) * weight / len(y)).astype(np.float32)
@@ -124,7 +158,7 @@ def _gradients(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -
     for k, (low, high) in enumerate(zip(begin, begin + per)):
         own = value[low:high]
         d_value[low + own.argmax(axis=0), columns] += d[k, FILTERS : 2 * FILTERS]
-        d_value[low + own.argmin(axis=0), columns] += d[k, 2 * FILTERS :]
+        d_value[low + own.argmin(axis=0), columns] += d[k, 2 * FILTERS : 3 * FILTERS]
     d_value *= value > 0
     # a chunk's largest value comes from one of its parts, there from one place
     best = np.repeat(first[:, None], FILTERS, axis=1)
@@ -135,11 +169,12 @@ def _gradients(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -
         best = np.where(better, other[:, None], best)
         top = np.maximum(top, pooled[other])
     place = at[best, columns]  # chunks, FILTERS
-    bytes_ = stream[place[:, :, None] + np.arange(WIDTH)]
-    vectors = p["E"][bytes_].reshape(len(first), FILTERS, WIDTH * VECTOR)
+    covered = place[:, :, None] + np.arange(WIDTH)
+    bytes_ = stream[covered]
+    vectors = _inputs(p, bytes_, repeats[covered]).reshape(len(first), FILTERS, -1)
     g["f"] = d_value.sum(axis=0)
     g["F"] = np.einsum("cf,cfk->kf", d_value, vectors)
-    d_vectors = (d_value[:, :, None] * p["F"].T[None]).reshape(-1, VECTOR)
+    d_vectors = (d_value[:, :, None] * p["F"].T[None]).reshape(-1, VECTOR + 1)
     flat = bytes_.reshape(-1)
     g["E"] = np.stack([np.bincount(flat, d_vectors[:, j], 256) for j in range(VECTOR)], axis=1).astype(np.float32)
     return g
@@ -154,7 +189,7 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
     passes = passes or min(MOST_PASSES, max(PASSES, 2 * LEARN_ROWS * PASSES // len(y)))
     rng = np.random.default_rng(seed)
     f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-    p = {"E": f(256, VECTOR, scale=0.5), "F": f(WIDTH * VECTOR, FILTERS, scale=0.2), "f": np.full(FILTERS, -0.5, np.float32), "H": f(3 * FILTERS, HIDDEN, scale=0.15), "h": np.full(HIDDEN, 0.1, np.float32), "w": f(HIDDEN, scale=0.3), "c": np.zeros(1, np.float32)}
+    p = {"E": f(256, VECTOR, scale=0.5), "F": f(WIDTH * (VECTOR + 1), FILTERS, scale=0.2), "f": np.full(FILTERS, -0.5, np.float32), "H": f(3 * FILTERS + 1, HIDDEN, scale=0.15), "h": np.full(HIDDEN, 0.1, np.float32), "w": f(HIDDEN, scale=0.3), "c": np.zeros(1, np.float32)}
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step, size = 0, 32
