@@ -30,11 +30,11 @@ WINDOW, STEP = 48, 36
 VECTOR, STATE, ATTEND, WORD_ROWS, GRAM_ROWS = 16, 16, 8, 1 << 14, 1 << 15
 #: Labelled rows learnt from, of each class at most, and the longest text among them; passes over that many rows of both
 #: classes, more over fewer rows, up to the most passes.
-LEARN_ROWS, LEARN_BYTES, PASSES, MOST_PASSES = 2000, 60_000, 7, 24
+LEARN_ROWS, LEARN_BYTES, PASSES, MOST_PASSES = 1600, 60_000, 8, 24
 #: Texts that must hold a word or a run of bytes for its vector to be learnt.
-RARE = 4
+RARE = 6
 #: Windows computed together; words that a worker keeps; words whose vectors are made together.
-BATCH, KEPT, CHUNK = 2048, 300_000, 20_000
+BATCH, KEPT, CHUNK = 2048, 200_000, 20_000
 _AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
@@ -95,8 +95,10 @@ class Words:
         """Inputs by direction, gate and word."""
         n = len(x)
         out = np.empty((2, 3, n, STATE), np.float32)
-        for d in (0, 1):
-            out[d] = (x @ self.p["W"][d] + self.p["b"][d]).reshape(n, 3, STATE).transpose(1, 0, 2)
+        for low in range(0, n, CHUNK):
+            part = x[low : low + CHUNK]
+            for d in (0, 1):
+                out[d, :, low : low + CHUNK] = (part @ self.p["W"][d] + self.p["b"][d]).reshape(len(part), 3, STATE).transpose(1, 0, 2)
         return out
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -130,7 +132,7 @@ def windows_of(n: int) -> list[int]:
 def cut(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows as rows of word numbers (0 past the end), their lengths, and how many each text has."""
     per = np.array([len(windows_of(len(x))) for x in numbers])
-    at = np.zeros((per.sum(), WINDOW), np.int64)
+    at = np.zeros((per.sum(), WINDOW), np.int32)
     sizes = np.zeros(per.sum(), np.int64)
     row = 0
     for x, n in zip(numbers, per):
@@ -221,8 +223,9 @@ def _odds(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.nda
     for x, label in zip(rows, labels):
         seen[label, x] += 1
     n = np.bincount(labels, minlength=2)
-    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     both = seen.sum(axis=0)
+    usual = (both + 1e-3) / n.sum()  # two more texts of either class hold it as often as all do
+    odds = np.log((seen[1] + 2 * usual) / (n[1] + 2)) - np.log((seen[0] + 2 * usual) / (n[0] + 2))
     return (odds.clip(-4, 4) * both / (both + RARE)).astype(np.float32), both >= RARE
 
 
@@ -241,7 +244,7 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
     vocabulary: dict[bytes, int] = {}
     numbers = []
     for x in texts:
-        numbers.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(x)], np.int64))
+        numbers.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(x)], np.int32))
     words = Words(Model(p))
     own, grams, begin = words.vectors([b"", *vocabulary])
     ends = np.append(begin, len(grams))
@@ -342,12 +345,13 @@ def _back(p: dict, kept, error: np.ndarray, inverse: np.ndarray, used: int) -> t
 
 
 def _parting(top: np.ndarray, y: np.ndarray) -> float:
-    """The log odds that part the classes with the least mean error of both; amid the widest such gap."""
+    """The log odds that part the classes with the least error, a clean text's share counting double; amid the widest
+    such gap."""
     order = np.argsort(top)
     top, y = top[order], y[order]
     missed = np.cumsum(np.r_[0, y]) / max(1, y.sum())
     false = 1 - np.cumsum(np.r_[0, 1 - y]) / max(1, (1 - y).sum())
-    cost = missed + false
+    cost = missed + 2 * false
     edges = np.r_[top[0] - 2, top, top[-1] + 2]
     best = np.flatnonzero(cost <= cost.min() + 1e-9)
     at = best[np.argmax(edges[best + 1] - edges[best])]
