@@ -5,21 +5,28 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="loomwork-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset and the master is local, a folder of this machine."""
+    """The folder in spark.checkpoint.dir, with its file system. Only where it is unset and the master is local, a folder
+    of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        found = _own_folder()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
