@@ -100,7 +100,7 @@ def state_grid_pack(t: Tables):
 
 
 @query("""
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_object('event_id', event_id, 'event_type', event_type) AS json FROM events
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_object('event_id', event_id, 'event_type', event_type) AS VARCHAR) AS json FROM events
 """)
 def json_props(t: Tables):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.to_json(F.struct("event_id", "event_type")).alias("json"))
