@@ -367,3 +367,20 @@ def test_neighbours_query(spark):
         s[ids == q] = -np.inf
         hits += len(set(ids[np.lexsort((ids, -s))[:20]]) & set(rows[rows.query_id == q].vec_id))
     assert hits / len(rows) >= 0.9
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_with_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    duck = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        duck.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    df = queries.queries()[name](spark, SF)
+    found = duck.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(found.fetchall(), key=str)
