@@ -34,7 +34,7 @@ LEARN_ROWS, LEARN_BYTES, PASSES, MOST_PASSES = 1600, 60_000, 8, 24
 #: Texts that must hold a word or a run of bytes for its vector to be learnt.
 RARE = 6
 #: Windows computed together; words that a worker keeps; words whose vectors are made together.
-BATCH, KEPT, CHUNK = 2048, 200_000, 20_000
+BATCH, KEPT, CHUNK = 2048, 150_000, 20_000
 _AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
@@ -114,7 +114,7 @@ class Words:
                 new = list(dict.fromkeys(w for w, i in zip(words, found) if i < 0))
             end = self.rows + len(new)
             if end > self.tables.shape[2]:
-                more = np.zeros((2, 3, end * 3 // 2, STATE), np.float32)
+                more = np.zeros((2, 3, end * 6 // 5, STATE), np.float32)
                 more[:, :, : self.rows] = self.tables[:, :, : self.rows]
                 self.tables = more
             self.tables[:, :, self.rows : end] = self.projected(self.inputs(*self.vectors(new)))
