@@ -25,7 +25,7 @@ from .common import byte_rows, raw
 from .pieces import PATTERN, splits
 
 #: Entries that a worker keeps of pieces, of what stands between spaces, and of pairs; a full table is emptied.
-PIECES, CHUNKS, PAIRS = 900_000, 600_000, 1_000_000
+PIECES, CHUNKS, PAIRS = 350_000, 350_000, 500_000
 NEVER = 1 << 40
 
 
@@ -102,16 +102,12 @@ class PrefixEncoder:
         return len(self.tokens[token]) == 1 or self.parts(token) is not None
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both tokens gives just these two. Seen backwards in time, the symbols at the
+        """Whether the right token stands, and merging the bytes of both tokens gives just these two. Seen backwards in time, the symbols at the
         border are taken apart one by one, the last made first; a merge across the border of lower rank than what
         consumed either symbol would have come first. Of equal ranks the left one comes first."""
-        key = left << 32 | right
-        found = self._pairs.get(key)
-        if found is not None:
-            return found
         tokens, ranks = self.tokens, self.ranks
-        x, y, end_x, end_y, found = left, right, NEVER, NEVER, True
-        while True:
+        x, y, end_x, end_y, found = left, right, NEVER, NEVER, self.stands(right)
+        while found:
             rank = ranks.get(tokens[x] + tokens[y])
             if rank is not None and rank < end_x and rank <= end_y:
                 found = False
@@ -125,19 +121,27 @@ class PrefixEncoder:
                 y, end_y = cut_y[0], y
         if len(self._pairs) >= PAIRS:
             self._pairs.clear()
-        self._pairs[key] = found
+        self._pairs[left << 32 | right] = found
         return found
 
     def extend(self, data: bytes, last: list[int], old: list[int] | None = None, shift: int = 0, settled: int = 0) -> list[int]:
         """Appends to `last` the last token of each further prefix of `data`. With `old`, the entries before an edit
         that moved what follows by `shift`: once as many entries agree as the longest token has bytes, past `settled`,
         the rest is taken over."""
-        ranks, follows = self.ranks, self.follows
+        rank, pair, longest = self.ranks.get, self._pairs.get, self.longest
         agreed = 0
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and self.stands(token) and (start == 0 or follows(last[start - 1], token)):
+            for start in range(end - longest if end > longest else 0, end):
+                token = rank(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    fits = pair(last[start - 1] << 32 | token)
+                    if fits is None:
+                        fits = self.follows(last[start - 1], token)
+                else:
+                    fits = self.stands(token)
+                if fits:
                     last.append(token)
                     break
             if old is not None and end > settled:

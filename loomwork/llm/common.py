@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,13 @@ def byte_rows(batch: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system: its worker may stay, and wait, for a long time."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library may lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], list[int]]:
     """Texts and labels 0 or 1 of `rows` labelled keys of each class at most, those of the least hashes, without texts
     that are null or longer than `longest` bytes. The keys are chosen among the labels alone and then sent to the

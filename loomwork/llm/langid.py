@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw
+from .common import byte_rows, raw, tidy
 
 UNDETERMINED = "und"
 #: Context bytes; bytes of labelled text learnt from for each language (about, and the longest single text).
@@ -235,6 +235,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", to: str = "langua
             if texts:
                 flush()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        tidy()
 
     return docs.withColumn(to, score(raw(text)))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, labelled_sample, raw
+from .common import byte_rows, labelled_sample, raw, tidy
 
 #: Bytes of a filter and between its places; sizes of a byte's vector, and of the filter bank and the hidden layer.
 WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 8, 2, 8, 40, 16
@@ -237,5 +237,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "quality"
             if texts:
                 out.append(scores(own, texts))
             yield pa.array(np.concatenate(out))
+        tidy()
 
     return docs.withColumn(to, of(raw(text)))

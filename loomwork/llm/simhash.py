@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw, written
+from .common import byte_rows, raw, tidy, written
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints under the same contents that one task compares with each other; the rest of a larger group is cut again.
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp", words: int
         for batch in batches:
             found = np.array([fingerprint(x, words, seed) for x in byte_rows(batch)], np.uint64)
             yield pa.array(found.view(np.int64))
+        tidy()
 
     return docs.withColumn(to, of(raw(text)))
 

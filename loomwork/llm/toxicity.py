@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, labelled_sample, raw
+from .common import byte_rows, labelled_sample, raw, tidy
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STEP = 48, 36
@@ -373,17 +373,6 @@ def scores(model: Model, words: Words | None, texts: list[bytes]) -> np.ndarray:
     return _sigmoid(top - model.shift)
 
 
-_WORDS: dict[int, Words | None] = {}
-
-
-def _words(model: Model) -> Words | None:
-    """The words that a worker has read, for its later tasks with the same model."""
-    if id(model) not in _WORDS:
-        _WORDS.clear()
-        _WORDS[id(model)] = Words(model) if model.constant is None else None
-    return _WORDS[id(model)]
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity") -> DataFrame:
     """Adds the probability that the text is toxic."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -391,7 +380,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.value
-        words = _words(own)
+        words = Words(own) if own.constant is None else None
         for batch in batches:
             out, texts, size = [np.zeros(0)], [], 0
             for x in byte_rows(batch):
@@ -403,5 +392,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity
             if texts:
                 out.append(scores(own, words, texts))
             yield pa.array(np.concatenate(out))
+        del words
+        tidy()
 
     return docs.withColumn(to, of(raw(text)))
