@@ -35,7 +35,7 @@ from .pieces import splits
 
 MAGIC = b"LWTK0001"
 #: Longest code in bits; ids of a block; stretches of text, and texts, that a worker keeps.
-LIMIT, BLOCK_IDS, KEPT, COPIES = 18, 1024, 1_100_000, 2000
+LIMIT, BLOCK_IDS, KEPT, COPIES = 18, 1024, 1_600_000, 2000
 #: Signs that form a piece of their own after a word.
 SIGNS = ".,;:!?%&$#*|"
 #: Blocks decoded side by side; ids of a file; ranges up to which their bounds are worked out here.
