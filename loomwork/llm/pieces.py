@@ -14,6 +14,10 @@ import regex
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Of the other white space, those within ASCII, which come first.
+ASCII_SPACES = 4
+
+
 @cache
 def other_spaces() -> list[str]:
     """White space but the space and the line feed."""
@@ -25,4 +29,5 @@ def splits(text: str) -> bool:
     """Whether no space stands between white space, or between white space and the text's end."""
     if "   " in text or "\n  " in text or "  \n" in text or "\n \n" in text or text[-2:] in ("\n ", "  "):
         return False
-    return not any(c in text for c in other_spaces())
+    spaces = other_spaces()
+    return not any(c in text for c in (spaces[:ASCII_SPACES] if text.isascii() else spaces))

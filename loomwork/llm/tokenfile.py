@@ -330,7 +330,7 @@ def _added(total: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids: with the end id, little-endian unsigned integers, of 16 bits if all of a document fit, behind a byte
+    """doc_id, ids: with the end id, little-endian unsigned integers, of 16 bits if those of its neighbours fit too, behind a byte
     that gives the width in bytes. Besides, each task adds a row with `counts`: the ids that it has seen and how often,
     as 64-bit integers."""
 
@@ -342,9 +342,14 @@ def encode(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id",
         for batch in batches:
             out = []
             for texts in _blocks(batch.column(1)):
-                found = [np.frombuffer(x + end, "<u4") for x in own.encode(texts)]
-                total = _added(total, np.bincount(np.concatenate(found)))
-                out += [b"\x02" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\x04" + x.tobytes() for x in found]
+                found = own.encode(texts)
+                ids = np.frombuffer(end.join([*found, b""]), "<u4")
+                total = _added(total, np.bincount(ids))
+                width = 2 if ids.max() < 1 << 16 else 4
+                data, first, at = ids.astype(f"<u{width}").tobytes(), bytes([width]), 0
+                for x in found:
+                    start, at = at, at + (len(x) // 4 + 1) * width
+                    out.append(first + data[start:at])
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=names)
         used = np.flatnonzero(total)
         if len(used):
