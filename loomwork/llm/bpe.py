@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import byte_rows, raw
 from .pieces import PATTERN, splits
 
-#: Entries that a worker keeps of pieces, of what stands between spaces, and of pairs; a full table is emptied.
-PIECES, CHUNKS, PAIRS = 350_000, 350_000, 500_000
+#: Entries that a worker keeps of pieces, of what stands between spaces, and of pairs of tokens.
+PIECES, CHUNKS, PAIRS = 600_000, 400_000, 400_000
 NEVER = 1 << 40
 
 
@@ -34,34 +34,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class Pieces(dict):
-    """Piece to its ids' bytes; an unknown piece is encoded, and kept if it is short."""
+class Kept(dict):
+    """A table of what has been worked out, of `most` entries: when it is half full, it becomes the older half, whose
+    entries come back as they are asked for, and what no one asks for is dropped."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, work_out, most: int):
+        self.work_out, self.half, self.older = work_out, most // 2, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece.encode("utf-8", "replace")), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= PIECES:
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.work_out(key)
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
-
-
-class Chunks(dict):
-    """What stands between two spaces to the ids of it and the space before it."""
-
-    def __init__(self, pieces: Pieces, find):
-        self.pieces, self.find = pieces, find
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.pieces.__getitem__, self.find(" " + chunk)))
-        if len(chunk) <= 64:
-            if len(self) >= CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+            self[key] = found
+        return found
 
 
 class PrefixEncoder:
@@ -76,8 +65,8 @@ class PrefixEncoder:
         self.find = regex.compile(pattern).findall
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
-        self._pieces = Pieces(self.piece)
-        self._chunks = Chunks(self._pieces, self.find) if pattern == PATTERN else None
+        self._pieces = Kept(self._ids, PIECES)
+        self._chunks = Kept(self._after_space, CHUNKS) if pattern == PATTERN else None
 
     def merged(self, data: bytes, below: int = NEVER) -> list[int]:
         """Merging by lowest rank, leftmost first, with ranks below a limit only: the definition the rest rests on."""
@@ -161,6 +150,13 @@ class PrefixEncoder:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.walk(self.extend(data, []))
 
+    def _ids(self, piece: str) -> bytes:
+        return np.array(self.piece(piece.encode("utf-8", "replace")), "<u4").tobytes()
+
+    def _after_space(self, chunk: str) -> bytes:
+        """The ids of a space and what stands between it and the next."""
+        return b"".join(map(self._pieces.__getitem__, self.find(" " + chunk)))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self._chunks is not None and splits(text):

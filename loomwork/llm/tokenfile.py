@@ -210,6 +210,7 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
         self.seen: set[int] = set()
         self.copies: dict[str, bytes] = {}
@@ -274,9 +275,8 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) >= KEPT:
-            self.known.clear()
-            self.signs.clear()
+        if len(self.known) >= KEPT // 2:  # what is asked for again comes back from the older half
+            self.older, self.known, self.signs = self.known, {}, {}
         get, gaps = self.known.get, []
         found: list[list[bytes | None]] = []
         whole: list[str] = []  # texts that can't be cut, and the others up to their first space
@@ -293,7 +293,13 @@ class Encoder:
             for _ in range(ids.count(None)):
                 at = ids.index(None, at + 1)
                 gaps.append((k, at, own[at]))
-        self._learn(list({c for _, _, c in gaps}))
+        known, older, new = self.known, self.older, []
+        for c in {c for _, _, c in gaps}:
+            if c in older:
+                known[c] = older[c]
+            else:
+                new.append(c)
+        self._learn(new)
         for k, at, c in gaps:
             found[k][at] = self.known[c]
         return [first + b"".join(ids) for first, ids in zip(self._each(whole), found)]

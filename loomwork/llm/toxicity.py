@@ -27,7 +27,7 @@ from .common import byte_rows, labelled_sample, raw, tidy
 #: Words of a window and from one window's start to the next.
 WINDOW, STEP = 48, 36
 #: Sizes of word vectors, of each direction's state, of the attention layer, and of the tables that hashes point into.
-VECTOR, STATE, ATTEND, WORD_ROWS, GRAM_ROWS = 16, 16, 8, 1 << 14, 1 << 15
+VECTOR, STATE, ATTEND, WORD_ROWS, GRAM_BITS = 16, 16, 8, 1 << 14, 15
 #: Labelled rows learnt from, of each class at most, and the longest text among them; passes over that many rows of both
 #: classes, more over fewer rows, up to the most passes.
 LEARN_ROWS, LEARN_BYTES, PASSES, MOST_PASSES = 1600, 60_000, 8, 24
@@ -43,10 +43,25 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_AS_WORDS).split()
 
 
-def _gram_rows(word: bytes, rows: int) -> list[int]:
-    marked = b"<" + word[:40] + b">"
-    n, crc = len(marked), zlib.crc32
-    return [crc(marked[i : i + k]) % rows for k in (3, 4, 5) for i in range(n - k + 1)] or [crc(marked) % rows]
+def _gram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the grams' table for each word's runs of 3 to 5 bytes, its ends marked, and where each word's begin. The
+    hashes are worked out at all places of all words at once."""
+    marked = [b"<" + w[:40] + b">" if w else b"<<>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    x = np.frombuffer(b"".join(marked) + bytes(4), np.uint8).astype(np.uint32)
+    n = len(x) - 4
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    value, owners, rows = np.zeros(n, np.uint32), [], []
+    for k in range(1, 6):
+        value = value * np.uint32(0x01000193) + x[k - 1 : k - 1 + n] + np.uint32(k)
+        if k >= 3:
+            whole = left >= k
+            owners.append(word[whole])
+            rows.append(((value[whole] * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)).astype(np.int32))
+    owner, row = np.concatenate(owners), np.concatenate(rows)
+    order = np.argsort(owner, kind="stable")
+    return row[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
 @dataclass
@@ -75,12 +90,13 @@ class Words:
     def vectors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the words' table; rows of the grams' table and where each word's begin."""
         own = np.fromiter((zlib.crc32(w) % WORD_ROWS for w in words), np.int32, len(words))
-        parts, sizes = [np.zeros(0, np.int32)], []
+        rows, first, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
         for low in range(0, len(words), CHUNK):
-            rows = [_gram_rows(w, GRAM_ROWS) for w in words[low : low + CHUNK]]
-            sizes += map(len, rows)
-            parts.append(np.array([r for x in rows for r in x], np.int32))
-        return own, np.concatenate(parts), np.cumsum([0, *sizes])[:-1]
+            part, begin = _gram_rows(words[low : low + CHUNK])
+            rows.append(part)
+            first.append(begin + at)
+            at += len(part)
+        return own, np.concatenate(rows), np.concatenate(first)
 
     def inputs(self, own: np.ndarray, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
         ends = np.append(first, len(grams))
@@ -213,7 +229,7 @@ def logits(words: Words, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
     f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-    return {"word": f(WORD_ROWS, VECTOR, scale=0.05), "gram": f(GRAM_ROWS, VECTOR, scale=0.05), "W": f(2, VECTOR, 3 * STATE, scale=0.4), "b": np.zeros((2, 3 * STATE), np.float32), "U": f(2, STATE, 3 * STATE, scale=0.25), "A": f(2 * STATE, ATTEND, scale=0.3), "a": np.zeros(ATTEND, np.float32), "v": f(ATTEND, scale=0.5), "w": f(2 * STATE, scale=0.3), "c": np.zeros(1, np.float32)}
+    return {"word": f(WORD_ROWS, VECTOR, scale=0.05), "gram": f(1 << GRAM_BITS, VECTOR, scale=0.05), "W": f(2, VECTOR, 3 * STATE, scale=0.4), "b": np.zeros((2, 3 * STATE), np.float32), "U": f(2, STATE, 3 * STATE, scale=0.25), "A": f(2 * STATE, ATTEND, scale=0.3), "a": np.zeros(ATTEND, np.float32), "v": f(ATTEND, scale=0.5), "w": f(2 * STATE, scale=0.3), "c": np.zeros(1, np.float32)}
 
 
 def _odds(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
