@@ -25,7 +25,7 @@ from .common import byte_rows, raw
 from .pieces import PATTERN, splits
 
 #: Entries that a worker keeps of pieces, of what stands between spaces, and of pairs of tokens.
-PIECES, CHUNKS, PAIRS = 600_000, 400_000, 400_000
+PIECES, CHUNKS, PAIRS = 500_000, 320_000, 300_000
 NEVER = 1 << 40
 
 
