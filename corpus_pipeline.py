@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written and read again.
 - toxicity: documents scored 0.5 or more go. It learns from all labelled documents.
 - language: documents without a language, and those whose language is uncertain, go. It learns from the lang column.
-- near_duplicates: of documents whose fingerprints of five-word shingles differ in 6 of 64 bits or fewer (similarity over
-  0.9), directly or through others, the one of the smallest doc_id stays.
+- near_duplicates: of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, directly or
+  through others, the one of the smallest doc_id stays.
 - decontamination: documents that share ten words in a row with a benchmark item, or hold a shorter item, go.
 - bpe: the ids of what is left, with digests of the ids and of what they decode to.
 Rows with a null in any column pass as the operators define it: a null text is empty, so it has no language and goes.
@@ -16,11 +16,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, decontam, langid, simhash, toxicity
+from loomwork.llm import bpe, decontam, langid, similar, toxicity
 from loomwork.llm.common import written
 
-#: Words of a shingle and bits that near-duplicates may differ in.
-SHINGLE, DISTANCE = 5, 6
+#: Words of a shingle and the least similarity of near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.survivors(docs, words=SHINGLE, distance=DISTANCE).select(*docs.columns)
+    return similar.survivors(docs, words=SHINGLE, least=SIMILARITY).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
