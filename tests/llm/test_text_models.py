@@ -226,3 +226,9 @@ def test_lm_without_training_texts(spark, odd):
     assert len(found) == len(ODD) and all(r["score"] == r["base_score"] and r["n_known"] == 0 for r in found)
     model, counts = lm.fit(odd)
     assert lm.score(odd.limit(0), model, counts).count() == 0
+
+
+def test_lm_predicts_frequent_words_themselves(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + j) % 900}" for j in range(60))) for i in range(300)], "doc_id bigint, text string")
+    model, _ = lm.fit(docs)
+    assert len(model.frequent) >= 1 + 384 and len(model.share) >= 256
