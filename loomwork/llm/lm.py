@@ -6,7 +6,7 @@ tokens before it: their vectors, weighed by place, add up to a prediction, whose
 vectors, all at once, give normalised probabilities. Within a class a word has its share of the smoothed counts, and one
 unknown word has a share too, so the probabilities of all words add up to one.
 
-Every task that reads training texts trains a replica on every STRIDE-th token of all its texts, from the same start,
+Every task that reads training texts trains a replica on every token of all its texts (STRIDE is 1), from the same start,
 against noise drawn from the counts; the replicas are averaged by the tokens they have seen. So counts and gradients
 cover all training texts and grow with them.
 
@@ -36,8 +36,8 @@ from .common import byte_rows, raw, written
 END = b"\n"
 #: Frequent words, classes of the others, bytes that choose these; tokens before one; sizes of vectors.
 FREQUENT, OTHERS, LAST_BYTES, ORDER, VECTOR = 384, 256, 3, 3, 24
-#: Of the tokens, every so many is trained on; tokens and noise words of a step.
-STRIDE, STEP_TOKENS, NOISE, RATE = 6, 1024, 48, 0.15
+#: Of the tokens, every so many is trained on (1: all); tokens and noise words of a step.
+STRIDE, STEP_TOKENS, NOISE, RATE = 1, 1024, 48, 0.15
 #: Words up to which their counts are sent to all tasks, at 16 bytes each; words that a worker keeps.
 BROADCAST_WORDS, KEPT = 8_000_000, 600_000
 #: Tokens whose probabilities are computed together.

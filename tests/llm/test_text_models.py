@@ -232,3 +232,13 @@ def test_lm_predicts_frequent_words_themselves(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + j) % 900}" for j in range(60))) for i in range(300)], "doc_id bigint, text string")
     model, _ = lm.fit(docs)
     assert len(model.frequent) >= 1 + 384 and len(model.share) >= 256
+
+
+def test_lm_learns_from_every_token(spark):
+    """Texts of six tokens: with a stride of six only their first words would be targets."""
+    rng = np.random.default_rng(4)
+    lines = ["one two three four five", "six seven eight nine ten"]
+    docs = spark.createDataFrame([(i, lines[rng.integers(2)]) for i in range(6000)], "doc_id bigint, text string").coalesce(1)
+    model, counts = lm.fit(docs)
+    found = lm.score(docs, model, counts).agg(F.sum("lm.score"), F.sum("lm.base_score")).first()
+    assert found[0] > 0.5 * found[1]
