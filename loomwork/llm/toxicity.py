@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input is a learned vector of the word (by hash) plus the mean of learned vectors of its runs of 3 to 5 bytes
-(by hash), so that unseen forms of known stems are read too. Two gated recurrent networks read a window of words from
+(by hash), so that unseen forms of known stems are read too. Runs of over 40 bytes, as in scripts without spaces, are cut
+into words that overlap. Two gated recurrent networks read a window of words from
 both sides, attention weighs the places, and a logistic unit gives the window's probability. Windows overlap and cover
 the whole text; a text's score is that of its worst window. Training knows labels of texts only: the worst window of
 each text gets its label.
@@ -28,6 +29,8 @@ from .common import byte_rows, labelled_sample, raw, tidy
 WINDOW, STEP = 48, 36
 #: Sizes of word vectors, of each direction's state, of the attention layer, and of the tables that hashes point into.
 VECTOR, STATE, ATTEND, WORD_ROWS, GRAM_BITS = 16, 16, 8, 1 << 14, 15
+#: Bytes of a word at most, and bytes that the parts of a longer run share.
+LONGEST, SHARED = 40, 10
 #: Labelled rows learnt from, of each class at most, and the longest text among them; passes over that many rows of both
 #: classes, more over fewer rows, up to the most passes.
 LEARN_ROWS, LEARN_BYTES, PASSES, MOST_PASSES = 1600, 60_000, 8, 24
@@ -39,14 +42,18 @@ _AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <=
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters, digits and bytes beyond ASCII, A-Z lower-cased."""
-    return text.translate(_AS_WORDS).split()
+    """Runs of ASCII letters, digits and bytes beyond ASCII, A-Z lower-cased. A run of over LONGEST bytes, such as a
+    sentence without spaces, becomes several words that overlap, so that every run of 5 bytes is whole in one of them."""
+    words = text.translate(_AS_WORDS).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [part for w in words for part in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - SHARED, LONGEST - SHARED)])]
 
 
 def _gram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the grams' table for each word's runs of 3 to 5 bytes, its ends marked, and where each word's begin. The
     hashes are worked out at all places of all words at once."""
-    marked = [b"<" + w[:40] + b">" if w else b"<<>" for w in words]
+    marked = [b"<" + w + b">" if w else b"<<>" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     x = np.frombuffer(b"".join(marked) + bytes(4), np.uint8).astype(np.uint32)
     n = len(x) - 4

@@ -242,3 +242,19 @@ def test_lm_learns_from_every_token(spark):
     model, counts = lm.fit(docs)
     found = lm.score(docs, model, counts).agg(F.sum("lm.score"), F.sum("lm.base_score")).first()
     assert found[0] > 0.5 * found[1]
+
+
+def test_toxicity_reads_all_of_a_long_run():
+    rng = np.random.default_rng(5)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 200)]
+    text = "".join(rng.choice(signs, 300)).encode()
+    parts = toxicity.words_of(b"a " + text + b" b")
+    assert parts[0] == b"a" and parts[-1] == b"b" and all(len(x) <= toxicity.LONGEST for x in parts)
+    assert all(any(text[i : i + 5] in x for x in parts) for i in range(len(text) - 4))
+    grams, first = toxicity._gram_rows([b"x" * 60])
+    assert len(grams) == 60 + 59 + 58 and first.tolist() == [0]
+    make = lambda bad: "".join([*rng.choice(signs, 40), *("悪口雑言罵倒" * bad), *rng.choice(signs, 20)]).encode()
+    labels = [i % 2 for i in range(300)]
+    model = toxicity.train([make(x) for x in labels], labels)
+    found = toxicity.scores(model, toxicity.Words(model), [make(i % 2) for i in range(60)]) >= 0.5
+    assert np.mean(found == [i % 2 == 1 for i in range(60)]) > 0.9
