@@ -26,6 +26,8 @@ WORDS, SEED, LEAST = 5, 42, 0.8
 BANDS, ROWS, PIVOTS, ROUNDS = 24, 4, 4, 3
 #: Pairs of one pivot that are compared together; shingles whose least hashes are worked out together.
 TOGETHER, BLOCK = 256, 1 << 12
+#: Classes up to which a list of them is sent to all tasks.
+SENT = 1_000_000
 _RNG = np.random.default_rng(1)
 _A, _B = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _A |= np.uint64(1)
@@ -60,16 +62,37 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def marked_rows(docs: DataFrame, text: str, words: int, seed: int) -> DataFrame:
-    @F.arrow_udf("struct<c:bigint,s:binary,k:array<bigint>>")
+    """docs with a row number, the class and the bands' keys. The sets themselves are larger than the texts and most are
+    never compared, so they aren't kept."""
+
+    @F.arrow_udf("struct<c:bigint,k:array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sets = [shingles(x, words, seed) for x in byte_rows(batch)]
             c = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(c), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["c", "s", "k"])
+            yield pa.StructArray.from_arrays([pa.array(c), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["c", "k"])
+        tidy()
+
+    found = docs.withColumns({"__set": of(raw(text)), "__row": F.monotonically_increasing_id()})
+    return found.select(*docs.columns, "__row", F.col("__set.c").alias("__c"), F.col("__set.k").alias("__k"))
+
+
+def sets_of(marked: DataFrame, classes: DataFrame, text: str, words: int, seed: int) -> DataFrame:
+    """c, s: the sets of these classes, worked out again from a text of each. The classes are sent to all tasks if a
+    count finds few enough."""
+
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingles(x, words, seed).tobytes() for x in byte_rows(batch)], pa.binary())
         tidy()
 
-    found = docs.withColumn("__set", of(raw(text)))
-    return found.select(*docs.columns, F.col("__set.c").alias("__c"), F.col("__set.s").alias("__s"), F.col("__set.k").alias("__k"))
+    asked = written(classes.select("c").distinct(), "asked")
+    rows = marked.select(F.col("__c"), "__row")
+    least = rows.join(F.broadcast(asked) if asked.count() <= SENT else asked, F.col("__c") == F.col("c")).groupBy("c").agg(F.min("__row").alias("r"))
+    chosen = written(least, "chosen")
+    texts = marked.select("__row", raw(text).alias("t")).join(F.broadcast(chosen) if chosen.count() <= SENT else chosen, F.col("__row") == F.col("r"))
+    return written(texts.select("c", of("t").alias("s")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -88,13 +111,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(whole.where(near("sa", "sb")).select("a", "b"), "links")
 
 
-def links_of(marked: DataFrame, least: float = LEAST) -> DataFrame:
+def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int) -> DataFrame:
     """Links (a, b) that connect all classes of which a pair in a bucket is similar enough."""
     classes = written(marked.groupBy(F.col("__c").alias("c")).agg(F.first("__k").alias("k")), "classes")
     rows = classes.select("c", F.posexplode("k").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = written(rows.join(shared, ["band", "key"]), "members")
-    sets = written(marked.join(members.select("c").distinct(), F.col("__c") == F.col("c"), "left_semi").groupBy(F.col("__c").alias("c")).agg(F.first("__s").alias("s")), "sets")
+    sets = sets_of(marked, members, text, words, seed)
     open_, links = members, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
@@ -121,11 +144,12 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     """The row of the smallest doc_id of each component, with all its columns; of rows that repeat it, one. A null
     doc_id stands after all others. Null and empty texts are alike."""
     marked = written(marked_rows(docs, text, words, seed), "marked")
-    roots = reach(links_of(marked, least))
+    roots = reach(links_of(marked, text, words, least, seed))
     classes = marked.groupBy(F.col("__c").alias("c")).agg(F.min(doc_id).alias("least"))
     rooted = classes.join(roots, classes.c == roots.node, "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "c")).alias("kept")
     kept = rooted.groupBy("root").agg(first).select(F.col("kept.least").alias("__least"), F.col("kept.c").alias("__kept"))
-    rows = marked.drop("__s", "__k")
-    found = rows.join(kept, rows[doc_id].eqNullSafe(kept["__least"]) & (rows["__c"] == kept["__kept"]), "left_semi")
-    return found.dropDuplicates([doc_id, "__c"]).drop("__c")
+    rows = marked.select(F.col(doc_id).alias("__id"), "__row", "__c")
+    chosen = rows.join(kept, rows["__id"].eqNullSafe(kept["__least"]) & (rows["__c"] == kept["__kept"]), "left_semi")
+    chosen = chosen.groupBy("__id", "__c").agg(F.min("__row").alias("__row")).select("__row")
+    return marked.join(chosen, "__row", "left_semi").drop("__row", "__c", "__k")
