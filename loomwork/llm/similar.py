@@ -100,8 +100,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     a copy of its set."""
     pairs = written(pairs.select("a", "b").where("a != b").distinct(), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(TOGETHER)).cast("int").alias("parts"))
+    few = parts.count() <= SENT
     copies = parts.join(sets, parts.a == sets.c).select("a", "parts", F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    dealt = pairs.join(F.broadcast(parts) if few else parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     whole = dealt.join(sets.withColumnsRenamed({"c": "b", "s": "sb"}), "b").join(copies.select("a", "part", "sa"), ["a", "part"])
 
     @F.arrow_udf("boolean")
