@@ -81,11 +81,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = permutation.saved(permutation.usable(_table(spark, sf_dir, "embeddings")))
-    index = permutation.fit(rows)
+    rows, is_query = permutation.usable(_table(spark, sf_dir, "embeddings")), F.pmod("vec_id", F.lit(20)) == 0
+    index = permutation.fit(rows, is_query)
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    return permutation.search(rows, F.pmod("vec_id", F.lit(20)) == 0, index)
+    return permutation.search(rows, is_query, index)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
