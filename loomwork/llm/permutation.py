@@ -36,9 +36,9 @@ from .common import written
 
 #: Vectors a pivot at least; pivots that are used if there are vectors enough, and at most; nearest pivots that represent
 #: a vector, whose lists it is posted in, and whose lists a query is sent to.
-ROWS_A_PIVOT, PIVOTS, MOST_PIVOTS, PREFIX, POSTED, PROBED = 20, 512, 16384, 64, 4, 72
+ROWS_A_PIVOT, PIVOTS, MOST_PIVOTS, PREFIX, POSTED, PROBED = 20, 512, 16384, 112, 4, 80
 #: The share of a list that is reranked, rows of it at least; rows of a list's part, about.
-SHARE, LEAST, LIST_ROWS = 0.2, 40, 4096
+SHARE, LEAST, LIST_ROWS = 0.15, 48, 4096
 #: Queries of a list computed together; rows of a task, about; rows that a task holds before it passes them on.
 TOGETHER, TASK_ROWS, HELD = 128, 16384, 1 << 20
 
@@ -47,7 +47,7 @@ TOGETHER, TASK_ROWS, HELD = 128, 16384, 1 << 20
 class Index:
     """pivots: a row each, with the added component and of length one; scale: the largest component; largest: the largest
     norm of vectors divided by it; size: components of a vector; ranked: the classes, a written table of c, least, ids,
-    v, asks and ranks."""
+    v, asks, ranks and, if it asks, its ranks as a query."""
 
     pivots: np.ndarray
     scale: float
@@ -111,15 +111,20 @@ def fit(rows: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, pr
     prefix = min(prefix, len(axes))
     held = rows.sparkSession.sparkContext.broadcast(axes)
 
-    @F.arrow_udf("array<smallint>")
-    def ranks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            v = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), size) / scale
-            found = [prefixes(extended(v[i : i + 1024], largest), held.value, prefix) for i in range(0, len(v), 1024)]
-            flat = np.concatenate(found or [np.zeros((0, prefix))]).astype(np.int16)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * prefix, pa.int32()), pa.array(flat.ravel()))
+    @F.arrow_udf("struct<ranks:array<smallint>,asked:array<smallint>>")
+    def ranks(vs: pa.Array, asks: pa.Array) -> pa.Array:
+        v = vs.flatten().to_numpy(zero_copy_only=False).reshape(len(vs), size) / scale
+        own, asked = np.zeros((len(v), prefix), np.int16), np.flatnonzero(asks.to_numpy(zero_copy_only=False))
+        for i in range(0, len(v), 1024):
+            own[i : i + 1024] = prefixes(extended(v[i : i + 1024], largest), held.value, prefix)
+        other = prefixes(v[asked], held.value[:, :size], prefix).astype(np.int16)  # its added component is zero, its length is nothing to the order
+        ends = np.zeros(len(v) + 1, np.int32)
+        ends[asked + 1] = prefix
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * prefix, pa.int32()), pa.array(own.ravel())), pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(other.ravel()))]
+        return pa.StructArray.from_arrays(lists, ["ranks", "asked"])
 
-    return Index(axes, scale, largest, size, prefix, written(classes.withColumn("ranks", ranks("v")), "ranked"))
+    ranked = classes.withColumn("r", ranks("v", "asks")).select("c", "least", "ids", "v", "asks", "r.ranks", "r.asked")
+    return Index(axes, scale, largest, size, prefix, written(ranked, "ranked"))
 
 
 class Postings:
@@ -159,8 +164,8 @@ class Postings:
                 some.sort(axis=1)
             else:
                 some = np.tile(np.arange(n), (len(asked), 1))
-            with np.errstate(all="ignore"):
-                score = np.einsum("qtd,qd->qt", self.v[some], asked)
+            with np.errstate(all="ignore"):  # a sum of its own for each pair, so that every list gives a pair the same
+                score = (self.v[some] * asked[:, None, :]).sum(axis=2)
             score[np.isnan(score)] = -np.inf
             best = np.argsort(-score, axis=1, kind="stable")[:, :k]
             yield np.repeat(np.arange(low, low + len(asked)), best.shape[1]), np.take_along_axis(some, best, axis=1).ravel(), np.take_along_axis(score, best, axis=1).ravel()
@@ -185,7 +190,7 @@ def _posted(index: Index, posted: int, probed: int) -> tuple[DataFrame, int]:
     pivot = F.explode(F.slice("ranks", 1, posted)).alias("pivot")
     sizes = ranked.select(pivot).groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     sizes = written(sizes.withColumn("parts", F.ceil(F.col("n") / F.lit(LIST_ROWS)).cast("int")), "lists")  # a row a pivot
-    asking = ranked.where("asks").select("c", "least", "v", "ranks", F.explode(F.slice("ranks", 1, probed)).alias("pivot")).join(F.broadcast(sizes), "pivot")
+    asking = ranked.where("asks").select("c", "least", "v", F.col("asked").alias("ranks"), F.explode(F.slice("asked", 1, probed)).alias("pivot")).join(F.broadcast(sizes), "pivot")
     asking = asking.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "c", "least", "v", "ranks")
     lists = ranked.select("c", "least", "v", "ranks", pivot).join(F.broadcast(sizes), "pivot")
     lists = lists.select("pivot", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("asks"), "c", "least", "v", "ranks")
@@ -194,11 +199,16 @@ def _posted(index: Index, posted: int, probed: int) -> tuple[DataFrame, int]:
 
 
 def found_classes(index: Index, k: int, share: float = SHARE, posted: int = POSTED, probed: int = PROBED) -> DataFrame:
-    """q, c, score: for each asking class the k nearest classes found, itself included."""
+    """q, found: for each asking class the k nearest classes found, itself included, nearest first: far (the score's
+    negative), least, c. A task gives a query one row of k at most, and a query meets the parts of PROBED lists at most."""
     size, prefix, pivots = index.size, index.prefix, len(index.pivots)
     both, tasks = _posted(index, posted, min(probed, prefix))
     dealt = both.repartition(tasks, "pivot", "part").sortWithinPartitions("pivot", "part", "asks")
-    kind = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("least", pa.int64()), ("score", pa.float64())])
+
+    def out(q: np.ndarray, c: np.ndarray, least: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        found = pa.StructArray.from_arrays([pa.array(-score), pa.array(least), pa.array(c)], ["far", "least", "c"])
+        return pa.record_batch([pa.array(q[first]), pa.ListArray.from_arrays(pa.array(np.r_[first, len(q)], pa.int32()), found)], names=["q", "found"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, postings = None, [], None
@@ -224,22 +234,22 @@ def found_classes(index: Index, k: int, share: float = SHARE, posted: int = POST
                     held = [_merged(held, k)]
                     size_held = len(held[0][0])
                     if size_held > HELD // 2:
-                        yield pa.record_batch([pa.array(x) for x in held[0]], schema=kind)
+                        yield out(*held[0])
                         held, size_held = [], 0
         if held:
-            yield pa.record_batch([pa.array(x) for x in _merged(held, k)], schema=kind)
+            yield out(*_merged(held, k))
 
-    found = dealt.mapInArrow(answer, "q bigint, c bigint, least bigint, score double").repartition("q")
-    once = found.groupBy("q", "c").agg(F.first("least").alias("least"), F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "c"))
-    return once.withColumn("place", place).where(F.col("place") <= k).select("q", "c", "score")
+    found = dealt.mapInArrow(answer, "q bigint, found array<struct<far:double,least:bigint,c:bigint>>")
+    whole = found.groupBy("q").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    return whole.select("q", F.slice("found", 1, k).alias("found"))
 
 
 def search(rows: DataFrame, is_query: Column, index: Index, k: int = 20, share: float = SHARE, posted: int = POSTED, probed: int = PROBED) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found for each row that is a query, among all rows. k: at most that the
     index was fitted for. A class brings k + 1 ids at most, and k + 1 classes are kept, so a list is bounded."""
     found = found_classes(index, k + 1, share, posted, probed)
-    entries = F.transform("ids", lambda x: F.struct((-F.col("score")).alias("far"), x["vec_id"].alias("vec_id"), x["n"].alias("n")))
+    found = found.select("q", F.explode("found").alias("x")).select("q", "x.far", "x.c")
+    entries = F.transform("ids", lambda x: F.struct(F.col("far"), x["vec_id"].alias("vec_id"), x["n"].alias("n")))
     lists = found.join(index.ranked.select("c", "ids"), "c").select("q", entries.alias("e")).groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
     full = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(index.size) - F.size("v")))
     asking = rows.where(is_query).select("vec_id", full.alias("v")).join(index.ranked.where("asks").select("v", F.col("c").alias("q")), "v").select(F.col("vec_id").alias("query_id"), "q").distinct()
