@@ -4,11 +4,13 @@ A bundle groups records into frames that are compressed independently. After the
 Zstandard format, a skippable frame that lists each frame's compressed and decompressed size, so a plain decompressor
 reads the bundle too. A catalogue maps each record's id to its bundle, frame and offset within the frame's content.
 
-Records are WARC/1.1: response records carry the payload, revisit records name the record that does. Of records with
-equal payloads of at least `least` bytes, that of the largest id is the response; rows that repeat this id are all
-responses. Null payloads count as empty. Rows with a null id are written under an id of "null" and refer to nothing;
-they are never named by a revisit unless no other row has their payload. Empty tables give no bundle. Only the named
-columns are read.
+Records are WARC/1.1: response records carry an HTTP response with the payload, revisit records its head alone and the
+identifier of the record that has the payload. Of records with equal payloads of at least `least` bytes, that of the
+largest id is the response; rows that repeat this id are all responses. An identifier is made from the id and the
+payload's digest, so rows that are equal in both are records of one identifier. Null payloads count as empty. Rows with a
+null id are written under an id of "null" and identifiers of their own, and refer to nothing; they are never named by a
+revisit. Very long payloads are records like any other, in a frame of their own at most with what came before. Empty
+tables give no bundle. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -31,6 +34,10 @@ from .common import written
 LEAST, FRAME_BYTES, BUNDLE_FRAMES, LEVEL = 1000, 1 << 19, 64, 3
 #: Fixed values of the seekable format: skippable frame magic, end magic.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Fixed value: the profile of revisits of an equal payload.
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payloads that several records have, up to which they are sent to all tasks, at some 40 bytes each; tasks that read.
+BROADCAST_PAYLOADS, READERS = 500_000, 20_000
 
 
 # --- bundles
@@ -123,26 +130,43 @@ def _clean(value: str) -> str:
 
 
 def plan(pages: DataFrame, page_id: str = "page_id", payload: str = "html", least: int = LEAST) -> DataFrame:
-    """The rows, by id and digest, that revisit another's payload, and whom. Only digests and ids are dealt out: groups are summed up where
-    they lie first, and a group of many copies is split by the join of its rows with its one summary."""
+    """digest, response: of each payload that several rows have, the largest id. Only digests and ids are dealt out, and
+    groups are summed up where they lie first."""
     data = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    rows = written(pages.where(F.octet_length(payload) >= least).select(F.col(page_id).cast("bigint").alias("id"), F.unhex(F.sha1(data)).alias("digest")), "digests")
+    rows = pages.where(F.octet_length(payload) >= least).select(F.col(page_id).cast("bigint").alias("id"), F.unhex(F.sha1(data)).alias("digest"))
     groups = rows.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").drop("n")
-    return rows.join(groups, "digest").where("id < response").select("id", "digest", F.col("response").alias("refers_to")).distinct()
+    return written(groups, "payloads")
+
+
+def record_id(page: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"
+
+
+def http_head(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def payload_of(block: bytes) -> bytes:
+    """What follows the HTTP head of a block."""
+    return block[block.index(b"\r\n\r\n") + 4 :]
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write(pages: DataFrame, uri: str, page_id: str = "page_id", payload: str = "html", url: str | Column | None = "url", least: int = LEAST, frame_bytes: int = FRAME_BYTES, bundle_frames: int = BUNDLE_FRAMES) -> DataFrame:
+def write(pages: DataFrame, uri: str, page_id: str = "page_id", payload: str = "html", url: str | Column | None = "url", least: int = LEAST, frame_bytes: int = FRAME_BYTES, bundle_frames: int = BUNDLE_FRAMES, date: str | None = None) -> DataFrame:
     """Writes bundles into a folder that all machines share; gives the catalogue, a written table with a row per record:
     record_id, page_id, bundle, frame, offset. A task that is run again writes bundles of other names; the catalogue
-    has those of the run that counted."""
+    has those of the run that counted. date: the records' date, now unless given. Payloads are dealt out only where more
+    than BROADCAST_PAYLOADS payloads have several rows."""
+    when = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     target = F.col(url) if isinstance(url, str) else url if url is not None else F.lit(None)
     rows = pages.select(F.col(page_id).cast("bigint").alias("id"), F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")).alias("payload"), target.cast("string").alias("url"))
     rows = rows.withColumn("digest", F.when((F.octet_length("payload") >= least) & F.col("id").isNotNull(), F.unhex(F.sha1("payload"))))
-    rows = rows.join(plan(pages, page_id, payload, least), ["id", "digest"], "left").select("id", "payload", "url", "refers_to")
+    payloads = plan(pages, page_id, payload, least)
+    rows = rows.join(F.broadcast(payloads) if payloads.count() <= BROADCAST_PAYLOADS else payloads, "digest", "left")
+    rows = rows.select("id", "payload", "url", F.when(F.col("id") < F.col("response"), F.col("response")).alias("refers_to"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _filesystem(uri)
@@ -161,13 +185,13 @@ def write(pages: DataFrame, uri: str, page_id: str = "page_id", payload: str = "
         for batch in batches:
             for i, data, link, to in zip(*(c.to_pylist() for c in batch.columns)):
                 digest = hashlib.sha1(data).hexdigest()
-                headers = [("WARC-Type", "response" if to is None else "revisit"), ("WARC-Record-ID", record_id := f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"), ("WARC-Page-ID", "null" if i is None else str(i))]
-                if link is not None:
-                    headers.append(("WARC-Target-URI", _clean(link)))
-                headers.append(("WARC-Payload-Digest", f"sha1:{digest}"))
+                name = record_id(i, digest)
+                headers = [("WARC-Type", "response" if to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", when), ("WARC-Target-URI", f"urn:page:{i}" if link is None else _clean(link))]
+                headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Page-ID", "null" if i is None else str(i))]
                 if to is not None:
-                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page-ID", str(to)), ("WARC-Payload-Length", str(len(data)))]
-                held.append((record_id, i, *bundle.add(record(headers, b"" if to is not None else data))))
+                    headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(to, digest)), ("WARC-Refers-To-Page-ID", str(to))]
+                block = http_head(len(data)) + (data if to is None else b"")
+                held.append((name, i, *bundle.add(record(headers, block))))
                 if len(bundle.done) >= bundle_frames:
                     yield close()
                     bundle, held = BundleWriter(frame_bytes), []
@@ -181,10 +205,11 @@ _READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_typ
 
 
 def read(catalogue: DataFrame, uri: str) -> DataFrame:
-    """Reads the catalogue's records back, frame by frame: page_id, payload_bytes, payload_digest (of the bytes that
-    were read, for revisits as the header gives it), record_type, refers_to."""
-    frames = catalogue.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # a frame holds few records
-    frames = frames.repartition("bundle")
+    """Reads the catalogue's records back, frame by frame: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    Size and digest are those of the bytes that were read; a revisit's are those of the response that it refers to, and
+    it is an error if there is none of the digest that it names. A task reads one bundle or a few."""
+    bundles = catalogue.select("bundle").distinct().count()
+    frames = catalogue.repartition(max(1, min(bundles, READERS)), "bundle").groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # a frame holds few records
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _filesystem(uri)
@@ -201,14 +226,21 @@ def read(catalogue: DataFrame, uri: str) -> DataFrame:
                     kind, page = headers["WARC-Type"], headers["WARC-Page-ID"]
                     page = None if page == "null" else int(page)
                     if kind == "revisit":
-                        out.append((page, int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), kind, int(headers["WARC-Refers-To-Page-ID"])))
+                        out.append((page, None, headers["WARC-Payload-Digest"].removeprefix("sha1:"), kind, int(headers["WARC-Refers-To-Page-ID"])))
                     else:
+                        data = payload_of(data)
                         out.append((page, len(data), hashlib.sha1(data).hexdigest(), kind, None))
             columns = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return frames.mapInArrow(load, _READ)
+    rows = written(frames.mapInArrow(load, _READ), "records")
+    revisits, responses = rows.where("record_type = 'revisit'"), rows.where("record_type = 'response'")
+    asked = revisits.select("refers_to", "payload_digest").distinct()  # few columns, each response once
+    held = asked.join(responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct(), ["refers_to", "payload_digest"], "left")
+    size = F.when(F.col("payload_bytes").isNull(), F.raise_error(F.concat(F.lit("no response of the payload of page "), F.col("page_id").cast("string"))).cast("bigint")).otherwise(F.col("payload_bytes"))
+    checked = revisits.drop("payload_bytes").join(held, ["refers_to", "payload_digest"]).select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return responses.unionByName(checked)
 
 
 def lookup(catalogue: DataFrame, uri: str, page_id: int) -> list[tuple[dict[str, str], bytes]]:
@@ -217,5 +249,6 @@ def lookup(catalogue: DataFrame, uri: str, page_id: int) -> list[tuple[dict[str,
     out = []
     for r in catalogue.where(F.col("page_id") == page_id).collect():
         with system.open_input_file(posixpath.join(folder, r["bundle"])) as f:
-            out.append(BundleReader(lambda at, size: f.read_at(size, at), f.size()).record(r["frame"], r["offset"]))
+            headers, block = BundleReader(lambda at, size: f.read_at(size, at), f.size()).record(r["frame"], r["offset"])
+            out.append((headers, payload_of(block)))
     return out
