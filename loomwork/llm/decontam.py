@@ -7,10 +7,13 @@ shared run. Each hit is extended: the runs of SPAN words around it are compared
 counts for nothing. Items of fewer than SPAN words are one window each; documents are searched for them by all runs of
 their lengths.
 
-The kept K-grams of documents meet the benchmark's in a broadcast join if these are few enough by a count made before, or
-else in a shuffled join; nothing else differs.
+Documents are cut into words once, into a written table. From there K-grams go out alone, with their document's row and
+their place; those that the benchmark has come back as places of rows, and the words of just these rows are looked at
+again. What stands on the benchmark's side of a join, and the rows that were hit, are sent to all executors if a count
+finds few enough, or else dealt out; nothing else differs. No text is carried by more than one row, so a long text costs
+as much as its words in several short ones.
 
-Null texts have no words and no hits. Each input row gives a row, repeated rows and repeated doc_ids too. Items with a
+Null and empty texts have no words and no hits; a text may have up to 2 ** PLACE_BITS words. Each input row gives a row, repeated rows and repeated doc_ids too. Items with a
 null id count as items without a name. Empty tables give empty results; without a benchmark nothing is hit. Only the
 named columns are read.
 """
@@ -27,10 +30,8 @@ from .common import written
 SPAN, K = 10, 4
 #: Bits of a kept K-gram that hold its place in the document; the others hold its hash.
 PLACE_BITS = 28
-#: K-grams of the benchmark up to which they are sent to all executors: about 16 bytes each.
-BROADCAST_GRAMS = 2_000_000
-#: Stands for the document itself among its kept K-grams, so that documents without a hit stay.
-SELF = -(1 << 63)
+#: K-grams (16 bytes each), windows (some 80) and rows that were hit (16), up to which each are sent to all executors.
+BROADCAST_GRAMS, BROADCAST_WINDOWS, BROADCAST_ROWS = 2_000_000, 500_000, 1_000_000
 
 
 def words(text: str | Column) -> Column:
@@ -75,58 +76,68 @@ def kept_grams(df: DataFrame, words_col: str, to: str, span: int = SPAN, k: int
     return df.withColumn(to, F.array_distinct(F.col(name)))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def _sent(df: DataFrame, most: int) -> DataFrame:
+    """The same table, to be sent to all executors if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, broadcast_grams: int = BROADCAST_GRAMS, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of docs: __row (unique), doc_id, n_words, n_hit, n_items, item_ids (sorted strings)."""
-    hash_part = F.lit(~((1 << PLACE_BITS) - 1))
-    place_part = F.lit((1 << PLACE_BITS) - 1)
+    hash_part, place_part = F.lit(~((1 << PLACE_BITS) - 1)), F.lit((1 << PLACE_BITS) - 1)
     items = written(benchmark.select(F.col(item_id).cast("string").alias("item"), words(item_text).alias("w")).where(F.size("w") > 0), "items")
     short = sorted(r["n"] for r in items.where(F.size("w") < span).select(F.size("w").alias("n")).distinct().collect())  # fewer than span lengths
-    grams = kept_grams(items.where(F.size("w") >= span), "w", "kept", span, k).select(F.explode_outer("kept").alias("kept")).where(F.col("kept").isNotNull()).select(F.col("kept").bitwiseAND(hash_part).alias("gram"))
-    runs = items.select("item", "w", F.least(F.size("w"), F.lit(span)).alias("n"))
-    windows = runs.select("item", F.col("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("window"))
-    windows = written(windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
-    # a document's own marker and the short runs are matched beside the kept K-grams: one list, one join
-    keys = [grams.distinct(), docs.sparkSession.range(1).select(F.lit(SELF).alias("gram"))]
-    for n in short:
-        first = items.where(F.size("w") == n).select(_run_key(F.col("w"), F.lit(1), n).alias("gram"))
-        keys.append(first.distinct())
-    keys = written(reduce(DataFrame.unionByName, keys).distinct(), "grams")
-    small = keys.count() <= broadcast_grams
-    narrow = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    listed = kept_grams(narrow.withColumn("__w", words("__text")).drop("__text"), "__w", "__kept", span, k)
+    keys = [kept_grams(items.where(F.size("w") >= span), "w", "kept", span, k).select(F.explode_outer("kept").alias("kept")).where(F.col("kept").isNotNull()).select(F.col("kept").bitwiseAND(hash_part).alias("gram"))]
+    keys += [items.where(F.size("w") == n).select(_run_key(F.col("w"), F.lit(1), n).alias("gram")) for n in short]
+    grams = _sent(written(reduce(DataFrame.unionByName, keys).distinct(), "grams"), broadcast_grams)
+    n = F.least(F.size("w"), F.lit(span))
+    runs = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("window")).distinct()
+    runs = written(runs.withColumn("wid", F.xxhash64("window")), "runs")  # joined by the window too, so a clash of hashes counts for nothing
+    windows = _sent(runs.select("window").distinct(), broadcast_windows)
+
+    whole = docs.select(F.col(doc_id).alias("doc_id"), words(text).alias("w"))
+    whole = written(whole.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.size("w").alias("n_words"), "w"), "words")
     entry = lambda gram, place, n: F.struct(gram.alias("gram"), place.alias("place"), n.alias("n"))
-    parts = [F.array(entry(F.lit(SELF), F.lit(-1), F.lit(0))), F.transform("__kept", lambda x: entry(x.bitwiseAND(hash_part), x.bitwiseAND(place_part).cast("int"), F.lit(span)))]
-    for n in short:
-        at = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, _run_entry(entry, n)))
+    parts = [F.transform("__kept", lambda x: entry(x.bitwiseAND(hash_part), x.bitwiseAND(place_part).cast("int"), F.lit(span)))]
+    for size in short:
+        at = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
+        parts.append(F.transform(at, _run_entry(entry, size)))
     # explode_outer: for explode, the optimizer would add a filter on the array's size, and repeat all its steps there
-    rows = listed.select("__row", "doc_id", "__w", F.explode_outer(F.concat(*parts)).alias("e")).select("__row", "doc_id", "__w", "e.*")
-    hits = rows.join(F.broadcast(keys) if small else keys, "gram")
+    listed = kept_grams(whole.select("__row", "w"), "w", "__kept", span, k).select("__row", F.explode_outer(F.concat(*parts)).alias("e"))
+    hits = listed.select("__row", "e.gram", "e.place", "e.n").join(grams, "gram")
+    places = hits.groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("n", "place"))).alias("places"))  # a text's own places
+    places = _sent(written(places, "places"), broadcast_rows)
+
     # the runs around a kept K-gram start up to span - k words before it; a short run is its own only window
-    low = F.when(F.col("n") == span, F.greatest(F.col("place") - (span - k), F.lit(0))).otherwise(F.col("place"))
-    high = F.when(F.col("n") == span, F.least(F.col("place"), F.size("__w") - span)).otherwise(F.col("place"))
-    starts = F.when(F.col("place") >= 0, F.sequence(low, high))
-    around = hits.select("__row", "doc_id", F.when(F.col("place") < 0, F.size("__w")).alias("n_words"), "n", F.explode_outer(F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_join(F.slice("__w", s + 1, F.col("n")), " ").alias("window")))).alias("r"))
-    around = around.select("__row", "doc_id", "n_words", "n", "r.at", "r.window")
-    matched = around.join(F.broadcast(windows) if small else windows, "window", "left").where(F.col("items").isNotNull() | F.col("n_words").isNotNull())
-    span_of = F.when(F.col("items").isNotNull(), F.struct(F.col("at"), (F.col("at") + F.col("n")).alias("end")))
-    found = matched.groupBy("__row", "doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(span_of)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    def around(x: Column) -> Column:
+        low = F.when(x["n"] == span, F.greatest(x["place"] - (span - k), F.lit(0))).otherwise(x["place"])
+        high = F.when(x["n"] == span, F.least(x["place"], F.size("w") - span)).otherwise(x["place"])
+        return F.transform(F.sequence(low, high), lambda at: F.struct(at.alias("at"), x["n"].alias("n")))
+
+    starts = whole.select("__row", "w").join(places, "__row").select("__row", "w", F.array_distinct(F.flatten(F.transform("places", around))).alias("starts"))
+    tried = starts.select("__row", F.explode_outer(F.transform("starts", lambda s: F.struct(s["at"].alias("at"), (s["at"] + s["n"]).alias("end"), F.array_join(F.slice("w", s["at"] + 1, s["n"]), " ").alias("window")))).alias("r"))
+    matched = written(tried.select("__row", "r.*").join(windows, "window", "left_semi"), "matched")
+    spans = matched.groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("at", "end"))).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(x["end"] - F.greatest(x["at"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], x["end"]).alias("end")),
         lambda acc: acc["n"],
     )
-    return found.select("__row", "doc_id", F.col("n_words").cast("bigint"), covered.cast("bigint").alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), "item_ids")
+    once = matched.select("__row", "window").distinct().withColumn("wid", F.xxhash64("window"))
+    named = once.join(runs, ["wid", "window"]).groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    found = _sent(written(spans.select("__row", covered.cast("bigint").alias("n_hit")).join(named, "__row"), "hits"), broadcast_rows)
+    none = F.array().cast("array<string>")
+    result = whole.select("__row", "doc_id", F.col("n_words").cast("bigint")).join(found, "__row", "left")
+    return result.select("__row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
 def _run_entry(entry, n: int):
     """From a run's 1-based start to its entry. (A function of one argument: a second would be the element's place.)"""
-    return lambda i: entry(_run_key(F.col("__w"), i, n), i - 1, F.lit(n))
+    return lambda i: entry(_run_key(F.col("w"), i, n), i - 1, F.lit(n))
 
 
 def _run_key(array: Column, start: Column, n: int) -> Column:
-    """Hash of n words from 1-based `start`, apart from the K-grams' hashes and the marker by its low bits."""
+    """Hash of n words from 1-based `start`, apart from the K-grams' hashes by its low bits."""
     return F.xxhash64(F.lit(n), F.array_join(F.slice(array, start, n), " ")).bitwiseOR(F.lit(1))
 
 
