@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir, shared_path, written  # noqa: F401  the operators' own modules take them from here
 
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of the column as text, modulo: how the contracts divide rows. Null counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(by))
@@ -38,7 +39,7 @@ def tidy() -> None:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], list[int]]:
     """Texts and labels 0 or 1 of `rows` labelled keys of each class at most, those of the least hashes, without texts
     that are null or longer than `longest` bytes. The keys are chosen among the labels alone and then sent to the
-    texts, so no text is dealt out; of repeated keys, four rows for each chosen one are taken at most over all."""
+    texts; of rows that repeat a key, the two of the least hashes are taken, so the same rows in any run."""
     chosen: list[tuple[int, int]] = []
     for value in (0, 1):
         keys = labels.where((F.col(label) == value) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct()
@@ -48,6 +49,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, l
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(chosen, "k bigint, y int"))
     usable = docs.select(F.col(key).cast("bigint").alias("k"), raw(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= longest))
-    found = usable.join(small, "k").select("k", "y", "t").limit(8 * rows).toArrow()
+    place = F.row_number().over(Window.partitionBy("k", "y").orderBy(F.xxhash64("t"), "t"))
+    found = usable.join(small, "k").withColumn("p", place).where("p <= 2").select("k", "y", "t").toArrow()
     order = sorted(zip(found["k"].to_pylist(), found["y"].to_pylist(), found["t"].to_pylist()))
     return [t for _, _, t in order], [y for _, y, _ in order]

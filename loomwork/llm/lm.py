@@ -8,13 +8,15 @@ unknown word has a share too, so the probabilities of all words add up to one.
 
 Every task that reads training texts trains a replica on every token of all its texts (STRIDE is 1), from the same start,
 against noise drawn from the counts; the replicas are averaged by the tokens they have seen. So counts and gradients
-cover all training texts and grow with them.
+cover all training texts and grow with them. A replica draws its noise by the first text it reads, so scores depend, in
+their last digits, on how the texts lie in files.
 
 The words' counts are sent to the tasks if the vocabulary is small enough by a count made before; beyond that, each
-text's words are joined with them. Both give the same scores but for rounding.
+text's words are joined with them. Both look words up by all their bytes and give the same scores but for rounding.
 
 Null and empty texts hold the end alone. Without training texts every probability is the base's. Rows are scored one by
-one: repeated rows get equal scores; an empty table gives an empty table; only the named columns are read.
+one, texts of any length whole: repeated rows get equal scores; an empty table gives an empty table. Other columns stay
+as they are, but a column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ END = b"\n"
 FREQUENT, OTHERS, LAST_BYTES, ORDER, VECTOR = 384, 256, 3, 3, 24
 #: Of the tokens, every so many is trained on (1: all); tokens and noise words of a step.
 STRIDE, STEP_TOKENS, NOISE, RATE = 1, 1024, 48, 0.15
-#: Words up to which their counts are sent to all tasks, at 16 bytes each; words that a worker keeps.
-BROADCAST_WORDS, KEPT = 8_000_000, 600_000
+#: Words up to which their counts are sent to all tasks, at some 35 bytes each; words that a worker keeps.
+BROADCAST_WORDS, KEPT = 4_000_000, 600_000
 #: Tokens whose probabilities are computed together.
 TOGETHER = 4096
 
@@ -52,18 +54,39 @@ def other_class(word: bytes) -> int:
     return zlib.crc32(word[-LAST_BYTES:]) % OTHERS
 
 
+class WordCounts:
+    """Counts by word, in arrays: found by hash, then compared byte by byte."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray):
+        h = np.fromiter((xxhash.xxh64_intdigest(x) for x in byte_rows(words)), np.uint64, len(words))
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.counts, taken = h[order], counts[order], words.take(pa.array(order))
+        sizes = np.fromiter(map(len, byte_rows(taken)), np.int64, len(taken))
+        self.ends, self.bytes = np.r_[0, np.cumsum(sizes)], b"".join(byte_rows(taken))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        low, high = (np.searchsorted(self.hashes, asked, side=x).tolist() for x in ("left", "right"))
+        ends, held, out = self.ends, self.bytes, np.zeros(len(words), np.int64)
+        for i, (a, b) in enumerate(zip(low, high)):
+            for at in range(a, b):
+                if held[ends[at] : ends[at + 1]] == words[i]:
+                    out[i] = self.counts[at]
+        return out
+
+
 @dataclass
 class Model:
     """frequent: word to class, the end first. Classes after these are the others'. p: parameters; the last context
     vector stands for what is before a text. share: log10 of the others' smoothed totals. n, v: training tokens and
-    distinct ones. words: sorted 64-bit hashes and counts of all words, if they are few enough."""
+    distinct ones. words: all words with their counts, if they are few enough."""
 
     frequent: dict[bytes, int]
     p: dict[str, np.ndarray]
     share: np.ndarray
     n: int
     v: int
-    words: tuple[np.ndarray, np.ndarray] | None = None
+    words: WordCounts | None = None
 
     @property
     def base(self) -> float:
@@ -238,7 +261,7 @@ def fit(texts: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_W
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
     if not n:
-        return Model({}, {}, np.zeros(0), 0, 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), counts
+        return Model({}, {}, np.zeros(0), 0, 0, WordCounts(pa.array([], pa.binary()), np.zeros(0, np.int64))), counts
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     ends = n - int(counts.where(F.col("word") != F.lit(END)).agg(F.sum("c")).first()[0] or 0)
     frequent = {END: 0} | {bytes(r["word"]): i + 1 for i, r in enumerate(top)}
@@ -253,16 +276,8 @@ def fit(texts: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_W
     unigram = np.concatenate([own + 0.1, totals])
     model = Model(frequent, train(texts, frequent, unigram / unigram.sum(), text), np.log10(totals), n, v)
     if v <= broadcast_words:
-        # exact but for two words of one 64-bit hash among some millions
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = np.array([xxhash.xxh64_intdigest(x) for x in byte_rows(batch.column(0))], np.uint64).view(np.int64)
-                yield pa.record_batch([pa.array(h), batch.column(1)], names=["h", "c"])
-
-        table = counts.select("word", "c").mapInArrow(hashed, "h bigint, c bigint").toArrow()
-        h, c = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
-        order = np.argsort(h)
-        model.words = h[order], c[order]
+        table = counts.select("word", "c").toArrow()
+        model.words = WordCounts(table["word"].combine_chunks(), table["c"].to_numpy())
     return model, counts
 
 
@@ -324,11 +339,7 @@ class Scorer:
             frequent, first = self.model.frequent, len(self.model.frequent)
             self.kind = np.concatenate([self.kind, np.array([frequent[w] if w in frequent else first + other_class(w) for w in new], np.int64)])
             if self.model.words is not None:
-                keys, counts = self.model.words
-                asked = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
-                at = np.searchsorted(keys, asked).clip(max=max(0, len(keys) - 1))
-                held = np.where(keys[at] == asked, counts[at], 0) if len(keys) else np.zeros(len(new), np.int64)
-                self.count = np.concatenate([self.count, held])
+                self.count = np.concatenate([self.count, self.model.words.of(new)])
             self.number.new = []
         return out
 
@@ -415,7 +426,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 bags += [[{"word": w, "n": k} for w, k in bag] for bag in c]
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(parts)), pa.array(bags, words)], ["n_tokens", "part", "words"])
 
-    rows = written(docs.withColumn("__part", part(raw(text))).withColumn("__row", F.monotonically_increasing_id()), "parts")
+    others = [c for c in docs.columns if c != to]
+    rows = written(docs.select(F.struct(*others).alias("__own"), part(raw(text)).alias("__part"), F.monotonically_increasing_id().alias("__row")), "parts")
     bag = rows.select("__row", F.explode("__part.words").alias("x")).select("__row", "x.word", "x.n")
     found = bag.join(counts, "word", "left")
     log_count = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))
@@ -423,7 +435,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     sums = found.groupBy("__row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * log_count).alias("all"), F.sum(F.when(is_frequent, 0.0).otherwise(F.col("n") * log_count)).alias("rest"))
     n = F.col("__part.n_tokens")
     whole = F.struct(n.alias("n_tokens"), "n_known", (F.col("all") - n * model.base).alias("base_score"), (F.col("__part.part") + F.col("rest")).alias("score"))
-    return rows.join(sums, "__row").withColumn(to, whole).drop("__row", "__part", "n_known", "all", "rest")
+    return rows.join(sums, "__row").select("__own.*", whole.alias(to))
 
 
 def known_share(lm: str = "lm") -> Column:
