@@ -256,10 +256,11 @@ def test_decontamination_matches_brute_force(spark, odd, most):
     make = lambda n: "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "--"]) for _ in range(n))
     items = [(i, make(n)) for i, n in enumerate([1, 3, 9, 10, 11, 25, 40, 12])] + [(3, make(14)), (50, None), (51, ""), (52, "-- !!"), (53, "ab ab ab ab ab ab ab ab ab ab")]
     docs = [(i, make(rng.choice([0, 2, 9, 10, 60]))) for i in range(25)]
-    docs += [(100 + i, make(7) + t + make(5)) for i, (_, t) in enumerate(items) if t] + [(200, "ab " * 400)] + [(a, b) for a, b in ODD if b is None or len(b) < 5000]
+    docs += [(100 + i, make(7) + t + make(5)) for i, (_, t) in enumerate(items) if t] + [(200, "ab " * 400)] + ODD
+    docs += [(300, make(20_000) + items[5][1]), (301, items[6][1] * 300)]  # long ones, also where nearly all is hit
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({c: F.lit(0) for c in ("gram", "place", "n", "item", "items", "window")})
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("w", F.lit("own"))
-    found = decontam.report(decontam.contamination(frame, bench, broadcast_grams=most))
+    found = decontam.report(decontam.contamination(frame, bench, broadcast_grams=most, broadcast_windows=most, broadcast_rows=most))
     key = lambda r: (str(r[0]), *r[1:])
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(brute_hits(docs, items), key=key)
     none = decontam.report(decontam.contamination(frame, bench.limit(0))).collect()
@@ -321,6 +322,13 @@ def test_warc_table(spark):
     assert found == sorted(exact, key=str)
     (headers, payload), *_ = warc.lookup(catalogue, folder, 4)
     assert payload == b"short" and headers["WARC-Target-URI"] == "u"
+    (revisit, payload), *_ = warc.lookup(catalogue, folder, 1)
+    kept = [headers for headers, x in warc.lookup(catalogue, folder, 5) if x == big.encode()]
+    assert payload == b"" and revisit["WARC-Type"] == "revisit" and revisit["WARC-Refers-To"] == kept[0]["WARC-Record-ID"]
+    assert {"WARC-Date", "WARC-Target-URI", "Content-Type", "WARC-Record-ID"} <= headers.keys() & revisit.keys()
+    lost = catalogue.where("page_id != 5")
+    with pytest.raises(Exception, match="no response of the payload"):
+        warc.read(lost, folder).collect()
     empty = warc.write(pages.limit(0), folder)
     assert warc.read(empty, folder).count() == 0
 
