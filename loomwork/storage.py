@@ -9,6 +9,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file where their number is known.
+FILE_ROWS = 200_000
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -51,10 +53,29 @@ def _drop_written() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The same rows, read from a Parquet table in the shared folder: lineage ends there, and a lost executor
-    costs no more than the tasks that it ran."""
+    costs no more than the tasks that it ran. rows: a bound on their number, if one is known, for tables that are cheap
+    to make: they then go to as many files as it asks for."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that are written in a block and not read after it go when it ends, but for those that are kept."""
+
+    def __enter__(self) -> Scratch:
+        self.first, self.held = len(_WRITTEN), []
+        return self
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.held.append(_WRITTEN.pop())
+        return out
+
+    def __exit__(self, *_) -> None:
+        for spark, path in _WRITTEN[self.first :]:
+            drop_path(spark, path)
+        _WRITTEN[self.first :] = self.held
