@@ -6,7 +6,8 @@ prefix encodes a piece in one pass, makes appending exact (earlier entries never
 anew from its place on, as far as the entries differ.
 
 Null texts encode as empty ones. Ill-formed UTF-8 is read with replacement characters. Equal rows give equal results;
-an empty table gives an empty table; other columns are not touched.
+an empty table gives an empty table; texts of any length are encoded whole. Other columns stay as they are, but a column
+of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw
+from .common import byte_rows, raw, tidy
 from .pieces import PATTERN, splits
 
 #: Entries that a worker keeps of pieces, of what stands between spaces, and of pairs of tokens.
@@ -54,9 +55,10 @@ class Kept(dict):
 
 
 class PrefixEncoder:
-    """Encodes and decodes by a table of ranks; `pattern` cuts a text into the pieces that are encoded separately."""
+    """Encodes and decodes by a table of ranks; `pattern` cuts a text into the pieces that are encoded separately.
+    entries: the share of the usual sizes that the tables of what has been worked out get."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: float = 1):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -65,8 +67,9 @@ class PrefixEncoder:
         self.find = regex.compile(pattern).findall
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
-        self._pieces = Kept(self._ids, PIECES)
-        self._chunks = Kept(self._after_space, CHUNKS) if pattern == PATTERN else None
+        self.most_pairs = int(PAIRS * entries)
+        self._pieces = Kept(self._ids, int(PIECES * entries))
+        self._chunks = Kept(self._after_space, int(CHUNKS * entries)) if pattern == PATTERN else None
 
     def merged(self, data: bytes, below: int = NEVER) -> list[int]:
         """Merging by lowest rank, leftmost first, with ranks below a limit only: the definition the rest rests on."""
@@ -108,7 +111,7 @@ class PrefixEncoder:
                 x, end_x = cut_x[1], x
             else:
                 y, end_y = cut_y[0], y
-        if len(self._pairs) >= PAIRS:
+        if len(self._pairs) >= self.most_pairs:
             self._pairs.clear()
         self._pairs[left << 32 | right] = found
         return found
@@ -188,14 +191,15 @@ class EditablePiece:
         return self.encoder.walk(self.last)
 
 
-_ENCODERS: dict[tuple[str, str], PrefixEncoder] = {}
+_ENCODERS: dict[tuple[str, str, float], PrefixEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> PrefixEncoder:
-    """One encoder for each worker process; what it has learnt of pieces serves later tasks."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = PrefixEncoder(read_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+def encoder(path: str, pattern: str, entries: float = 1) -> PrefixEncoder:
+    """One encoder for each worker process; what it has learnt of pieces serves later tasks. entries: the share of the
+    tables' usual sizes."""
+    if (path, pattern, entries) not in _ENCODERS:
+        _ENCODERS[path, pattern, entries] = PrefixEncoder(read_ranks(path), pattern, entries)
+    return _ENCODERS[path, pattern, entries]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
@@ -223,15 +227,16 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
     return docs.withColumn(to, data(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Encodes and decodes each text and adds `bpe`: the ids' number and SHA-256, and that of the decoded bytes; with
-    `keep_ids` the ids too. One pass, so that the ids need not leave the worker."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False, to: str = "bpe", entries: float = 1, release: bool = False) -> DataFrame:
+    """Encodes and decodes each text and adds a struct: the ids' number and SHA-256, and that of the decoded bytes; with
+    `keep_ids` the ids too. One pass, so that the ids need not leave the worker. release: a task leaves its worker no
+    tables, for jobs that use the workers' memory otherwise afterwards."""
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:binary" * keep_ids + ">")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, entries)
         for batch in batches:
             rows = []
             for x in byte_rows(batch):
@@ -239,5 +244,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), ids if keep_ids else None))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.StructArray.from_arrays([pa.array(x, k) for x, k, _ in zip(columns, kinds, names)], names)
+        if release:
+            own = None
+            _ENCODERS.clear()
+            tidy()
 
-    return docs.withColumn("bpe", both(raw(text)))
+    return docs.withColumn(to, both(raw(text)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import suppress
 
@@ -31,6 +32,7 @@ def byte_rows(batch: pa.Array) -> Iterator[bytes]:
 
 def tidy() -> None:
     """Gives memory that a task has freed back to the system: its worker may stay, and wait, for a long time."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # another C library may lack it
         ctypes.CDLL(None).malloc_trim(0)

@@ -96,6 +96,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     whole = docs.select(F.col(doc_id).alias("doc_id"), words(text).alias("w"))
     whole = written(whole.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.size("w").alias("n_words"), "w"), "words")
+    n_docs = whole.count()
     entry = lambda gram, place, n: F.struct(gram.alias("gram"), place.alias("place"), n.alias("n"))
     parts = [F.transform("__kept", lambda x: entry(x.bitwiseAND(hash_part), x.bitwiseAND(place_part).cast("int"), F.lit(span)))]
     for size in short:
@@ -105,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     listed = kept_grams(whole.select("__row", "w"), "w", "__kept", span, k).select("__row", F.explode_outer(F.concat(*parts)).alias("e"))
     hits = listed.select("__row", "e.gram", "e.place", "e.n").join(grams, "gram")
     places = hits.groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("n", "place"))).alias("places"))  # a text's own places
-    places = _sent(written(places, "places"), broadcast_rows)
+    places = _sent(written(places, "places", n_docs), broadcast_rows)
 
     # the runs around a kept K-gram start up to span - k words before it; a short run is its own only window
     def around(x: Column) -> Column:
@@ -115,17 +116,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     starts = whole.select("__row", "w").join(places, "__row").select("__row", "w", F.array_distinct(F.flatten(F.transform("places", around))).alias("starts"))
     tried = starts.select("__row", F.explode_outer(F.transform("starts", lambda s: F.struct(s["at"].alias("at"), (s["at"] + s["n"]).alias("end"), F.array_join(F.slice("w", s["at"] + 1, s["n"]), " ").alias("window")))).alias("r"))
-    matched = written(tried.select("__row", "r.*").join(windows, "window", "left_semi"), "matched")
-    spans = matched.groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("at", "end"))).alias("spans"))
+    matched = tried.select("__row", "r.*").join(windows, "window", "left_semi").groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("at", "end", "window"))).alias("spans"))
+    matched = written(matched, "matched", n_docs)
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(x["end"] - F.greatest(x["at"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], x["end"]).alias("end")),
         lambda acc: acc["n"],
     )
-    once = matched.select("__row", "window").distinct().withColumn("wid", F.xxhash64("window"))
+    once = matched.select("__row", F.explode(F.array_distinct(F.transform("spans", lambda x: x["window"]))).alias("window")).withColumn("wid", F.xxhash64("window"))
     named = once.join(runs, ["wid", "window"]).groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    found = _sent(written(spans.select("__row", covered.cast("bigint").alias("n_hit")).join(named, "__row"), "hits"), broadcast_rows)
+    found = _sent(written(matched.select("__row", covered.cast("bigint").alias("n_hit")).join(named, "__row"), "hits", n_docs), broadcast_rows)
     none = F.array().cast("array<string>")
     result = whole.select("__row", "doc_id", F.col("n_words").cast("bigint")).join(found, "__row", "left")
     return result.select("__row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"))

@@ -11,7 +11,8 @@ looking up its longest known string at every byte.
 
 Null texts, and texts without a letter, get `und` and score 0. Ties go to the language first in the alphabet. Where
 nothing can be learnt (no labelled rows) all texts get `und`. Rows are scored one by one: repeated rows get equal
-results, an empty table gives an empty table, other columns are not touched. A text of any length is scored whole, in
+results, an empty table gives an empty table, other columns stay as they
+are, but a column of the result's name is replaced. A text of any length is scored whole, in
 blocks.
 """
 

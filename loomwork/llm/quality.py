@@ -6,8 +6,8 @@ overlap and cover the whole text. Over a text's chunks the pooled values are ave
 taken; with the text's length, a hidden layer and a logistic unit combine these into one probability.
 
 Null and empty texts are scored as one chunk of padding. Without any labelled row the score is 0.5; with labels of one
-class only, that class's value. Repeated rows get equal scores; an empty table gives an empty table; other columns are
-not touched. Labels that are null are not learnt from.
+class only, that class's value. Repeated rows get equal scores; an empty table gives an empty table; other columns stay
+as they are, but a column of the result's name is replaced. Very long texts are scored whole. Labels that are null are not learnt from.
 """
 
 from __future__ import annotations

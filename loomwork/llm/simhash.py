@@ -52,9 +52,25 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     ones, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
     for low in range(0, len(starts), BLOCK):
         pairs = zip(starts[low : low + BLOCK].tolist(), ends[low : low + BLOCK].tolist())
-        hashes = b"".join([digest(joined[a:b], seed) for a, b in pairs])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+        ones += _bits(b"".join([digest(joined[a:b], seed) for a, b in pairs]))
+    return _majority(ones, len(starts))
+
+
+def _bits(digests: bytes) -> np.ndarray:
+    """How many of the hashes, as eight bytes each with the highest first, have each bit."""
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes that are at hand."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), BLOCK):
+        ones += _bits(hashes[low : low + BLOCK].astype(">u8").tobytes())
+    return _majority(ones, len(hashes))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp", words: int = WORDS, seed: int = SEED) -> DataFrame:

@@ -1,12 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: min-hash bands choose pairs, whole sets decide.
-
-Texts of equal shingle sets first become one class. A class has BANDS * ROWS least hashes; classes that agree on all
-rows of a band share a bucket, so a pair of similarity s shares none with probability (1 - s ** ROWS) ** BANDS: 3e-6 at
-0.8, less above. Every link is verified by the whole sets, and only links are followed.
-
-Buckets are worked off in rounds. In each, all members of a bucket are compared with a few of it (the pivots), which a
-hash chooses; once components of the links found so far are known, only members of different components still need
-comparing. After ROUNDS such rounds all pairs of a bucket that lie in different components are compared.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash blocks and min-hash bands choose pairs, whole sets
+decide.
+
+Texts of equal shingle sets first become one class. Classes whose SimHash fingerprints of the same shingles differ in
+DISTANCE bits or fewer are linked by the pigeonhole blocks of `simhash`. Fingerprints of sets that are as little alike as
+0.8 differ in ten bits in the median, too many for blocks, so what these leave is found by bands: a class has BANDS * ROWS
+least hashes; classes that agree on all rows of a band share a bucket, so a pair of similarity s shares none with
+probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, less above. Every link is verified by the whole sets, and only links
+are followed.
+
+Buckets are worked off in rounds. In each, all members of a bucket that aren't in one component yet are compared with a
+few of it (the pivots), which a hash chooses. After ROUNDS such rounds all pairs of a bucket that lie in different
+components are compared.
+
+Null and empty texts have the empty set and are alike. Texts of any length are read whole. An empty table gives an empty
+table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -20,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_rows, raw, tidy, written
-from .simhash import reach
+from .simhash import DISTANCE, folded, near_links, reach
 
 WORDS, SEED, LEAST = 5, 42, 0.8
 BANDS, ROWS, PIVOTS, ROUNDS = 24, 4, 4, 3
-#: Pairs of one pivot that are compared together; shingles whose least hashes are worked out together.
+#: Pairs of one pivot that a part holds; shingles whose least hashes are worked out together.
 TOGETHER, BLOCK = 256, 1 << 12
 #: Classes up to which a list of them is sent to all tasks.
 SENT = 1_000_000
@@ -33,8 +40,8 @@ _A, _B = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _A |= np.uint64(1)
 
 
-def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """Sorted hashes of the distinct runs of `words` words, lower-cased; of a shorter text, of the whole."""
+def hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the runs of `words` words, lower-cased, repeats included; of a shorter text, of the whole."""
     parts = text.lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
@@ -44,7 +51,7 @@ def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     starts = ends - sizes
     n = max(1, len(parts) - words + 1)
     pairs = zip(starts[:n].tolist(), ends[-n:].tolist())
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in pairs), np.uint64, n))
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in pairs), np.uint64, n)
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
@@ -56,71 +63,112 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have that similarity; two empty ones have any."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b):
+        return False
+    at = np.searchsorted(b, a).clip(max=max(0, len(b) - 1))
+    both = int((b[at] == a).sum()) if len(a) else 0
+    return not len(b) or both >= least * (len(a) + len(b) - both)
 
 
 def marked_rows(docs: DataFrame, text: str, words: int, seed: int) -> DataFrame:
-    """docs with a row number, the class and the bands' keys. The sets themselves are larger than the texts and most are
-    never compared, so they aren't kept."""
+    """docs with a row number, the class, its fingerprint and the bands' keys. The sets themselves are larger than the
+    texts and most are never compared, so they aren't kept."""
 
-    @F.arrow_udf("struct<c:bigint,k:array<bigint>>")
+    @F.arrow_udf("struct<c:bigint,fp:bigint,k:array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = [shingles(x, words, seed) for x in byte_rows(batch)]
-            c = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(c), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["c", "k"])
+            c, fp, keys = [], [], []
+            for x in byte_rows(batch):
+                every = hashes(x, words, seed)
+                own = np.unique(every)
+                c.append(xxhash.xxh64_intdigest(own.tobytes()))
+                fp.append(folded(every))
+                keys.append(band_keys(own))
+            c, fp = (np.array(x, np.uint64).view(np.int64) for x in (c, fp))
+            yield pa.StructArray.from_arrays([pa.array(c), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["c", "fp", "k"])
         tidy()
 
     found = docs.withColumns({"__set": of(raw(text)), "__row": F.monotonically_increasing_id()})
-    return found.select(*docs.columns, "__row", F.col("__set.c").alias("__c"), F.col("__set.k").alias("__k"))
+    return found.select(*docs.columns, "__row", F.col("__set.c").alias("__c"), F.col("__set.fp").alias("__fp"), F.col("__set.k").alias("__k"))
 
 
-def sets_of(marked: DataFrame, classes: DataFrame, text: str, words: int, seed: int) -> DataFrame:
-    """c, s: the sets of these classes, worked out again from a text of each. The classes are sent to all tasks if a
-    count finds few enough."""
+def sets_of(marked: DataFrame, asked: DataFrame, n: int, text: str, words: int, seed: int) -> DataFrame:
+    """c, s: the sets of these classes, n at most, worked out again from a text of each. The classes are sent to all
+    tasks if they are few enough."""
 
     @F.arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([shingles(x, words, seed).tobytes() for x in byte_rows(batch)], pa.binary())
+            yield pa.array([np.unique(hashes(x, words, seed)).tobytes() for x in byte_rows(batch)], pa.binary())
         tidy()
 
-    asked = written(classes.select("c").distinct(), "asked")
-    rows = marked.select(F.col("__c"), "__row")
-    least = rows.join(F.broadcast(asked) if asked.count() <= SENT else asked, F.col("__c") == F.col("c")).groupBy("c").agg(F.min("__row").alias("r"))
-    chosen = written(least, "chosen")
-    texts = marked.select("__row", raw(text).alias("t")).join(F.broadcast(chosen) if chosen.count() <= SENT else chosen, F.col("__row") == F.col("r"))
+    sent = F.broadcast if n <= SENT else lambda x: x
+    least = marked.select("__c", "__row").join(sent(asked.select("c").distinct()), F.col("__c") == F.col("c")).groupBy("c").agg(F.min("__row").alias("r"))
+    chosen = written(least, "chosen", n)
+    texts = marked.select("__row", raw(text).alias("t")).join(sent(chosen), F.col("__row") == F.col("r"))
     return written(texts.select("c", of("t").alias("s")), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of distinct pairs (a, b) of classes, those similar enough. A pivot's many pairs are dealt out in parts, each with
-    a copy of its set."""
-    pairs = written(pairs.select("a", "b").where("a != b").distinct(), "pairs")
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int | None) -> DataFrame:
+    """Of pairs (a, b) of classes, those similar enough. A pivot's many pairs are dealt out in parts; its set goes to each
+    part once, ahead of the others', so no row holds two sets."""
+    pairs = written(pairs.select("a", "b").where("a != b").distinct(), "pairs", rows)
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(TOGETHER)).cast("int").alias("parts"))
-    few = parts.count() <= SENT
-    copies = parts.join(sets, parts.a == sets.c).select("a", "parts", F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(F.broadcast(parts) if few else parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    whole = dealt.join(sets.withColumnsRenamed({"c": "b", "s": "sb"}), "b").join(copies.select("a", "part", "sa"), ["a", "part"])
+    first = parts.join(sets, parts.a == sets.c).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "s")
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    others = dealt.join(sets.withColumnRenamed("c", "b"), "b").select("a", "part", "b", "s")
+    both = first.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: np.ndarray | None = None
+        for batch in batches:
+            a, b = [], []
+            for i in range(len(batch)):
+                one, other = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                s = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                if other is None:
+                    own = s.copy()
+                elif similar(own, s, least):
+                    a.append(one)
+                    b.append(other)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        tidy()
 
-    @F.arrow_udf("boolean")
-    def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similarity(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) >= least for p, q in zip(x, y)], pa.bool_())
+    return written(both.mapInArrow(near, "a bigint, b bigint"), "near")
 
-    return written(whole.where(near("sa", "sb")).select("a", "b"), "links")
+
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes: each with the one that stands for its fingerprint, and these as the blocks link them."""
+    named = classes.groupBy("fp").agg(F.min("c").alias("a"))
+    same = classes.join(named, "fp").select("a", F.col("c").alias("b"))
+    links = near_links(classes.select("fp").distinct(), DISTANCE)
+    ends = links.join(named.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
+    return same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a != b")
 
 
 def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int) -> DataFrame:
     """Links (a, b) that connect all classes of which a pair in a bucket is similar enough."""
-    classes = written(marked.groupBy(F.col("__c").alias("c")).agg(F.first("__k").alias("k")), "classes")
+    classes = marked.groupBy(F.col("__c").alias("c")).agg(F.first("__k").alias("k"), F.min("__fp").alias("fp"))
+    classes = written(classes, "classes", marked.count())
+    n = classes.count()
+    by_fp = written(_by_fingerprint(classes.select("c", "fp")), "by_fingerprint", 8 * n)
     rows = classes.select("c", F.posexplode("k").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = written(rows.join(shared, ["band", "key"]), "members")
-    sets = sets_of(marked, members, text, words, seed)
-    open_, links = members, None
+    members = written(rows.join(shared, ["band", "key"]), "members", BANDS * n)
+    asked = members.select("c").unionByName(by_fp.select(F.explode(F.array("a", "b")).alias("c")))
+    sets = sets_of(marked, asked, n, text, words, seed)
+    links = _verified(by_fp, sets, least, 8 * n)
     for turn in range(ROUNDS + 1):
+        roots = reach(links)
+        rooted = members.join(roots, members.c == roots.node, "left").select("band", "key", "c", F.coalesce("root", "c").alias("root"))
+        apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
+        open_ = written(rooted.join(apart, ["band", "key"]), "open", BANDS * n)
+        if not open_.head(1):
+            return links
         if turn < ROUNDS:
             chosen = [F.min(F.struct(F.xxhash64("c", F.lit(PIVOTS * turn + i)).alias("h"), "c"))["c"] for i in range(PIVOTS)]
             pivots = open_.groupBy("band", "key").agg(F.array_distinct(F.array(*chosen)).alias("p"))
@@ -129,16 +177,8 @@ def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int)
         else:  # whatever lies in different components
             other = open_.withColumnsRenamed({"c": "d", "root": "other"})
             pairs = open_.join(other, ["band", "key"]).where("root != other and c < d").select(F.col("c").alias("a"), F.col("d").alias("b"))
-        new = _verified(pairs, sets, least)
-        links = new if links is None else links.unionByName(new)
-        if turn == ROUNDS:
-            return links
-        roots = reach(links)
-        rooted = members.join(roots, members.c == roots.node, "left").select("band", "key", "c", F.coalesce("root", "c").alias("root"))
-        apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
-        open_ = written(rooted.join(apart, ["band", "key"]), "open")
-        if not open_.head(1):
-            return links
+        links = links.unionByName(_verified(pairs, sets, least, BANDS * PIVOTS * n if turn < ROUNDS else None))
+    return links
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, seed: int = SEED) -> DataFrame:
@@ -153,4 +193,4 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     rows = marked.select(F.col(doc_id).alias("__id"), "__row", "__c")
     chosen = rows.join(kept, rows["__id"].eqNullSafe(kept["__least"]) & (rows["__c"] == kept["__kept"]), "left_semi")
     chosen = chosen.groupBy("__id", "__c").agg(F.min("__row").alias("__row")).select("__row")
-    return marked.join(chosen, "__row", "left_semi").drop("__row", "__c", "__k")
+    return marked.join(chosen, "__row", "left_semi").drop("__row", "__c", "__fp", "__k")

@@ -9,7 +9,7 @@ each text gets its label.
 
 Null and empty texts, and those without a word, are scored as one empty window. Without any labelled row the score is 0;
 with labels of one class only, the share of toxic rows. Repeated rows get equal scores; an empty table gives an empty
-table; other columns are not touched. Labels that are null are not learnt from.
+table; other columns stay as they are, but a column of the result's name is replaced. Very long texts are scored whole. Labels that are null are not learnt from.
 """
 
 from __future__ import annotations
