@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 - toxicity: documents scored 0.5 or more go. It learns from all labelled documents.
 - language: documents without a language, and those whose language is uncertain, go. It learns from the lang column.
 - near_duplicates: of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, directly or
-  through others, the one of the smallest doc_id stays.
+  through others, the one of the smallest doc_id stays. SimHash blocks link what they reach, min-hash bands the rest, and
+  whole sets verify each link.
 - decontamination: documents that share ten words in a row with a benchmark item, or hold a shorter item, go.
 - bpe: the ids of what is left, with digests of the ids and of what they decode to.
 Rows with a null in any column pass as the operators define it: a null text is empty, so it has no language and goes.
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, decontam, langid, similar, toxicity
-from loomwork.llm.common import written
+from loomwork.storage import Scratch
 
-#: Words of a shingle and the least similarity of near-duplicates.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Words of a shingle and the least similarity of near-duplicates; the share of the usual tables that encoding keeps, as
+#: workers of other stages need the memory.
+SHINGLE, SIMILARITY, BPE_ENTRIES = 5, 0.8, 0.4
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    found = bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_ids=True)
+    found = bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_ids=True, entries=BPE_ENTRIES, release=True)
     return found.select("doc_id", "lang", "source", "bpe.*")
 
 
@@ -65,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scratch() as scratch:
+            docs = scratch.kept(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
