@@ -62,3 +62,29 @@ def interleave(rows: DataFrame, group: str, order: list[Column], n: int) -> Data
     """n rows, the groups' first rows before their second ones. Only each group's first n rows are sorted together."""
     within = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("place", F.row_number().over(within)).where(F.col("place") <= n).orderBy("place", group).limit(n)
+
+
+def cache(found: DataFrame, failed: DataFrame, key: str, model: str, order: list[Column]) -> DataFrame:
+    """A cache's state: of each key's rows that were made with `model` the last, of values (`found`) and failures with a
+    reason (`failed`). Rows of other models count for nothing. `is_known` tells a value from a failure."""
+    both = found.withColumn("is_known", F.lit(True)).unionByName(failed.withColumn("is_known", F.lit(False)), allowMissingColumns=True)
+    return keep_one(both.where(F.col("model") == model), [key], order)
+
+
+def uncached(wanted: DataFrame, done: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """Wanted keys that have no result for the objects they would be cut to: key and size, at most `most`, are the cache's
+    key. The size is that of the cut."""
+    return wanted.withColumn(size, F.least(F.col(size), F.lit(most))).join(done.select(key, size).distinct(), [key, size], "left_anti")
+
+
+def uncached_whole(wanted: DataFrame, done: DataFrame, key: str, size: str, pruned: str, most: int | None = None) -> DataFrame:
+    """Wanted keys of which no result stands for the whole: one that wasn't pruned, or, with `most`, one of at most `most`
+    objects or pruned to just that many."""
+    whole = ~F.col(pruned) if most is None else (~F.col(pruned) & (F.col(size) <= most)) | (F.col(size) == most)
+    return wanted.join(done.where(whole).select(key).distinct(), key, "left_anti")
+
+
+def failures(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """A ledger of key, reason and tries: a new failure takes the reason and counts one more."""
+    both = old.select(key, "reason", "tries", F.lit(0).alias("late")).unionByName(new.select(key, "reason", F.lit(1).alias("tries"), F.lit(1).alias("late")))
+    return both.groupBy(key).agg(F.max_by("reason", "late").alias("reason"), F.sum("tries").cast("int").alias("tries"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import random_average_precision
+from ..storage import written
+from .vectors import mean_vector, unit
+
 
 def ranking_metrics(ranked: DataFrame, query: str, relevant: str, place: str, at: int = 10, recall_at: int = 20) -> DataFrame:
     """Per query from ranked candidates (place from 1, relevant boolean): positives, ap, ndcg, r_precision, recall."""
@@ -30,12 +37,17 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def worst_mean(rows: DataFrame, value: str, share: float = 0.2) -> DataFrame:
-    """The mean of the lowest share of values, at least one: a threshold from the exact percentile, and the ties at it in
-    part."""
-    n = rows.agg(F.count(value)).first()[0]
-    take = int(np.ceil(share * n))
-    low = rows.where(F.col(value).isNotNull()).orderBy(value).limit(take)
-    return low.agg(F.avg(value).alias("worst_mean"), F.count(F.lit(1)).alias("n"))
+    """The mean of the lowest share of values, rounded up to whole rows: all below a threshold, the value of that rank,
+    and as many of those at it as are needed. Values are counted by themselves, and ranks found over ranges of them, so
+    no task sorts them all."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    parts = written(each.repartitionByRange("x").withColumn("p", F.spark_partition_id()), "values")
+    sums = parts.groupBy("p").agg(F.sum("c").alias("m"))  # a row a range
+    before = sums.select("p", (F.sum("m").over(Window.orderBy("p")) - F.col("m")).alias("before"), F.sum("m").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    placed = parts.join(F.broadcast(before), "p").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("p").orderBy("x")))
+    take = F.greatest(F.least(F.ceil(F.lit(share) * F.col("n")) - (F.col("upto") - F.col("c")), F.col("c")), F.lit(0))
+    low = placed.select("x", take.alias("t")).where("t > 0")
+    return low.agg((F.sum(F.col("x") * F.col("t")) / F.sum("t")).alias("worst_mean"), F.sum("t").alias("n"))
 
 
 def skewness(value: str) -> list[Column]:
@@ -113,7 +125,7 @@ def normal_equations(rows: DataFrame, v: str, target: str, by: str | None = None
     from pyspark.sql import functions as F
 
     key = F.col(by).cast("string") if by else F.lit("")
-    narrow = rows.select(key.alias("k"), F.col(v).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y")).where("v is not null and y is not null")
+    narrow = rows.select(key.alias("k"), F.col(v).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y")).where("v is not null and y is not null and forall(v, x -> x is not null)")
     parts = narrow.mapInArrow(partial, "k string, s array<double>")
     each = parts.select("k", F.posexplode("s").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"))
     out = {}
@@ -160,72 +172,150 @@ def hash_fold(column: str, folds: int, seed: int = 0) -> Column:
 
 
 
-def bootstrap(values: DataFrame, value: str, rounds: int = 4000, seed: int = 0, share: float = 0.95) -> tuple[float, float, float]:
-    """Mean and its interval: each row counts a Poisson number of times in each round, by a hash of the row's own number,
-    so rounds are sums that tasks add up apart."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts, rng = np.zeros(rounds), np.zeros(rounds), None
-        for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False)
-            if rng is None and len(x):
-                rng = np.random.default_rng([seed, int(abs(hash(x[0])) % (1 << 31)), len(x)])
-            for low in range(0, len(x), 500):
-                draws = rng.poisson(1.0, (len(x[low : low + 500]), rounds))
-                sums += x[low : low + 500] @ draws
-                counts += draws.sum(axis=0)
-        yield pa.record_batch([pa.array(np.arange(rounds)), pa.array(sums), pa.array(counts)], names=["r", "s", "c"])
-
-    rows = values.select(F.col(value).cast("double").alias("x")).where("x is not null")
-    per = rows.mapInArrow(part, "r bigint, s double, c double").groupBy("r").agg((F.sum("s") / F.sum("c")).alias("m"))
-    low, high = (1 - share) / 2, (1 + share) / 2
-    ends = per.agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("p")).first()["p"]
-    return float(rows.agg(F.avg("x")).first()[0]), float(ends[0]), float(ends[1])
+def _draws(rows: DataFrame, value: str, key: str, rounds: int, seed: int) -> DataFrame:
+    """x, r, h: for each row and round the first digits of md5(seed:key:round), as a number up to 16 ** 7: the same
+    however rows are divided, and in any engine."""
+    one = rows.select(F.col(value).cast("double").alias("x"), F.col(key).cast("string").alias("k")).where("x is not null")
+    each = one.select("x", "k", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
+    return each.select("x", "r", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "k", "r").cast("binary")), 1, 7), 16, 10).cast("bigint").alias("h"))
 
 
-def sign_flip_test(differences: DataFrame, value: str, key: str, rounds: int = 20000, seed: int = 0) -> tuple[float, float]:
-    """Mean difference and two-sided p value: in each round a hash gives every row a sign. Tasks add up apart."""
-    from collections.abc import Iterator
+#: Chances that a row is drawn at most 0, 1, ... times in a round: Poisson of mean one, as parts of 16 ** 7.
+_POISSON = [round(16**7 * sum(1 / np.e / math.factorial(j) for j in range(i + 1))) for i in range(9)]
 
-    import pyarrow as pa
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(rounds)
+def bootstrap(values: DataFrame, value: str, key: str, rounds: int = 4000, seed: int = 0, share: float = 0.95) -> DataFrame:
+    """One row: mean, low, high. Each row counts a Poisson number of times in each round, drawn from a hash of its key and
+    the round, so rounds are sums, added up in each task first."""
+    times = sum(((F.col("h") >= F.lit(limit)).cast("int") for limit in _POISSON), F.lit(0))
+    per = _draws(values, value, key, rounds, seed).withColumn("t", times).groupBy("r").agg((F.sum(F.col("x") * F.col("t")) / F.sum("t")).alias("m"))
+    low, high = (1 - share) / 2, (1 + share) / 2
+    ends = per.agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("p"))
+    mean = values.agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    return mean.crossJoin(ends).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))  # a row each
+
+
+def sign_flip_test(differences: DataFrame, value: str, key: str, rounds: int = 20000, seed: int = 0) -> DataFrame:
+    """One row: the mean difference, and its two-sided p value: the share of rounds, in each of which a hash gives every
+    row a sign, whose sum lies as far from zero as the rows' own."""
+    sign = F.when(F.col("h") < 16**7 // 2, F.lit(-1.0)).otherwise(F.lit(1.0))
+    per = _draws(differences, value, key, rounds, seed).groupBy("r").agg(F.sum(F.col("x") * sign).alias("s"))
+    total = differences.agg(F.sum(F.col(value).cast("double")).alias("s0"), F.avg(F.col(value).cast("double")).alias("delta"))
+    beyond = per.crossJoin(F.broadcast(total)).agg(F.sum((F.abs("s") >= F.abs("s0") - 1e-9).cast("int")).alias("n"))
+    return total.crossJoin(beyond).select("delta", (F.col("n") / F.lit(float(rounds))).alias("p"))  # a row each
+
+
+def multiclass_probe(rows: DataFrame, v: str, label: str, fold: str, penalty: float = 1.0, least: int = 50) -> dict:
+    """Out-of-fold ridge classification over labels of `least` rows or more: a target a class, each class's rows weighed so
+    that classes count alike, the largest prediction wins. Sums by fold, over all classes at once, are gathered; rows are
+    scored where they lie, and counted by class. Returns accuracy, macro_recall, macro_f1, top5 and classes."""
+    usable = rows.where(F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull()) & F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in usable.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()}
+    classes = sorted(counts)
+    if len(classes) < 2:
+        raise ValueError("fewer than two labels have rows enough")
+    known = usable.join(F.broadcast(usable.sparkSession.createDataFrame([(c, i, 1.0 / counts[c]) for i, c in enumerate(classes)], f"{label} {dict(rows.dtypes)[label]}, __y int, __w double")), label)
+    narrow = known.select(F.col(fold).cast("string").alias("f"), F.col(v).cast("array<double>").alias("x"), F.col("__y").alias("y"), F.col("__w").alias("w"))
+
+    def sums(batches):
+        held: dict = {}
         for batch in batches:
-            for x, h in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()):
-                sums += x * np.random.default_rng([seed, int(h) & 0xFFFFFFFF]).choice([-1.0, 1.0], rounds)
-        yield pa.record_batch([pa.array(np.arange(rounds)), pa.array(sums)], names=["r", "s"])
-
-    rows = differences.select(F.col(value).cast("double").alias("x"), F.xxhash64(key).alias("h")).where("x is not null")
-    total = rows.agg(F.sum("x").alias("s"), F.avg("x").alias("m")).first()
-    per = rows.mapInArrow(part, "r bigint, s double").groupBy("r").agg(F.sum("s").alias("s"))
-    beyond = per.where(F.abs("s") >= abs(total["s"]) - 1e-12).count()
-    return float(total["m"]), (beyond + 1) / (rounds + 1)
-
-
-def multiclass_r2_and_accuracy(rows: DataFrame, v: str, label: str, fold: str, penalty: float = 1.0, most_classes: int = 64) -> dict:
-    """Out-of-fold ridge classification: a target a class, the largest prediction wins. Sums by fold and class are
-    gathered, a system a fold is solved here, and rows are scored where they lie. Returns accuracy and macro recall."""
-    classes = [r[0] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).select(label).collect()]
-    usable = rows.where(F.col(label).isin(classes))
-    sums = {c: normal_equations(usable.withColumn("__y", (F.col(label) == c).cast("double")), v, "__y", fold) for c in classes}
-    folds = list(next(iter(sums.values())))
-    weights = {k: np.stack([solve([s for o, s in sums[c].items() if o != k], penalty) for c in classes]) for k in folds}
+            if not len(batch):
+                continue
+            folds = np.array(batch.column(0).to_pylist())
+            x = np.c_[batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1), np.ones(len(batch))]
+            y, w = np.eye(len(classes))[batch.column(2).to_numpy()], batch.column(3).to_numpy()[:, None]
+            for f in np.unique(folds):
+                own = folds == f
+                part = (x[own] * w[own]).T @ np.c_[x[own], y[own]]
+                held[f] = held[f] + part if f in held else part
+        if held:
+            yield pa.record_batch([pa.array([str(f) for f in held]), pa.array([s.tobytes() for s in held.values()], pa.binary())], names=["f", "s"])
+
+    parts: dict = {}
+    for r in narrow.mapInArrow(sums, "f string, s binary").collect():  # a matrix a task and fold
+        parts[r["f"]] = parts.get(r["f"], 0) + np.frombuffer(r["s"])
+    size = next(iter(parts.values())).size
+    d = int(round((-len(classes) + np.sqrt(len(classes) ** 2 + 4 * size)) / 2))
+    parts = {f: s.reshape(d, d + len(classes)) for f, s in parts.items()}
+    total, weights = sum(parts.values()), {}
+    for f, own in parts.items():
+        s = total - own
+        ridge = penalty * np.eye(d) / max(1.0, sum(counts.values()) / len(classes))
+        ridge[-1, -1] = 1e-12
+        weights[f] = np.linalg.solve(s[:, :d] + ridge, s[:, d:])
     held = rows.sparkSession.sparkContext.broadcast(weights)
 
+    @F.arrow_udf("array<int>")
+    def best(x, f):
+        flat = np.c_[x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), np.ones(len(x))]
+        out = [np.argsort(-(row @ held.value[k]), kind="stable")[:5].tolist() for k, row in zip(f.to_pylist(), flat)]
+        return pa.array(out, pa.list_(pa.int32()))
+
+    scored = narrow.select("y", best("x", "f").alias("b"))
+    table = scored.groupBy("y", F.col("b")[0].alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.array_contains("b", F.col("y")).cast("int")).alias("five")).collect()  # classes squared at most
+    n = sum(r["n"] for r in table)
+    hit = {c: sum(r["n"] for r in table if r["y"] == r["p"] == c) for c in range(len(classes))}
+    true, called = ({c: sum(r["n"] for r in table if r[k] == c) for c in hit} for k in ("y", "p"))
+    return {"accuracy": sum(hit.values()) / n, "macro_recall": float(np.mean([hit[c] / true[c] for c in hit])), "macro_f1": float(np.mean([2 * hit[c] / (true[c] + called[c]) for c in hit])), "top5": sum(r["five"] for r in table) / n, "classes": len(classes)}
+
+
+# --- retrieval of sets
+
+
+def set_retrieval(scores: DataFrame, own: DataFrame, positives: DataFrame, at: int = 50) -> DataFrame:
+    """Retrieval at set level. scores: query, item, item_set, score of all candidates; own: query, query_set; positives:
+    query, item_set, weight. Per query: sets (others than its own), positives, ap, chance (the expected ap of a random
+    order), ndcg and recall. A set has its best item's score; it is ranked among all sets, of equal ones by number, less
+    one if the query's own set stands before it."""
+    best = scores.groupBy("query", "item_set").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item_set")))
+    mine = ranked.join(own.withColumnRenamed("query_set", "item_set"), ["query", "item_set"]).select("query", F.col("rank").alias("own_rank"))
+    sizes = best.join(own, "query").groupBy("query").agg(F.sum((F.col("item_set") != F.col("query_set")).cast("int")).alias("sets"))
+    wanted = positives.join(own, "query").where("item_set != query_set").groupBy("query", "item_set").agg(F.max("weight").alias("weight"))
+    hits = wanted.join(ranked, ["query", "item_set"]).join(mine, "query", "left")
+    hits = hits.withColumn("place", F.col("rank") - (F.coalesce("own_rank", F.lit(1 << 31)) < F.col("rank")).cast("int"))
+    hits = hits.withColumn("seen", F.row_number().over(Window.partitionBy("query").orderBy("place")))
+    gain = lambda x: F.lit(1.0) / F.log2(x + F.lit(1.0))
+    per = hits.groupBy("query").agg(
+        F.count(F.lit(1)).alias("positives"),
+        (F.sum(F.col("weight") * F.col("seen") / F.col("place")) / F.sum("weight")).alias("ap"),
+        F.sum(F.when(F.col("place") <= at, gain(F.col("place"))).otherwise(0.0)).alias("gained"),
+        F.avg((F.col("place") <= at).cast("double")).alias("recall"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("positives", F.lit(at)).cast("int")), F.lit(0.0), lambda a, i: a + gain(i))
+    return per.join(sizes, "query").select("query", "sets", "positives", "ap", random_average_precision(F.col("positives"), F.col("sets")).alias("chance"), (F.col("gained") / ideal).alias("ndcg"), "recall")
+
+
+def few_shot(rows: DataFrame, v: str, owner: str, fold: str, support: int = 0) -> DataFrame:
+    """owner, hits, n: prototypes are the owners' mean unit vectors over the rows of one fold (`support`); each other row is
+    given to the owner of the nearest prototype, of equal ones the first. Owners are a panel, so prototypes are few."""
+    each = rows.select(F.col(owner).alias("owner"), F.col(fold).alias("fold"), unit(v).alias("v")).where(F.col("v").isNotNull())
+    prototypes = mean_vector(each.where(F.col("fold") == support), ["owner"], "v").orderBy("owner").collect()
+    names, matrix = [r["owner"] for r in prototypes], np.array([r["mean"] for r in prototypes])
+    kind = dict(rows.dtypes)[owner]
+
     @F.arrow_udf("int")
-    def best(x, k):
-        import pyarrow as pa
-
-        flat = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-        flat = np.c_[flat, np.ones(len(flat))]
-        return pa.array([int((held.value[f] @ row).argmax()) for f, row in zip(k.to_pylist(), flat)], pa.int32())
-
-    index = F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1
-    scored = usable.select(index.cast("int").alias("y"), best(F.col(v).cast("array<double>"), F.col(fold).cast("string")).alias("p"))
-    per = scored.groupBy("y").agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("recall"), F.count(F.lit(1)).alias("n"))
-    total = per.agg((F.sum(F.col("recall") * F.col("n")) / F.sum("n")).alias("a"), F.avg("recall").alias("m")).first()
-    return {"accuracy": total["a"], "macro_recall": total["m"], "classes": len(classes)}
+    def nearest_one(x):
+        return pa.array((x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) @ matrix.T).argmax(axis=1), pa.int32())
+
+    found = each.where(F.col("fold") != support).withColumn("p", nearest_one("v"))
+    found = found.withColumn("named", F.element_at(F.array(*[F.lit(n).cast(kind) for n in names]), F.col("p") + 1))
+    return found.groupBy("owner").agg(F.sum((F.col("owner") == F.col("named")).cast("int")).alias("hits"), F.count(F.lit(1)).alias("n"))
+
+
+def stratified_folds(groups: dict, folds: int) -> dict:
+    """Groups to folds so that every label is spread evenly. groups: group to its labels' counts, a bounded number of
+    groups. The largest go first, each to the fold whose labels then lie closest to an even share; of equal ones to the
+    fold with fewer rows, then the first."""
+    labels = sorted({x for counts in groups.values() for x in counts}, key=str)
+    at = {x: i for i, x in enumerate(labels)}
+    rows = {g: np.array([counts.get(x, 0) for x in labels], float) for g, counts in groups.items()}
+    total = np.maximum(sum(rows.values()), 1)
+    held, out = np.zeros((folds, len(at))), {}
+    for g in sorted(rows, key=lambda g: (-rows[g].sum(), str(g))):
+        with_it = (held + rows[g]) / total
+        lost = ((with_it - 1 / folds) ** 2).sum(axis=1) - ((held / total - 1 / folds) ** 2).sum(axis=1)
+        out[g] = min(range(folds), key=lambda i: (round(lost[i], 12), held[i].sum(), i))
+        held[out[g]] += rows[g]
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
@@ -31,7 +31,8 @@ def similar_groups(edges: DataFrame, group: str, item: str, threshold: float) ->
 
     Prefix filter: with items in one order from rare to frequent, two similar groups of n items share one among their
     first n - ceil(threshold * n) + 1. Only these are joined, so frequent items hardly ever pair groups; the sizes must
-    fit too. What is left is compared as sorted arrays."""
+    fit too. What is left is compared as sorted arrays. For edges in which many groups have the same items, give those of
+    `distinct_sets` alone: m equal groups have m * m / 2 pairs."""
     rows = edges.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col("i").isNotNull()).distinct()
     often = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     ranked = rows.join(often, "i").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("s"))
@@ -82,17 +83,62 @@ def unordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
 
 
+def drawn(*parts: Column) -> Column:
+    """A number between 0 and 1 for each row, from the first 48 bits of md5 of the parts, joined by colons: the same in any
+    run and engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+
 def sample_pairs(edges: DataFrame, group: str, item: str, passes: int, seed: int = 0, largest: int = 256) -> DataFrame:
-    """For each item and pass: a group of 2 to `largest` items, drawn with weight one over its size, and another item of
-    it. Draws are hashes, so that runs agree: the group of the least -ln(u) * size. A group's members are numbered once;
+    """For each item and pass: a group, drawn with weight one over its size, and another item of it. Groups of 2 to
+    `largest` items are drawn from; an item that has none of these draws from all its groups. Draws are hashes, so that runs agree: the group of the least -ln(u) * size. A group's members are numbered once;
     the partner is found by number, so no pairs are listed."""
     rows = edges.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
     numbered = rows.withColumns({"at": F.row_number().over(Window.partitionBy("g").orderBy("i")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("g"))})
-    numbered = numbered.where(F.col("n").between(2, largest))
-    unit = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    turns = numbered.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    draw = -F.log(unit("turn", "g", "i")) * F.col("n")
+    numbered = numbered.where(F.col("n") > 1)
+    small = F.col("n") <= largest
+    open_ = numbered.withColumn("some", F.max(small).over(Window.partitionBy("i"))).where(small | ~F.col("some"))
+    unit = lambda *c: drawn(F.lit(seed), *c)
+    turns = open_.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    draw = -F.log(unit(F.col("turn"), F.col("g"), F.col("i"))) * F.col("n")
     chosen = turns.groupBy("i", "turn").agg(F.min_by(F.struct("g", "at", "n"), F.struct(draw, F.col("g"))).alias("c")).select("i", "turn", "c.*")
-    skip = F.floor(unit(F.lit("other"), "turn", "i") * (F.col("n") - 1)).cast("int") + 1
+    skip = F.floor(unit(F.lit("other"), F.col("turn"), F.col("i")) * (F.col("n") - 1)).cast("int") + 1
     wanted = chosen.select("i", "turn", "g", F.pmod(F.col("at") + skip, F.col("n")).alias("at"))
     return wanted.join(numbered.select("g", "at", F.col("i").alias("partner")), ["g", "at"]).select("i", "turn", "g", "partner")
+
+
+def extracted(edges: DataFrame, items: DataFrame, blocked: DataFrame, spread: float, least: int = 5, buckets: int = 10) -> DataFrame:
+    """Collections to learn from: collection, source, items, n_items. edges: collection, source, item; items: item, set,
+    stars; blocked: collection, source. Items without a set or stars, blocked collections, items of held-out sets (one in
+    `buckets`) and items more than `spread` stars below the hardest one of their set in the collection go; collections of
+    fewer than `least` items go; of those with equal items the first stays."""
+    known = edges.join(items.where("set is not null and stars is not null and pmod(set, %d) != 0" % buckets), "item")
+    open_ = known.join(blocked, ["collection", "source"], "left_anti")
+    near = within_spread(open_, ["collection", "source", "set"], "stars", spread)
+    sets = near.groupBy("collection", "source").agg(F.sort_array(F.collect_set("item")).alias("items")).where(F.size("items") >= least)
+    once = sets.groupBy("items").agg(F.min(F.struct("collection", "source")).alias("g"))
+    return once.select("g.collection", "g.source", "items", F.size("items").alias("n_items"))
+
+
+def disjoint_batches(pairs: DataFrame, a: str, b: str, size: int, seed: int = 0) -> DataFrame:
+    """Pairs in batches in which no item occurs twice: round, part, batch, a, b. In each round a pair is taken if its hash
+    is the least at both its items, so the round's pairs share none; they are cut into batches of `size`. A batch of fewer
+    than a quarter of that waits for the next round, and a round without a whole one is the last; what still waits then
+    is left out."""
+    pending = written(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "pending")
+    few, out, turn = min(size, max(2, size // 4)), None, 0
+    while True:
+        hashed = pending.withColumn("h", F.xxhash64(F.lit(seed), F.lit(turn), "a", "b"))
+        least = hashed.select(F.explode(F.array("a", "b")).alias("i"), "h", "a", "b").groupBy("i").agg(F.min(F.struct("h", "a", "b")).alias("m"))
+        taken = least.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("m.*")
+        parts = pending.count() // (64 * size) + 1
+        placed = taken.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+        placed = placed.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("part").orderBy("h", "a", "b")) - 1) / size).cast("int"))
+        whole = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part", "batch"))).where(F.col("n") >= few)
+        found = written(whole.select(F.lit(turn).alias("round"), "part", "batch", "a", "b"), "batches")
+        out = found if out is None else out.unionByName(found)
+        if not found.head(1):
+            return out.withColumnsRenamed({"a": a, "b": b}) if (a, b) != ("a", "b") else out
+        pending = written(pending.join(found, ["a", "b"], "left_anti"), "pending")
+        turn += 1

@@ -90,3 +90,10 @@ def packed_batches(sizes: DataFrame, key: str, size: str, most: int) -> DataFram
     within = Window.partitionBy(size).orderBy(key)
     placed = sizes.withColumn("__i", F.row_number().over(within) - 1).join(per.select(size, "before"), size)
     return placed.withColumn("batch", F.floor((F.col("before") + F.col("__i") * F.col(size)) / most).cast("bigint")).drop("__i", "before")
+
+
+def packed(rows: DataFrame, batch: str, order: str, size: str) -> DataFrame:
+    """Sequences of a batch laid end to end: where each starts and ends, and the batch's total and longest."""
+    per = Window.partitionBy(batch)
+    end = F.sum(size).over(per.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"end": end, "start": end - F.col(size), "total": F.sum(size).over(per), "longest": F.max(size).over(per)})

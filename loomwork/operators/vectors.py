@@ -46,13 +46,42 @@ def from_bfloat16(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.uint32) << 16).view(np.float32)
 
 
+def whole_vectors(rows: DataFrame, key: str, v: str) -> DataFrame:
+    """Key and vector of the rows whose vector is there, and all of it."""
+    return rows.select(key, v).where(F.col(key).isNotNull() & F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull()))
+
+
+def require_one_length(rows: DataFrame, v: str) -> int:
+    """The rows' length; an error if there are several. Arrays are laid end to end for the matrix products, so a ragged one
+    would shift all after it."""
+    sizes = rows.agg(F.min(F.size(v)).alias("a"), F.max(F.size(v)).alias("b")).first()
+    if sizes["a"] != sizes["b"]:
+        raise ValueError(f"vectors of {sizes['a']} to {sizes['b']} components")
+    return sizes["a"] or 0
+
+
+def linear(v: str | Column, matrix: np.ndarray, bias: np.ndarray | None = None) -> Column:
+    """An adapter: the vector times a matrix, plus a bias, of length one."""
+    m, b = np.asarray(matrix, float), np.zeros(np.asarray(matrix).shape[1]) if bias is None else np.asarray(bias, float)
+
+    @F.arrow_udf("array<double>")
+    def times(rows: pa.Array) -> pa.Array:
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) @ m + b
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+    return times(doubles(v))
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", v: str = "embedding", skip_self: bool = True) -> DataFrame:
     """Exact: for each query (key, v) its k candidates of the largest inner product: query, candidate, score. Ties go to
     the smaller key.
 
     Candidates are dealt into blocks by a hash and each query is sent to every block, where a matrix product scores them
-    together; a block gives k rows a query, of which the best k stay. Neither side is broadcast or collected."""
-    n = corpus.count()
+    together; a block gives k rows a query, of which the best k stay. Neither side is broadcast or collected. Vectors that
+    are null or hold nulls take no part; all others must have one length."""
+    corpus, queries = whole_vectors(corpus, key, v), whole_vectors(queries, key, v)
+    n = require_one_length(corpus.unionByName(queries), v) and corpus.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     c = corpus.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), F.col(key).cast("bigint").alias("id"), doubles(v).alias("v"))
     q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), F.col(key).cast("bigint").alias("id"), doubles(v).alias("v"))

@@ -52,10 +52,9 @@ SELECT o_orderkey, o_orderstatus, o_orderpriority, round(c_acctbal, 2) AS c_acct
 WHERE o_totalprice BETWEEN 50000 AND 200000 AND c_acctbal >= 0 AND lower(o_orderstatus) IN ('o', 'f') AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND c_mktsegment <> 'BUILDING'
 """)
 def optional_range_filters(t: Tables):
-    low, high = scalar.month_bounds("1995-01", "1996-12")
+    low, high = scalar.month_times("1995-01", "1996-12", "timestamp_ntz")
     rows = scalar.in_range(t.orders, {"o_totalprice": (50000, 200000), "o_custkey": (None, None)})
-    day = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    rows = rows.where(F.lower("o_orderstatus").isin("o", "f") & (day >= low) & (day < high))
+    rows = rows.where(F.lower("o_orderstatus").isin("o", "f") & (F.col("o_orderdate") >= low) & (F.col("o_orderdate") < high))
     return rows.join(t.customer.where("c_acctbal >= 0 and c_mktsegment <> 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
@@ -157,7 +156,16 @@ def pair_relations(t: Tables):
     return graph.related(pairs, t.lineitem, "l_orderkey", "l_partkey").withColumn("weight", F.round("weight", 6))
 
 
-@query()
+def _unit(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE"
+
+
+@query(f"""
+WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem), n AS (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY i) - 1 AS at, count(*) OVER (PARTITION BY g) AS n FROM e),
+k AS (SELECT *, turn::INT AS t FROM n, range(4) r(turn) WHERE n BETWEEN 2 AND 256), c AS (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY -ln({_unit("0", "t", "g", "i")}) * n, g) AS place FROM k),
+w AS (SELECT i, t, g, (at + floor({_unit("0", "'other'", "t", "i")} * (n - 1))::BIGINT + 1) % n AS at FROM c WHERE place = 1)
+SELECT w.i, t AS turn, w.g, n.i AS partner FROM w JOIN n ON n.g = w.g AND n.at = w.at
+""")
 def pair_sampling(t: Tables):
     return graph.sample_pairs(t.lineitem, "l_orderkey", "l_partkey", 4)
 
@@ -167,10 +175,11 @@ def holdout_split(t: Tables):
     return t.orders.select("o_orderkey", (F.pmod("o_orderkey", F.lit(10)) == 0).alias("held_out"), F.pmod("o_orderkey", F.lit(4)).alias("fold"))
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('1:' || o_orderkey), o_orderkey LIMIT 100")
 def hash_sample(t: Tables):
     """A hundred orders, the same at every run: the sampling operator."""
-    return t.orders.orderBy(scalar.stable_order(F.col("o_orderkey"), seed=1), "o_orderkey").limit(100).select("o_orderkey")
+    digest = F.md5(F.concat_ws(":", F.lit(1), "o_orderkey").cast("binary"))
+    return t.orders.orderBy(digest, "o_orderkey").limit(100).select("o_orderkey")
 
 
 @query("""
@@ -269,17 +278,89 @@ def display_formats(t: Tables):
     return t.part.select("p_partkey", scalar.duration(F.col("p_size")).alias("duration"), scalar.compact(F.col("p_partkey")).alias("compact"))
 
 
-@query()
+def _drawn(table: str, key: str, value: str, rounds: int) -> str:
+    return f"d AS (SELECT {value}::DOUBLE AS x, r, ('0x' || substr(md5('0:' || {key} || ':' || r), 1, 7))::BIGINT AS h FROM {table}, range({rounds}) t(r))"
+
+
+@query(f"""
+WITH {_drawn("orders", "o_orderkey", "o_totalprice", 400)}, w AS (SELECT r, x, {" + ".join(f"(h >= {x})::INT" for x in evaluate._POISSON)} AS t FROM d), m AS (SELECT r, sum(x * t) / sum(t) AS m FROM w GROUP BY r)
+SELECT (SELECT round(avg(o_totalprice), 4) FROM orders) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m
+""")
 def bootstrap_ci(t: Tables):
-    mean, low, high = evaluate.bootstrap(t.orders, "o_totalprice", rounds=400)
-    return t.spark.createDataFrame([(mean, low, high)], "mean double, low double, high double")
+    return evaluate.bootstrap(t.orders, "o_totalprice", "o_orderkey", rounds=400).select(*[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
 
 
-@query()
+@query(f"""
+WITH {_drawn("customer", "c_custkey", "c_acctbal", 1000)}, s AS (SELECT r, sum(CASE WHEN h < 134217728 THEN -x ELSE x END) AS s FROM d GROUP BY r), o AS (SELECT sum(c_acctbal) AS s0, avg(c_acctbal) AS m FROM customer)
+SELECT round(max(m), 6) AS delta, sum((abs(s) >= abs(s0) - 1e-9)::INT) / 1000.0::DOUBLE AS p FROM s, o
+""")
 def permutation_test(t: Tables):
-    rows = t.customer.select("c_custkey", F.col("c_acctbal").alias("d"))
-    mean, p = evaluate.sign_flip_test(rows, "d", "c_custkey", rounds=1000)
-    return t.spark.createDataFrame([(mean, p)], "mean double, p double")
+    found = evaluate.sign_flip_test(t.customer, "c_acctbal", "c_custkey", rounds=1000)
+    return found.select(F.round("delta", 6).alias("delta"), "p")
+
+
+@query("""
+WITH i AS (SELECT p_partkey AS item, p_size AS set, p_retailprice / 100 AS stars FROM part), e AS (SELECT DISTINCT l_orderkey AS collection, l_linenumber % 2 AS source, l_partkey AS item FROM lineitem),
+k AS (SELECT * FROM e JOIN i USING (item) WHERE set % 10 <> 0 AND NOT (source = 1 AND collection % 7 = 0)), m AS (SELECT *, max(stars) OVER (PARTITION BY collection, source, set) AS top FROM k),
+s AS (SELECT collection, source, list_sort(list_distinct(list(item))) AS items FROM m WHERE top - stars <= 3 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY items ORDER BY collection, source) AS place FROM s WHERE len(items) >= 3)
+SELECT collection, source, items, len(items)::INT AS n_items FROM o WHERE place = 1
+""")
+def collection_extraction(t: Tables):
+    """The catalogue's collections to learn from: blocklist, hold-out, spread within a set, size, equal content once."""
+    edges = t.lineitem.select(F.col("l_orderkey").alias("collection"), (F.col("l_linenumber") % 2).alias("source"), F.col("l_partkey").alias("item"))
+    items = t.part.select(F.col("p_partkey").alias("item"), F.col("p_size").alias("set"), (F.col("p_retailprice") / 100).alias("stars"))
+    blocked = edges.where("source = 1 and collection % 7 = 0").select("collection", "source").distinct()
+    return graph.extracted(edges, items, blocked, 3, least=3)
+
+
+@query("""
+WITH b AS (SELECT c_custkey % 50 AS batch, c_custkey, 1 + length(c_name) AS size FROM customer)
+SELECT batch, c_custkey, size::BIGINT AS size, (sum(size) OVER w - size)::BIGINT AS start, (sum(size) OVER w)::BIGINT AS end, (sum(size) OVER (PARTITION BY batch))::BIGINT AS total, (max(size) OVER (PARTITION BY batch))::BIGINT AS longest
+FROM b WINDOW w AS (PARTITION BY batch ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)
+""")
+def sequence_packing(t: Tables):
+    rows = t.customer.select((F.col("c_custkey") % 50).alias("batch"), "c_custkey", (F.length("c_name") + 1).cast("bigint").alias("size"))
+    return sequence.packed(rows, "batch", "c_custkey", "size")
+
+
+@query()
+def pair_batches(t: Tables):
+    """Batches in which no item occurs twice."""
+    return graph.disjoint_batches(t.orders.select((F.col("o_custkey") % 97).alias("a"), (F.col("o_orderkey") % 1009 + 97).alias("b")), "a", "b", 32)
+
+
+@query("""
+WITH d AS (SELECT l_orderkey AS id, least(max(l_linenumber), 4)::INT AS size FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), w AS (SELECT l_orderkey AS id, least(max(l_linenumber), 4)::INT AS size FROM lineitem GROUP BY 1)
+SELECT w.id, w.size FROM w ANTI JOIN d USING (id, size)
+""")
+def composite_cache(t: Tables):
+    """Items without a result for the objects they are cut to."""
+    sizes = lambda rows: rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_linenumber").alias("size"))
+    done = sizes(t.lineitem.where("l_returnflag = 'R'")).withColumn("size", F.least("size", F.lit(4)))
+    return catalog.uncached(sizes(t.lineitem), done, "id", "size", 4)
+
+
+@query("""
+WITH f AS (SELECT o_custkey AS id, o_orderkey AS at, o_totalprice AS value, NULL AS reason, true AS is_known, o_orderstatus AS model FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_custkey, o_orderkey, NULL, o_orderpriority, false, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0)
+SELECT id, at, value, reason, is_known FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at DESC) AS i FROM f WHERE model = 'F') WHERE i = 1
+""")
+def negative_cache(t: Tables):
+    """Of each key the last value or failure that one model gave."""
+    rows = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("model"), "o_totalprice", "o_orderpriority")
+    found = rows.where("at % 3 != 0").select("id", "at", "model", F.col("o_totalprice").alias("value"))
+    failed = rows.where("at % 3 = 0").select("id", "at", "model", F.col("o_orderpriority").alias("reason"))
+    return catalog.cache(found, failed, "id", "F", [F.desc("at")]).select("id", "at", "value", "reason", "is_known")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN lower(o_orderstatus) IN ('f') OR lower(o_orderpriority) IN ('1-urgent') THEN o_orderdate ELSE o_orderdate - INTERVAL 30 DAY END AS released, o_orderkey % 60 + 60 * (o_orderkey % 7) AS seconds FROM orders
+""")
+def release_dates(t: Tables):
+    """The date that a status picks, and times read from their display."""
+    date = scalar.release_date(F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_orderdate") - F.expr("interval 30 days"), ["f", "1-urgent"])
+    shown = F.concat_ws(":", F.col("o_orderkey") % 7, F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))
+    return t.orders.select("o_orderkey", date.alias("released"), scalar.seconds(shown).cast("bigint").alias("seconds"))
 
 
 @query()

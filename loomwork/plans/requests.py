@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_range, month_bounds
@@ -36,12 +36,13 @@ class SearchRequest:
             raise ValueError(f"top_k lies between 1 and {MOST_RESULTS}")
 
 
-def filters(rows: DataFrame, request: SearchRequest, statuses: dict[str, list[str]], status: str = "status", released: str = "released_us") -> DataFrame:
-    """Rows that the request allows. A null fails any bound; a row without a release date fails a first month but passes
+def filters(rows: DataFrame, request: SearchRequest, statuses: dict[str, list[str]], status: str = "status", released: str = "released_us", also: str | None = None) -> DataFrame:
+    """Rows that the request allows; a status may stand in either of two columns (`also`). A null fails any bound; a row without a release date fails a first month but passes
     a last one."""
     rows = in_range(rows, request.bounds)
     if request.status is not None:
-        rows = rows.where(F.lower(F.col(status).cast("string")).isin(statuses[request.status]))
+        either = [F.lower(F.col(c).cast("string")).isin(statuses[request.status]) for c in (status, also) if c]
+        rows = rows.where(F.coalesce(either[0], F.lit(False)) | F.coalesce(either[-1], F.lit(False)))
     low, high = month_bounds(*request.months)
     first = F.coalesce(F.col(released), F.lit(-(1 << 63)))
     if request.months[0]:
@@ -54,17 +55,21 @@ def filters(rows: DataFrame, request: SearchRequest, statuses: dict[str, list[st
 def run(index: DataFrame, request: SearchRequest, key: str = "vec_id", group: str = "label", v: str = "embedding", density: str = "density", penalty: float = 0.3, statuses: dict[str, list[str]] | None = None) -> list[dict]:
     """The results in order: key, group, score (the plain product), rank. A bounded list."""
     own = index.where(F.col(key).isin(list(request.sources)))
-    found = {r[key]: r[group] for r in own.select(key, group).collect()}  # as many as sources
+    found = {r[key] for r in own.select(key).collect()}  # as many as sources
     missing = [s for s in request.sources if s not in found]
     if missing:
         raise KeyError(f"not indexed: {missing}")
+    return _nearest(index, own, request, key, group, v, density, penalty, statuses)
+
+
+def _nearest(index: DataFrame, own: DataFrame, request: SearchRequest, key: str, group: str, v: str, density: str, penalty: float, statuses: dict[str, list[str]] | None) -> list[dict]:
+    """What lies nearest the mean of the rows `own`, without these and, if asked, their groups."""
     asked = vectors.mean_vector(own, [], v)
-    rows = filters(index, request, statuses or {})
-    keep: Column = ~F.col(key).isin(list(request.sources))
+    rows = filters(index, request, statuses or {}).join(own.select(key), key, "left_anti")
     if request.exclude_same_group:
-        keep = keep & ~F.col(group).isin([g for g in found.values() if g is not None])
+        rows = rows.join(own.select(group).distinct(), group, "left_anti")
     k = request.top_k + SPARE * request.distinct
-    best = vectors.search(rows, asked, group, k, key, v, penalty, density, keep)
+    best = vectors.search(rows, asked, group, k, key, v, penalty, density)
     if request.distinct:
         best = best.join(index.select(key, v), key).orderBy(F.desc("adjusted"), group)
     results = [r.asDict() for r in best.collect()]
@@ -73,15 +78,15 @@ def run(index: DataFrame, request: SearchRequest, key: str = "vec_id", group: st
     return [{key: r[key], group: r[group], "score": r["score"], "rank": i + 1} for i, r in enumerate(results[: request.top_k])]
 
 
-def recommend(index: DataFrame, plays: DataFrame, mods: list[str], request: SearchRequest, seed: int = 0, take: int = 5, key: str = "vec_id") -> list[dict]:
-    """From a user's plays (key, mods) with all of some mods: their vectors' neighbours without what was played, of which
-    `take` are drawn by a hash."""
+def recommend(index: DataFrame, plays: DataFrame, mods: list[str], request: SearchRequest, seed: int = 0, take: int = 5, key: str = "vec_id", group: str = "label", v: str = "embedding", density: str = "density", penalty: float = 0.3, statuses: dict[str, list[str]] | None = None) -> list[dict]:
+    """From a user's plays (key, mods) with all of some mods, however many: their vectors' neighbours without what was
+    played, of which `take` are drawn by a hash. The request's own sources aren't used."""
     with_mods = plays.where(F.size(F.array_except(F.array(*map(F.lit, mods)).cast("array<string>"), "mods")) == 0)
-    sources = [r[key] for r in with_mods.select(key).distinct().join(index.select(key), key, "left_semi").orderBy(F.xxhash64(F.lit(seed), key)).limit(MOST_SOURCES).collect()]
-    if not sources:
+    own = index.join(with_mods.select(key).distinct(), key, "left_semi")
+    if not own.head(1):
         return []
-    wanted = SearchRequest(tuple(sources), request.top_k, request.bounds, request.months, request.status, request.exclude_same_group, request.distinct)
-    played = {r[key] for r in plays.select(key).distinct().limit(10_000).collect()}
-    fresh = [r for r in run(index, wanted, key) if r[key] not in played]
+    near = _nearest(index, own, request, key, group, v, density, penalty, statuses)
+    played = {r[key] for r in plays.where(F.col(key).isin([r[key] for r in near])).select(key).distinct().collect()}  # top_k at most
+    fresh = [r for r in near if r[key] not in played]
     order = np.random.default_rng(seed).permutation(len(fresh))[:take]
     return [fresh[i] for i in sorted(order)]

@@ -24,10 +24,10 @@ def _posts(t: Tables):
     return t.documents.select("doc_id", F.explode(F.array_distinct(words)).alias("term"))
 
 
-@query(f"WITH {_TERMS} SELECT term, count(*) AS df, list_sort(list(doc_id))[1:5] AS first_docs FROM terms GROUP BY 1")
+@query(f"WITH {_TERMS} SELECT term, count(*) AS df, list_sort(list(doc_id)) AS docs FROM terms GROUP BY 1")
 def inverted_index(t: Tables):
     found = text.term_docs(_posts(t))
-    return found.select("term", "df", F.slice("docs", 1, 5).alias("first_docs"))
+    return found.select("term", "df", "docs")
 
 
 @query(f"""
@@ -111,7 +111,23 @@ def parse_blocks(t: Tables):
     return found.select("conv_id", F.size("rows").cast("bigint").alias("turns"), F.transform("rows", lambda r: r["role"]).alias("roles"), F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, r: a + F.char_length(r["text"])).alias("chars"), F.element_at("rows", -1)["role"].alias("last_role"))
 
 
-@query("SELECT page_id, list_transform(string_split('ab cd 12 7 x9', ' '), lambda x: x) [1:2] AS head, [12, 7]::BIGINT[] AS ids, ['HD', 'NC', 'FL'] AS parts FROM pages")
+_DIGITS = "trim(regexp_replace(url, '[^0-9]+', ' ', 'g'))"
+
+
+@query(f"""
+SELECT page_id, string_split(url, '/')[1:3] AS head, list_filter(list_transform(string_split({_DIGITS}, ' '), lambda x: try_cast(x AS BIGINT)), lambda x: x IS NOT NULL) AS ids,
+list_sort(list_distinct(list_transform(regexp_extract_all(upper(url), '[A-Z0-9]{{2}}'), lambda x: CASE x WHEN 'HT' THEN 'DC' ELSE x END))) AS parts FROM pages
+""")
 def lists_in_text(t: Tables):
-    rows = t.pages.select("page_id", F.lit("ab cd 12 7 x9").alias("s"), F.lit("hddtfl").alias("m"))
-    return rows.select("page_id", F.slice(F.split("s", " "), 1, 2).alias("head"), text.id_list("s").alias("ids"), text.chunks_of_two("m", {"DT": "NC"}).alias("parts"))
+    """Lists read from pages' addresses."""
+    digits = F.regexp_replace("url", "[^0-9]+", " ")
+    return t.pages.select("page_id", F.slice(F.split("url", "/"), 1, 3).alias("head"), text.id_list(digits).alias("ids"), F.array_sort(text.chunks_of_two("url", {"HT": "DC"})).alias("parts"))
+
+
+@query()
+def catalog_search(t: Tables):
+    """A search as it is typed, with a misspelt word: strict, then fuzzy, fields at the end."""
+    docs = t.part.select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") % 2).alias("status"), F.col("p_retailprice").alias("stars"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("creator"))
+    posts = text.postings(docs.withColumn("whole", F.concat_ws(" ", "title", "artist", "creator")), "doc_id", "whole")
+    found = text.search(posts, text.frequencies(posts), docs, "standrad brand")
+    return t.spark.createDataFrame([(r["doc_id"], round(r["score"], 6)) for r in found], "doc_id bigint, score double")

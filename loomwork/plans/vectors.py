@@ -75,15 +75,15 @@ def group_mean_vectors(t: Tables):
     return found.select("label", F.transform("mean", lambda x: F.round(x, 5) + 0.0).alias("mean"))
 
 
-_RANKED = f"""{_UNIT}, p AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label = b.label AS hit, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0),
+_RANKED = f"""{_UNIT}, p AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label = b.label AS hit, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS i FROM p)"""
 
 
 def _ranked(t: Tables):
-    """Each tenth vector with all others in order of nearness: as many rows as the queries' pairs."""
+    """Each vector with all others in order of nearness, for metrics of whole rankings: as many rows as pairs."""
     rows = t.embeddings.select("vec_id", "label", vectors.unit("embedding").alias("embedding"))
     n = rows.count()
-    found = vectors.nearest(rows.where("vec_id % 10 = 0"), rows, n)
+    found = vectors.nearest(rows, rows, n)
     labels = rows.select("vec_id", "label")
     found = found.join(labels.withColumnsRenamed({"vec_id": "query", "label": "a"}), "query").join(labels.withColumnsRenamed({"vec_id": "candidate", "label": "b"}), "candidate")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate"))
@@ -145,7 +145,7 @@ def _priority(r: Column, d: Column) -> Column:
 
 @query(f"""
 WITH {_UNIT}, w AS (SELECT vec_id, label, v, v[1:32] AS h FROM u),
-p AS (SELECT a.vec_id AS q, b.vec_id AS c, b.label AS g, list_inner_product(a.v, b.v) AS s, list_inner_product(a.h, b.h) AS s2 FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+p AS (SELECT a.vec_id AS q, b.vec_id AS c, b.label AS g, list_inner_product(a.v, b.v) AS s, list_inner_product(a.h, b.h) AS s2 FROM w a JOIN w b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS i, rank() OVER (PARTITION BY q ORDER BY s2 DESC) AS j FROM p),
 k AS (SELECT *, pow(i, -0.5) / (1 + pow(greatest(100.0, 10.0 * i) / j, 2)) AS priority FROM r WHERE i <= 30),
 b AS (SELECT *, row_number() OVER (PARTITION BY q, g ORDER BY priority DESC, i, c) AS n FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY priority DESC, i, c) AS m FROM b WHERE n = 1)
@@ -156,9 +156,8 @@ def disagreement_mining(t: Tables):
     rows = _scaled(t)
     half = rows.withColumn("embedding", F.slice("embedding", 1, 32))
     n = rows.count()
-    some = rows.where("vec_id % 20 = 0")
-    first = vectors.nearest(some, rows, 30).withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate")))
-    other = vectors.nearest(half.where("vec_id % 20 = 0"), half, n).select("query", "candidate", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score"))).alias("j"))
+    first = vectors.nearest(rows, rows, 30).withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate")))
+    other = vectors.nearest(half, half, n).select("query", "candidate", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score"))).alias("j"))
     both = first.join(other, ["query", "candidate"]).join(rows.select(F.col("vec_id").alias("candidate"), F.col("label").alias("g")), "candidate")
     both = both.withColumn("priority", _priority(F.col("i").cast("double"), F.col("j").cast("double")))
     order = [F.desc("priority"), F.col("i"), F.col("candidate")]
@@ -183,6 +182,55 @@ def cosine_cluster(t: Tables):
     return cluster.cluster_groups(t.embeddings, "label", "vec_id", "embedding")
 
 
+@query(f"""
+WITH {_UNIT}, p AS (SELECT a.vec_id AS q, b.vec_id // 5 AS s, max(list_inner_product(a.v, b.v)) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS rank FROM p), o AS (SELECT q, rank AS own FROM r WHERE s = q // 5),
+w AS (SELECT a.vec_id AS q, b.vec_id // 5 AS s, max(1.0::DOUBLE / (1 + b.vec_id % 3)) AS weight FROM u a JOIN u b ON a.label = b.label AND a.vec_id // 5 <> b.vec_id // 5 GROUP BY 1, 2),
+h AS (SELECT w.q, weight, rank - (coalesce(own, 2147483648) < rank)::INT AS place FROM w JOIN r ON r.q = w.q AND r.s = w.s LEFT JOIN o ON o.q = w.q), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS seen FROM h),
+n AS (SELECT q, count(*) FILTER (WHERE s <> q // 5) AS sets FROM p GROUP BY 1)
+SELECT k.q AS query, max(sets)::BIGINT AS sets, count(*)::BIGINT AS positives, round(sum(weight * seen / place) / sum(weight), 6) AS ap, round(avg((place <= 50)::INT::DOUBLE), 6) AS recall FROM k JOIN n ON n.q = k.q GROUP BY 1
+""")
+def set_retrieval(t: Tables):
+    """Retrieval of sets (five vectors each) by one of their items' labels, ranks without the query's own set."""
+    rows = t.embeddings.select("vec_id", "label", vectors.unit("embedding").alias("embedding"))
+    scores = vectors.nearest(_scaled(t), _scaled(t), rows.count()).select("query", F.col("candidate").alias("item"), F.expr("candidate div 5").alias("item_set"), "score")
+    own = rows.select(F.col("vec_id").alias("query"), F.expr("vec_id div 5").alias("query_set"))
+    of = rows.groupBy("label", F.expr("vec_id div 5").alias("item_set")).agg(F.max(F.lit(1.0) / (1 + F.col("vec_id") % 3)).alias("weight"))  # a row a label and set
+    positives = rows.select(F.col("vec_id").alias("query"), "label").join(of, "label").select("query", "item_set", "weight")
+    found = evaluate.set_retrieval(scores, own, positives)
+    return found.select("query", F.col("sets").cast("bigint"), "positives", F.round("ap", 6).alias("ap"), F.round("recall", 6).alias("recall"))
+
+
+@query()
+def play_groups(t: Tables):
+    """Each of ten owners' plays in named groups."""
+    plays = t.embeddings.select((F.col("vec_id") % 10).alias("owner"), F.col("vec_id").alias("key"), F.when(F.col("vec_id") % 3 == 0, F.array(F.lit("HD"), F.lit("NC"))).when(F.col("vec_id") % 3 == 1, F.array(F.lit("HR"))).otherwise(F.array().cast("array<string>")).alias("mods"), F.col("vec_id").alias("place"))
+    groups, _ = cluster.play_groups(plays, t.embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")))
+    return groups
+
+
+@query()
+def label_names(t: Tables):
+    """Groups of vectors named by a head that is learnt from groups' means."""
+    groups = vectors.mean_vector(t.embeddings.withColumn("g", F.expr("vec_id div 3")), ["g"], "embedding")
+    words = groups.select("mean", *[F.expr(f"g % {n} = 0").alias(f"word{n}") for n in (2, 3)])
+    head = cluster.label_head(words, "mean", ["word2", "word3"], least=1)
+    return groups.select("g", head.name("mean").alias("name"))
+
+
+@query()
+def few_shot_panel(t: Tables):
+    """Rows given to the owner of the nearest prototype."""
+    return evaluate.few_shot(t.embeddings.withColumn("fold", F.col("vec_id") % 4), "embedding", "label", "fold")
+
+
+@query()
+def class_probe(t: Tables):
+    """How well a balanced linear map tells labels of enough rows, out of fold."""
+    found = evaluate.multiclass_probe(t.embeddings.withColumn("fold", F.col("vec_id") % 4), "embedding", "label", "fold", least=20)
+    return t.spark.createDataFrame([tuple(found.values())], "accuracy double, macro_recall double, macro_f1 double, top5 double, classes int")
+
+
 @query()
 def ridge_probe(t: Tables):
     """How well a linear map predicts the label, out of fold."""
@@ -191,7 +239,10 @@ def ridge_probe(t: Tables):
     return t.spark.createDataFrame([(r2,)], "r2 double")
 
 
-@query()
+@query("""
+WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT *, CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE pow(2.0, floor(log2(abs(x))) - 7) END AS unit FROM x)
+SELECT vec_id, round(sum(x * (round_even(x / unit, 0) * unit) ORDER BY i), 4) AS kept FROM e GROUP BY 1
+""")
 def bfloat16_round_trip(t: Tables):
     """Vectors rounded to 16 bits and back, and their products with the plain ones."""
 

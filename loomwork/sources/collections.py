@@ -13,8 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: what stands before the number in a file's version; a minimal file's version ends in "min".
-PREFIX = "o!dm"
+#: The versions of the format by name.
+VERSIONS = {
+    "o!dm": 1,
+    "o!dm2": 2,
+    "o!dm3": 3,
+    "o!dm4": 4,
+    "o!dm5": 5,
+    "o!dm6": 6,
+    "o!dm7": 7,
+    "o!dm8": 8,
+    "o!dm7min": 1007,
+    "o!dm8min": 1008,
+}
 
 
 class Reader:
@@ -54,11 +65,9 @@ def parse(data: bytes) -> list[tuple[str, list[int]]]:
     """Name and ids of each collection."""
     file = Reader(data)
     name = file.text()
-    minimal = name.endswith("min")
-    digits = name.removeprefix(PREFIX).removesuffix("min")
-    if not name.startswith(PREFIX) or digits and not digits.isdigit():
+    if name not in VERSIONS:
         raise ValueError(f"unknown version {name!r}")
-    version = int(digits or 1)
+    minimal, version = VERSIONS[name] > 1000, VERSIONS[name] % 1000
     if version >= 7:
         file = Reader(gzip.decompress(file.data[file.at :]))
         file.text()

@@ -23,6 +23,9 @@ FARTHEST = 20_000
 OBJECT = "struct<object_index:int,x:int,y:int,time:bigint,end_time:bigint,kind:string,new_combo:boolean,hit_sound:int,bpm:double,origin:bigint,kiai:boolean,end_bpm:double,curve:string,anchors:int,hard_anchors:int,repeats:int,length:double,path_valid:boolean,end_dx:double,end_dy:double,third_dx:double,third_dy:double,two_thirds_dx:double,two_thirds_dy:double>"
 MAP = f"struct<map_id:bigint,mode:int,hp:double,cs:double,od:double,ar:double,slider_multiplier:double,slider_tick:double,objects:array<{OBJECT}>,error:string>"
 
+#: Fixed value: what a map file begins with, before its version.
+MAGIC = "osu file format v"
+
 
 # --- slider paths
 
@@ -257,6 +260,7 @@ def failures(maps: DataFrame) -> DataFrame:
 
 
 def looks_valid(content: str = "content"):
-    """At least 100 bytes that begin with the format's name and a version."""
+    """At least 100 bytes whose first line begins with the format's name, after one other character at most."""
     c = F.col(content)
-    return (F.octet_length(c) >= 100) & F.decode(c, "UTF-8").rlike("^\\uFEFF?[a-z!]+ file format v")
+    line = F.trim(F.split(F.make_valid_utf8(c.cast("string")), "\n", 2)[0])
+    return (F.octet_length(c) >= 100) & (line.startswith(MAGIC) | F.substring(line, 2, len(MAGIC)).eqNullSafe(MAGIC))

@@ -159,8 +159,85 @@ def test_clusters_find_separate_groups():
     rng = np.random.default_rng(4)
     v = np.concatenate([np.eye(8)[i] + 0.05 * rng.standard_normal((5 + i, 8)) for i in range(3)])
     own = cluster.clusters(v)
-    assert len(set(own)) == 3 and all(len(set(own[a:b])) == 1 for a, b in ((0, 5), (5, 11), (11, 18)))
-    assert (cluster.clusters(v[:4]) == 0).all()
+    assert (own == 0).all()  # twelve rows for a start
+    v = np.concatenate([np.eye(8)[i] + 0.05 * rng.standard_normal((12 + i, 8)) for i in range(3)])
+    own = cluster.clusters(v)
+    assert [set(own[a:b]) for a, b in ((0, 12), (12, 25), (25, 39))] == [{2}, {1}, {0}]
+    assert len(set(cluster.clusters(np.concatenate([v, -np.eye(8)[:2]])))) == 3  # clusters of fewer than three go
+
+
+def test_large_groups_are_clustered_like_small_ones(spark):
+    rng = np.random.default_rng(14)
+    v = rng.standard_normal((150, 6))
+    rows = spark.createDataFrame([("a" if i < 100 else "b", i, v[i].tolist()) for i in range(150)] + [("a", 900, None)], "g string, k int, v array<double>").repartition(5)
+    small = sorted(map(tuple, cluster.cluster_groups(rows, "g", "k", "v").collect()))
+    assert small == sorted(map(tuple, cluster.cluster_groups(rows, "g", "k", "v", held_rows=60).collect())) and len(small) == 150
+
+
+def test_play_groups(spark):
+    rng = np.random.default_rng(15)
+    vectors_ = spark.createDataFrame([(i, (np.eye(4)[i % 2] + 0.05 * rng.standard_normal(4)).tolist()) for i in range(60)], "key int, v array<double>")
+    rows = [(1, i, ["NC", "HD"] if i % 2 else ["HR"], i) for i in range(48)] + [(1, 5, ["DT"], 99), (1, 7, [], 50), (1, 900, ["HD"], 3), (2, 1, [], 0)]
+    groups, missing = cluster.play_groups(spark.createDataFrame(rows, "owner int, key int, mods array<string>, place int"), vectors_)
+    found = {(r["owner"], r["name"]): (sorted(r["keys"]), r["rank"]) for r in groups.collect()}
+    assert found == {(1, "hddt"): (list(range(1, 48, 2)), 2), (1, "hr"): (sorted([*range(0, 48, 2), 7]), 1), (2, "nm"): ([1], 1)} and [tuple(r) for r in missing.collect()] == [(1, 900)]
+
+
+def test_label_head_matches_numpy(spark):
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((50, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.c_[x[:, 0] > 0, x[:, 1] > 0].astype(float)
+    rows = spark.createDataFrame([(x[i].tolist(), bool(y[i, 0]), bool(y[i, 1])) for i in range(50)], "v array<double>, a boolean, b boolean").repartition(3)
+    head = cluster.label_head(rows, "v", ["a", "b"], least=5)
+    z, t = x - x.mean(axis=0), y / y.sum(axis=0) ** 0.25
+    w = np.linalg.solve(z.T @ z + np.eye(4), z.T @ (t - t.mean(axis=0)))
+    assert np.allclose(head.weight, w) and np.allclose(head.bias, -(x @ w).mean(axis=0))
+    for r in rows.select("v", head.name("v").alias("name")).collect():
+        assert r["name"] == ["a", "b"][int((np.array(r["v"]) @ w + head.bias).argmax())]
+    with pytest.raises(ValueError, match="too few"):
+        cluster.label_head(rows, "v", ["a", "b"], least=40)
+
+
+def test_disjoint_batches(spark):
+    pairs = spark.createDataFrame([(i % 20, 100 + i % 33) for i in range(400)], "a int, b int")
+    rows = graph.disjoint_batches(pairs, "a", "b", 8).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r["round"], r["part"], r["batch"]), []).extend([r["a"], r["b"]])
+    assert rows and all(len(x) == len(set(x)) and 4 <= len(x) <= 16 for x in by.values()) and len({(r["a"], r["b"]) for r in rows}) == len(rows)
+
+
+def test_vectors_must_be_whole(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [None, 1.0])], "vec_id int, embedding array<double>")
+    assert sorted((r["query"], r["candidate"]) for r in vectors.nearest(rows, rows, 5).collect()) == [(1, 3), (3, 1)]
+    with pytest.raises(ValueError, match="components"):
+        vectors.nearest(rows, rows.where("vec_id = 1").unionByName(spark.createDataFrame([(9, [1.0])], rows.schema)), 5)
+    assert [round(x, 6) for x in rows.where("vec_id = 3").select(vectors.linear("embedding", [[1.0, 0.0], [3.0, 4.0]])).first()[0]] == [0.6, 0.8]
+
+
+def test_words_that_a_search_keeps(spark):
+    assert text.kept_words({0b111: 2, 0b011: 5}, 3) == ({0, 1, 2}, 2)
+    assert text.kept_words({0b011: 5, 0b100: 9, 0b110: 1}, 3) == ({0, 1}, 5)
+    assert text.kept_words({0b001: 5}, 3) == (set(), 0)
+    docs = spark.createDataFrame([(1, 1, 300.0, "Green Tea", "Bob", "x"), (2, 0, 900.0, "Green", "Tea Band", "y"), (3, 0, 1.0, "Grean Teapot", "z", "w"), (4, 0, 1.0, None, None, None)], "doc_id int, status int, stars double, title string, artist string, creator string")
+    posts = text.postings(docs.withColumn("t", F.concat_ws(" ", "title", "artist", "creator")), "doc_id", "t")
+    found = text.search(posts, text.frequencies(posts), docs, "green tea")
+    assert [r["doc_id"] for r in found][:2] == [1, 2]
+    assert [r["doc_id"] for r in text.search(posts, text.frequencies(posts), docs, "bbob grene")][0] == 1 and text.search(posts, text.frequencies(posts), docs, " !") == []
+    assert text.strong("tea", ["teapot"]) == 0.7 and text.weak("teaopt", ["teapot"]) == 0.55
+
+
+def test_caches_and_ledgers(spark):
+    done = spark.createDataFrame([(1, 10, True), (2, 5, False), (3, 10, False)], "id int, size int, pruned boolean")
+    wanted = spark.createDataFrame([(1, 40), (2, 5), (3, 40), (4, 1)], "id int, size int")
+    assert sorted(map(tuple, catalog.uncached(wanted, done, "id", "size", 10).collect())) == [(4, 1)]
+    assert sorted(r["id"] for r in catalog.uncached_whole(wanted, done, "id", "size", "pruned").collect()) == [1, 4]
+    assert sorted(r["id"] for r in catalog.uncached_whole(wanted, done, "id", "size", "pruned", 10).collect()) == [4]
+    old = spark.createDataFrame([(1, "a", 2)], "id int, reason string, tries int")
+    new = spark.createDataFrame([(1, "b"), (2, "c")], "id int, reason string")
+    assert sorted(map(tuple, catalog.failures(old, new).collect())) == [(1, "b", 3), (2, "c", 1)]
+    assert evaluate.stratified_folds({"a": {"x": 4}, "b": {"x": 4}, "c": {"y": 2}, "d": {"y": 2}}, 2) == {"a": 0, "b": 1, "c": 0, "d": 1}
 
 
 def test_ridge_folds_match_numpy(spark):
@@ -185,14 +262,15 @@ def test_pair_accuracy_counts_ties_half(spark):
 
 def test_resampling(spark):
     rows = spark.createDataFrame([(i, float(i % 7)) for i in range(300)], "k int, x double")
-    mean, low, high = evaluate.bootstrap(rows, "x", 500)
+    mean, low, high = evaluate.bootstrap(rows, "x", "k", 500).first()
+    assert (mean, low, high) == tuple(evaluate.bootstrap(rows.repartition(7), "x", "k", 500).first())
     assert low < mean < high and high - low < 1
-    assert evaluate.sign_flip_test(rows.withColumn("x", F.col("x") - 3), "x", "k", 300)[1] > 0.05
-    assert evaluate.sign_flip_test(rows, "x", "k", 300)[1] < 0.05
+    assert evaluate.sign_flip_test(rows.withColumn("x", F.col("x") - 3), "x", "k", 300).first()["p"] > 0.05
+    assert evaluate.sign_flip_test(rows, "x", "k", 300).first()["p"] < 0.05
     assert evaluate.balanced_folds({"a": 5, "b": 4, "c": 3, "d": 2}, 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
-MAP = b"""a! file format v14
+MAP = b"""osu file format v14
 [General]
 Mode: 0
 [Metadata]
@@ -389,5 +467,5 @@ def test_requests(spark):
 def test_multiclass_probe(spark):
     rng = np.random.default_rng(7)
     rows = [(i, i % 3, i % 4, (np.eye(3)[i % 3] * 3 + rng.standard_normal(3)).tolist()) for i in range(120)]
-    found = evaluate.multiclass_r2_and_accuracy(spark.createDataFrame(rows, "i int, y int, f int, v array<double>"), "v", "y", "f")
-    assert found["classes"] == 3 and found["accuracy"] > 0.85 and found["macro_recall"] > 0.85
+    found = evaluate.multiclass_probe(spark.createDataFrame(rows, "i int, y int, f int, v array<double>"), "v", "y", "f", least=20)
+    assert found["classes"] == 3 and found["top5"] == 1 and found["accuracy"] > 0.85 and found["macro_recall"] > 0.85
