@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import catalog, evaluate, graph, joins
+from ..operators import catalog, evaluate, graph, joins, sequence
 from .registry import Tables, query
 
 
@@ -161,10 +161,10 @@ def _unit(*parts: str) -> str:
 
 
 @query(f"""
-WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem), n AS (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY i) - 1 AS at, count(*) OVER (PARTITION BY g) AS n FROM e),
+WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem), n AS (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY i) - 1 AS nr, count(*) OVER (PARTITION BY g) AS n FROM e),
 k AS (SELECT *, turn::INT AS t FROM n, range(4) r(turn) WHERE n BETWEEN 2 AND 256), c AS (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY -ln({_unit("0", "t", "g", "i")}) * n, g) AS place FROM k),
-w AS (SELECT i, t, g, (at + floor({_unit("0", "'other'", "t", "i")} * (n - 1))::BIGINT + 1) % n AS at FROM c WHERE place = 1)
-SELECT w.i, t AS turn, w.g, n.i AS partner FROM w JOIN n ON n.g = w.g AND n.at = w.at
+w AS (SELECT i, t, g, (nr + floor({_unit("0", "'other'", "t", "i")} * (n - 1))::BIGINT + 1) % n AS nr FROM c WHERE place = 1)
+SELECT w.i, t AS turn, w.g, n.i AS partner FROM w JOIN n ON n.g = w.g AND n.nr = w.nr
 """)
 def pair_sampling(t: Tables):
     return graph.sample_pairs(t.lineitem, "l_orderkey", "l_partkey", 4)
@@ -315,7 +315,7 @@ def collection_extraction(t: Tables):
 
 @query("""
 WITH b AS (SELECT c_custkey % 50 AS batch, c_custkey, 1 + length(c_name) AS size FROM customer)
-SELECT batch, c_custkey, size::BIGINT AS size, (sum(size) OVER w - size)::BIGINT AS start, (sum(size) OVER w)::BIGINT AS end, (sum(size) OVER (PARTITION BY batch))::BIGINT AS total, (max(size) OVER (PARTITION BY batch))::BIGINT AS longest
+SELECT batch, c_custkey, size::BIGINT AS size, (sum(size) OVER w - size)::BIGINT AS start, (sum(size) OVER w)::BIGINT AS "end", (sum(size) OVER (PARTITION BY batch))::BIGINT AS total, (max(size) OVER (PARTITION BY batch))::BIGINT AS longest
 FROM b WINDOW w AS (PARTITION BY batch ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)
 """)
 def sequence_packing(t: Tables):
@@ -341,16 +341,16 @@ def composite_cache(t: Tables):
 
 
 @query("""
-WITH f AS (SELECT o_custkey AS id, o_orderkey AS at, o_totalprice AS value, NULL AS reason, true AS is_known, o_orderstatus AS model FROM orders WHERE o_orderkey % 3 <> 0
+WITH f AS (SELECT o_custkey AS id, o_orderkey AS seen, o_totalprice AS value, NULL AS reason, true AS is_known, o_orderstatus AS model FROM orders WHERE o_orderkey % 3 <> 0
 UNION ALL SELECT o_custkey, o_orderkey, NULL, o_orderpriority, false, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0)
-SELECT id, at, value, reason, is_known FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at DESC) AS i FROM f WHERE model = 'F') WHERE i = 1
+SELECT id, seen, value, reason, is_known FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seen DESC) AS i FROM f WHERE model = 'F') WHERE i = 1
 """)
 def negative_cache(t: Tables):
     """Of each key the last value or failure that one model gave."""
-    rows = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("model"), "o_totalprice", "o_orderpriority")
-    found = rows.where("at % 3 != 0").select("id", "at", "model", F.col("o_totalprice").alias("value"))
-    failed = rows.where("at % 3 = 0").select("id", "at", "model", F.col("o_orderpriority").alias("reason"))
-    return catalog.cache(found, failed, "id", "F", [F.desc("at")]).select("id", "at", "value", "reason", "is_known")
+    rows = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seen"), F.col("o_orderstatus").alias("model"), "o_totalprice", "o_orderpriority")
+    found = rows.where("seen % 3 != 0").select("id", "seen", "model", F.col("o_totalprice").alias("value"))
+    failed = rows.where("seen % 3 = 0").select("id", "seen", "model", F.col("o_orderpriority").alias("reason"))
+    return catalog.cache(found, failed, "id", "F", [F.desc("seen")]).select("id", "seen", "value", "reason", "is_known")
 
 
 @query("""
