@@ -9,8 +9,11 @@ probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, less above. Every link is ver
 are followed.
 
 Buckets are worked off in rounds. In each, all members of a bucket that aren't in one component yet are compared with a
-few of it (the pivots), which a hash chooses. After ROUNDS such rounds all pairs of a bucket that lie in different
-components are compared.
+few of it (the pivots), which a hash chooses. After ROUNDS such rounds the members of a bucket that lie in different
+components are compared with each other by their least hashes alone, a byte of each: of a pair of similarity s a share s
+of the BANDS * ROWS hashes agrees, so a pair that is similar enough lies over a bound SURE deviations lower but in one
+case of 100,000. A task holds a part of a bucket, PART members and PART_BYTES of sets at most, verifies the pairs over
+the bound there, each in the first band that it shares, and gives links alone.
 
 Null and empty texts have the empty set and are alike. Texts of any length are read whole. An empty table gives an empty
 table; extra columns pass through.
@@ -30,7 +33,10 @@ from .common import byte_rows, raw, tidy, written
 from .simhash import DISTANCE, folded, near_links, reach
 
 WORDS, SEED, LEAST = 5, 42, 0.8
-BANDS, ROWS, PIVOTS, ROUNDS = 24, 4, 4, 3
+BANDS, ROWS, PIVOTS, ROUNDS = 24, 4, 4, 2
+#: Standard deviations below the expected number of equal hashes; members of a bucket that a task compares at once, and
+#: bytes of their sets.
+SURE, PART, PART_BYTES = 4.3, 4096, 16 << 20
 #: Pairs of one pivot that a part holds; shingles whose least hashes are worked out together.
 TOGETHER, BLOCK = 256, 1 << 12
 #: Classes up to which a list of them is sent to all tasks.
@@ -54,13 +60,14 @@ def hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in pairs), np.uint64, n)
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A hash of each band's least hashes."""
+def band_keys(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A hash of each band's least hashes, and a byte of each of these."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for low in range(0, len(found), BLOCK):
         x = (found[None, low : low + BLOCK] ^ _B[:, None]) * _A[:, None]
         least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+    return keys, (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -78,22 +85,24 @@ def marked_rows(docs: DataFrame, text: str, words: int, seed: int) -> DataFrame:
     """docs with a row number, the class, its fingerprint and the bands' keys. The sets themselves are larger than the
     texts and most are never compared, so they aren't kept."""
 
-    @F.arrow_udf("struct<c:bigint,fp:bigint,k:array<bigint>>")
+    @F.arrow_udf("struct<c:bigint,fp:bigint,k:array<bigint>,sig:binary>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            c, fp, keys = [], [], []
+            c, fp, keys, sigs = [], [], [], []
             for x in byte_rows(batch):
                 every = hashes(x, words, seed)
                 own = np.unique(every)
                 c.append(xxhash.xxh64_intdigest(own.tobytes()))
                 fp.append(folded(every))
-                keys.append(band_keys(own))
+                key, sig = band_keys(own)
+                keys.append(key)
+                sigs.append(sig)
             c, fp = (np.array(x, np.uint64).view(np.int64) for x in (c, fp))
-            yield pa.StructArray.from_arrays([pa.array(c), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["c", "fp", "k"])
+            yield pa.StructArray.from_arrays([pa.array(c), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["c", "fp", "k", "sig"])
         tidy()
 
     found = docs.withColumns({"__set": of(raw(text)), "__row": F.monotonically_increasing_id()})
-    return found.select(*docs.columns, "__row", F.col("__set.c").alias("__c"), F.col("__set.fp").alias("__fp"), F.col("__set.k").alias("__k"))
+    return found.select(*docs.columns, "__row", F.col("__set.c").alias("__c"), F.col("__set.fp").alias("__fp"), F.col("__set.k").alias("__k"), F.col("__set.sig").alias("__sig"))
 
 
 def sets_of(marked: DataFrame, asked: DataFrame, n: int, text: str, words: int, seed: int) -> DataFrame:
@@ -113,7 +122,7 @@ def sets_of(marked: DataFrame, asked: DataFrame, n: int, text: str, words: int,
     return written(texts.select("c", of("t").alias("s")), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int | None) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int) -> DataFrame:
     """Of pairs (a, b) of classes, those similar enough. A pivot's many pairs are dealt out in parts; its set goes to each
     part once, ahead of the others', so no row holds two sets."""
     pairs = written(pairs.select("a", "b").where("a != b").distinct(), "pairs", rows)
@@ -141,6 +150,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int | None)
     return written(both.mapInArrow(near, "a bigint, b bigint"), "near")
 
 
+def _left(rows: DataFrame, least: float) -> DataFrame:
+    """rows: band, key, c, root, sig, s. Links (a, b) between a bucket's members of different roots. A bucket of several
+    parts is compared part with part, each pair of parts in a task."""
+    bound = int(BANDS * ROWS * least - SURE * np.sqrt(BANDS * ROWS * least * (1 - least)))
+    n, size = F.count(F.lit(1)) / F.lit(PART), F.sum(F.octet_length("s")) / F.lit(PART_BYTES)
+    parts = rows.groupBy("band", "key").agg(F.ceil(F.greatest(n, size)).cast("int").alias("parts"))
+    own = rows.join(parts, ["band", "key"]).withColumn("p", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    met = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("band", "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "c", "root", "sig", "s")
+    dealt = met.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            band = table.column(0)[0].as_py()
+            i, j, p, c, root = (table.column(k).to_numpy() for k in (2, 3, 4, 5, 6))
+            sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(len(c), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in table.column(8).to_pylist()]
+            name = {x: x for x in root.tolist()}
+
+            def top(x: int) -> int:
+                while name[x] != x:
+                    name[x] = x = name[name[x]]
+                return x
+
+            found_a, found_b = [], []
+            for low in range(0, len(c), 256):
+                same = np.zeros((min(256, len(c) - low), len(c)), np.uint8)
+                for k in range(sig.shape[1]):
+                    same += sig[low : low + 256, k, None] == sig[None, :, k]
+                near = (same >= bound) & (root[low : low + 256, None] != root[None, :]) & (c[low : low + 256, None] < c[None, :])
+                if i[0] != j[0]:
+                    near &= p[low : low + 256, None] != p[None, :]
+                for x, y in zip(*np.nonzero(near)):
+                    x += low
+                    whole = (sig[x] == sig[y]).reshape(BANDS, ROWS).all(axis=1)
+                    if whole.argmax() != band:  # an earlier band has the pair
+                        continue
+                    one, other = top(int(root[x])), top(int(root[y]))
+                    if one != other and similar(sets[x], sets[y], least):
+                        name[one] = other
+                        found_a.append(c[x])
+                        found_b.append(c[y])
+            if found_a:
+                yield pa.record_batch([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1).astype(np.int64)
+            edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(edge, edge[1:]):
+                if low == high:
+                    continue
+                if last is not None and (keys[low] != last).any():
+                    yield from settle()
+                    held = []
+                last = keys[low]
+                held.append(batch.slice(low, high - low))
+        yield from settle()
+        tidy()
+
+    return written(dealt.mapInArrow(compare, "a bigint, b bigint"), "left")
+
+
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes: each with the one that stands for its fingerprint, and these as the blocks link them."""
     named = classes.groupBy("fp").agg(F.min("c").alias("a"))
@@ -152,7 +229,7 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
 
 def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int) -> DataFrame:
     """Links (a, b) that connect all classes of which a pair in a bucket is similar enough."""
-    classes = marked.groupBy(F.col("__c").alias("c")).agg(F.first("__k").alias("k"), F.min("__fp").alias("fp"))
+    classes = marked.groupBy(F.col("__c").alias("c")).agg(F.first("__k").alias("k"), F.first("__sig").alias("sig"), F.min("__fp").alias("fp"))
     classes = written(classes, "classes", marked.count())
     n = classes.count()
     by_fp = written(_by_fingerprint(classes.select("c", "fp")), "by_fingerprint", 8 * n)
@@ -169,15 +246,13 @@ def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int)
         open_ = written(rooted.join(apart, ["band", "key"]), "open", BANDS * n)
         if not open_.head(1):
             return links
-        if turn < ROUNDS:
-            chosen = [F.min(F.struct(F.xxhash64("c", F.lit(PIVOTS * turn + i)).alias("h"), "c"))["c"] for i in range(PIVOTS)]
-            pivots = open_.groupBy("band", "key").agg(F.array_distinct(F.array(*chosen)).alias("p"))
-            found = open_.join(pivots, ["band", "key"]).select("c", F.explode("p").alias("p"))
-            pairs = found.select(F.col("p").alias("a"), F.col("c").alias("b"))
-        else:  # whatever lies in different components
-            other = open_.withColumnsRenamed({"c": "d", "root": "other"})
-            pairs = open_.join(other, ["band", "key"]).where("root != other and c < d").select(F.col("c").alias("a"), F.col("d").alias("b"))
-        links = links.unionByName(_verified(pairs, sets, least, BANDS * PIVOTS * n if turn < ROUNDS else None))
+        if turn == ROUNDS:  # whatever lies in different components
+            return links.unionByName(_left(open_.join(classes.select("c", "sig"), "c").join(sets, "c"), least))
+        chosen = [F.min(F.struct(F.xxhash64("c", F.lit(PIVOTS * turn + i)).alias("h"), "c"))["c"] for i in range(PIVOTS)]
+        pivots = open_.groupBy("band", "key").agg(F.array_distinct(F.array(*chosen)).alias("p"))
+        found = open_.join(pivots, ["band", "key"]).select("c", F.explode("p").alias("p"))
+        pairs = found.select(F.col("p").alias("a"), F.col("c").alias("b"))
+        links = links.unionByName(_verified(pairs, sets, least, BANDS * PIVOTS * n))
     return links
 
 
@@ -193,4 +268,4 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     rows = marked.select(F.col(doc_id).alias("__id"), "__row", "__c")
     chosen = rows.join(kept, rows["__id"].eqNullSafe(kept["__least"]) & (rows["__c"] == kept["__kept"]), "left_semi")
     chosen = chosen.groupBy("__id", "__c").agg(F.min("__row").alias("__row")).select("__row")
-    return marked.join(chosen, "__row", "left_semi").drop("__row", "__c", "__fp", "__k")
+    return marked.join(chosen, "__row", "left_semi").drop("__row", "__c", "__fp", "__k", "__sig")

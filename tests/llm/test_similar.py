@@ -28,7 +28,7 @@ def edited(rng, words, edits):
         words[at] = f"x{rng.random()}"
     return " ".join(words)
 
-def test_near_duplicates_stage_is_that_of_brute_force(spark):
+def test_near_duplicates_stage_is_that_of_brute_force(spark, monkeypatch):
     rng, docs = random.Random(3), []
     for group in range(40):
         words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 300]))]
@@ -42,3 +42,8 @@ def test_near_duplicates_stage_is_that_of_brute_force(spark):
     stage = corpus_pipeline.near_duplicates_stage
     assert sorted(r["doc_id"] for r in stage(spark, frame, "").collect()) == want
     assert stage(spark, frame.limit(0), "").count() == 0
+    from loomwork.llm import similar
+
+    monkeypatch.setattr(similar, "ROUNDS", 0)  # all that the fingerprints leave is compared by least hashes, in parts
+    monkeypatch.setattr(similar, "PART", 9)
+    assert sorted(r["doc_id"] for r in stage(spark, frame, "").collect()) == want
