@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw, written
+from .common import byte_rows, raw, tidy, written
 
 #: The end of a text; no word holds white space.
 END = b"\n"
@@ -55,23 +55,38 @@ def other_class(word: bytes) -> int:
 
 
 class WordCounts:
-    """Counts by word, in arrays: found by hash, then compared byte by byte."""
+    """Counts by word, in arrays: found by 64-bit hash, then compared byte by byte. Arrays are sorted by hash; the words'
+    bytes lie end to end."""
 
-    def __init__(self, words: pa.Array, counts: np.ndarray):
-        h = np.fromiter((xxhash.xxh64_intdigest(x) for x in byte_rows(words)), np.uint64, len(words))
+    def __init__(self, h: np.ndarray, words: pa.Array, counts: np.ndarray):
         order = np.argsort(h, kind="stable")
-        self.hashes, self.counts, taken = h[order], counts[order], words.take(pa.array(order))
-        sizes = np.fromiter(map(len, byte_rows(taken)), np.int64, len(taken))
-        self.ends, self.bytes = np.r_[0, np.cumsum(sizes)], b"".join(byte_rows(taken))
+        self.hashes, self.counts = h[order], counts[order]
+        taken = words.cast(pa.large_binary()).take(pa.array(order))
+        _, ends, held = taken.buffers()
+        self.ends = np.frombuffer(ends, np.int64)[: len(order) + 1].copy() if len(order) else np.zeros(1, np.int64)
+        self.bytes = np.frombuffer(held, np.uint8).copy() if held is not None else np.zeros(0, np.uint8)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        low, high = (np.searchsorted(self.hashes, asked, side=x).tolist() for x in ("left", "right"))
-        ends, held, out = self.ends, self.bytes, np.zeros(len(words), np.int64)
-        for i, (a, b) in enumerate(zip(low, high)):
-            for at in range(a, b):
-                if held[ends[at] : ends[at + 1]] == words[i]:
-                    out[i] = self.counts[at]
+        n, out = len(words), np.zeros(len(words), np.int64)
+        if not n or not len(self.hashes):
+            return out
+        asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+        at = np.searchsorted(self.hashes, asked)
+        some = np.flatnonzero((at < len(self.hashes)) & (self.hashes[at.clip(max=len(self.hashes) - 1)] == asked))
+        if not len(some):
+            return out
+        at, size = at[some], np.fromiter((len(words[i]) for i in some.tolist()), np.int64, len(some))
+        begin = np.cumsum(size) - size
+        text = np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)
+        places = np.repeat(self.ends[at] - begin, size) + np.arange(len(text))
+        equal = self.bytes[places.clip(max=len(self.bytes) - 1)] == text
+        same = (self.ends[at + 1] - self.ends[at] == size) & (np.add.reduceat(equal, begin) == size)  # no word is empty
+        out[some[same]] = self.counts[at[same]]
+        for i, k in zip(some[~same].tolist(), at[~same].tolist()):  # words of one hash, if there ever are any
+            while k < len(self.hashes) and self.hashes[k] == asked[i]:
+                if self.bytes[self.ends[k] : self.ends[k + 1]].tobytes() == words[i]:
+                    out[i] = self.counts[k]
+                k += 1
         return out
 
 
@@ -261,7 +276,7 @@ def fit(texts: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_W
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
     if not n:
-        return Model({}, {}, np.zeros(0), 0, 0, WordCounts(pa.array([], pa.binary()), np.zeros(0, np.int64))), counts
+        return Model({}, {}, np.zeros(0), 0, 0, WordCounts(np.zeros(0, np.uint64), pa.array([], pa.binary()), np.zeros(0, np.int64))), counts
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     ends = n - int(counts.where(F.col("word") != F.lit(END)).agg(F.sum("c")).first()[0] or 0)
     frequent = {END: 0} | {bytes(r["word"]): i + 1 for i, r in enumerate(top)}
@@ -276,8 +291,16 @@ def fit(texts: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_W
     unigram = np.concatenate([own + 0.1, totals])
     model = Model(frequent, train(texts, frequent, unigram / unigram.sum(), text), np.log10(totals), n, v)
     if v <= broadcast_words:
-        table = counts.select("word", "c").toArrow()
-        model.words = WordCounts(table["word"].combine_chunks(), table["c"].to_numpy())
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = np.array([xxhash.xxh64_intdigest(x) for x in byte_rows(batch.column(0))], np.uint64).view(np.int64)
+                yield pa.record_batch([pa.array(h), batch.column(0), batch.column(1)], names=["h", "word", "c"])
+
+        table = counts.select("word", "c").mapInArrow(hashed, "h bigint, word binary, c bigint").toArrow()
+        model.words = WordCounts(table["h"].to_numpy().view(np.uint64), table["word"].combine_chunks(), table["c"].to_numpy())
+        del table
+        tidy()
     return model, counts
 
 

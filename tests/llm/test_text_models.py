@@ -210,6 +210,20 @@ def test_lm_base_counts_and_both_ways(spark):
         assert found[i]["n_known"] == other[i]["n_known"] and math.isclose(found[i]["score"], other[i]["score"], rel_tol=1e-6) and math.isclose(found[i]["base_score"], other[i]["base_score"], rel_tol=1e-9)
 
 
+def test_word_counts_compare_words():
+    import pyarrow as pa
+    import xxhash
+
+    words = [f"w{i}".encode() * (1 + i % 4) for i in range(500)]
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    h[3], h[4] = h[5], xxhash.xxh64_intdigest(b"other")  # two words of one hash, and a hash that isn't its word's
+    held = lm.WordCounts(h, pa.array(words, pa.binary()), np.arange(1, 501))
+    found = held.of([*words, b"other", b"never", b"w"])
+    assert found[5] == 6 and found[[4, 500, 501, 502]].tolist() == [0, 0, 0, 0]
+    assert [int(x) for i, x in enumerate(found[:500]) if i not in (3, 4)] == [i + 1 for i in range(500) if i not in (3, 4)]
+    assert held.of([]).tolist() == []
+
+
 def test_lm_probabilities_add_up():
     rng = np.random.default_rng(3)
     unigram = rng.random(20) + 0.1
