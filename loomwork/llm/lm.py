@@ -42,8 +42,9 @@ FREQUENT, OTHERS, LAST_BYTES, ORDER, VECTOR = 384, 256, 3, 3, 24
 STRIDE, STEP_TOKENS, NOISE, RATE = 1, 1024, 48, 0.15
 #: Words up to which their counts are sent to all tasks, at some 35 bytes each; words that a worker keeps.
 BROADCAST_WORDS, KEPT = 4_000_000, 600_000
-#: Tokens whose probabilities are computed together.
-TOGETHER = 4096
+#: Contexts whose probabilities are computed together, so that they stay in the processor's cache; bytes of texts scored
+#: together, whose equal contexts are met once.
+TOGETHER, BLOCK = 512, 2 << 20
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -136,12 +137,13 @@ def _start(classes: int, unigram: np.ndarray, seed: int = 5) -> dict[str, np.nda
     return {"E": f(classes + 1, VECTOR), "D": np.ones((ORDER, VECTOR), np.float32) / ORDER, "Q": f(classes, VECTOR), "b": np.log(unigram).astype(np.float32)}
 
 
-def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """values added up by row number."""
+def _summed(rows: np.ndarray, values: np.ndarray, n: int, taken: np.ndarray | None = None) -> np.ndarray:
+    """values, or those at `taken`, added up by row number. Short numbers are sorted by their digits, which is faster."""
+    order = np.argsort(rows.astype(np.int16) if n < 1 << 15 else rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     out = np.zeros((n, values.shape[1]), np.float32)
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
-    out[rows[order][first]] = np.add.reduceat(values[order], first, axis=0)
+    out[rows[first]] = np.add.reduceat(values.take(order if taken is None else taken[order], axis=0), first, axis=0)
     return out
 
 
@@ -160,18 +162,23 @@ class Trainer:
         p, n = self.p, len(target)
         classes = len(p["b"])
         noise = np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]).clip(max=classes - 1)
-        vectors = p["E"][context]  # n, ORDER, VECTOR
-        guess = np.einsum("nov,ov->nv", vectors, p["D"])
-        own = (guess * p["Q"][target]).sum(axis=1) + p["b"][target] - self.noise_share[target]
-        other = guess @ p["Q"][noise].T + p["b"][noise] - self.noise_share[noise]
+        placed = (p["E"] * p["D"][:, None]).reshape(-1, VECTOR)  # each class's vector at each place
+        at = context.T + np.arange(ORDER)[:, None] * (classes + 1)
+        guess = placed.take(at[0], axis=0)
+        for j in range(1, ORDER):
+            guess += placed.take(at[j], axis=0)
+        q_own, q_noise, bias = p["Q"].take(target, axis=0), p["Q"][noise], p["b"] - self.noise_share
+        own = np.einsum("nv,nv->n", guess, q_own) + bias[target]
         d_own = (0.5 * np.tanh(0.5 * own) - 0.5) / n
-        d_other = (0.5 * np.tanh(0.5 * other) + 0.5) / n
-        d_guess = d_own[:, None] * p["Q"][target] + d_other @ p["Q"][noise]
-        rows = np.concatenate([target, noise])
-        both = np.concatenate([np.c_[d_own[:, None] * guess, d_own], np.c_[d_other.T @ guess, d_other.sum(axis=0)]])
-        out = _summed(rows, both, classes)
-        g = {"Q": out[:, :-1], "b": out[:, -1], "D": np.einsum("nv,nov->ov", d_guess, vectors)}
-        g["E"] = _summed(context.T.ravel(), (d_guess[None] * p["D"][:, None]).reshape(-1, VECTOR), classes + 1)
+        d_other = (0.5 * np.tanh(0.5 * (guess @ q_noise.T + bias[noise])) + 0.5) / n
+        q_own *= d_own[:, None]
+        d_guess = d_other @ q_noise + q_own
+        both = np.empty((n + NOISE, VECTOR + 1), np.float32)
+        both[:n, :-1], both[:n, -1] = guess * d_own[:, None], d_own
+        both[n:, :-1], both[n:, -1] = d_other.T @ guess, d_other.sum(axis=0)
+        out = _summed(np.concatenate([target, noise]), both, classes)
+        by_place = _summed(at.ravel(), d_guess, len(placed), np.tile(np.arange(n), ORDER)).reshape(ORDER, classes + 1, VECTOR)
+        g = {"Q": out[:, :-1], "b": out[:, -1], "D": np.einsum("ocv,cv->ov", by_place, p["E"]), "E": np.einsum("ocv,ov->cv", by_place, p["D"])}
         for k, grad in g.items():
             self.squares[k] += grad * grad
             p[k] -= RATE * grad / np.sqrt(self.squares[k])
@@ -305,27 +312,41 @@ def fit(texts: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_W
 
 
 def class_scores(model: Model, classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """log10 probability of each token's class; normalised over all classes."""
+    """log10 probability of each token's class; normalised over all classes. What a context's probabilities add up to is
+    worked out once for all tokens that share it."""
     p = model.p
     bias, out = p["b"], np.empty(len(classes), np.float64)
+    n = len(bias)
     placed = [np.ascontiguousarray(p["E"] * d) for d in p["D"]]
-    output = np.ascontiguousarray(p["Q"].T)
-    before = contexts(classes, ends, len(bias))
-    longest, high, ones = float(np.linalg.norm(p["Q"], axis=1).max()), float(bias.max()), np.ones(len(bias), np.float32)
-    for low in range(0, len(classes), TOGETHER):
-        part = before[low : low + TOGETHER]
-        guess = placed[0][part[:, 0]]
+    output = np.ascontiguousarray(np.c_[p["Q"], bias].T)
+    before = contexts(classes, ends, n)
+    code = before[:, 0]
+    for j in range(1, ORDER):  # ORDER numbers up to n as one
+        code = code * (n + 1) + before[:, j]
+    order = np.argsort(code, kind="stable")
+    new = np.r_[True, code[order][1:] != code[order][:-1]][: len(code)]
+    first, which = np.flatnonzero(new), np.cumsum(new) - 1
+    own_classes, ones = classes[order], np.ones(n, np.float32)
+    longest, high = float(np.linalg.norm(p["Q"], axis=1).max()), float(bias.max())
+    guess, logits = np.ones((TOGETHER, VECTOR + 1), np.float32), np.empty((TOGETHER, n), np.float32)
+    for low in range(0, len(first), TOGETHER):
+        part = before[order[first[low : low + TOGETHER]]]
+        k = len(part)
+        vectors = placed[0][part[:, 0]]
         for j in range(1, ORDER):
-            guess += placed[j][part[:, j]]
-        logits = guess @ output
-        logits += bias
-        own = logits[np.arange(len(part)), classes[low : low + TOGETHER]].astype(np.float64)
-        top = 0.0
-        if np.sqrt((guess * guess).sum(axis=1).max()) * longest + high > 60:  # else no exponential overflows
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-        np.exp(logits, out=logits)
-        out[low : low + TOGETHER] = own - top - np.log((logits @ ones).astype(np.float64))
+            vectors += placed[j][part[:, j]]
+        guess[:k, :-1] = vectors
+        np.matmul(guess[:k], output, out=logits[:k])
+        begin, end = first[low], first[low + TOGETHER] if low + TOGETHER < len(first) else len(code)
+        row = which[begin:end] - low
+        own = logits[row, own_classes[begin:end]].astype(np.float64)
+        top = np.zeros(k)
+        if np.sqrt((vectors * vectors).sum(axis=1).max()) * longest + high > 60:  # else no exponential overflows
+            top = logits[:k].max(axis=1).astype(np.float64)
+            logits[:k] -= top[:, None]
+        np.exp(logits[:k], out=logits[:k])
+        total = top + np.log((logits[:k] @ ones).astype(np.float64))
+        out[order[begin:end]] = own - total[row]
     return out / np.log(10)
 
 
@@ -398,7 +419,7 @@ class Scorer:
         return ends - begin, np.add.reduceat(token, begin), [list(Counter(x).items()) for x in parts]
 
 
-def _blocks(batch: pa.Array, size: int = 1 << 20) -> Iterator[list[bytes]]:
+def _blocks(batch: pa.Array, size: int = BLOCK) -> Iterator[list[bytes]]:
     texts, held = [], 0
     for x in byte_rows(batch):
         texts.append(x)
