@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens, the place among them of each token of each text, and where each text's tokens end: tokens_of by
+    Arrow, which takes the bytes as they are, well-formed or not."""
+    held = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    words = held.flatten()
+    is_word = pc.greater(pc.binary_length(words), 0)  # white space at a text's edges leaves empty ones
+    last = np.r_[0, np.cumsum(is_word.to_numpy(zero_copy_only=False))][held.offsets.to_numpy()[1:] - held.offsets[0].as_py()]
+    found = words.filter(is_word).dictionary_encode()
+    distinct = found.dictionary.view(pa.large_binary()).to_pylist()
+    places = np.insert(found.indices.to_numpy().astype(np.int64), last, len(distinct))
+    return [*distinct, END], places, last + np.arange(1, len(texts) + 1)
+
+
 def other_class(word: bytes) -> int:
     return zlib.crc32(word[-LAST_BYTES:]) % OTHERS
 
@@ -72,7 +86,8 @@ class WordCounts:
         if not n or not len(self.hashes):
             return out
         asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        at = np.searchsorted(self.hashes, asked)
+        order, at = np.argsort(asked), np.empty(n, np.int64)
+        at[order] = np.searchsorted(self.hashes, asked[order])  # near places in a row stay in the processor's cache
         some = np.flatnonzero((at < len(self.hashes)) & (self.hashes[at.clip(max=len(self.hashes) - 1)] == asked))
         if not len(some):
             return out
@@ -210,8 +225,10 @@ class Classes(dict):
         found = self[word] = self.frequent[word] if word in self.frequent else len(self.frequent) + other_class(word)
         return found
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each token, and where each text's tokens end."""
+        words, at, ends = numbered(texts)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))[at], ends
 
 
 def train(texts: DataFrame, frequent: dict[bytes, int], unigram: np.ndarray, text: str = "text", stride: int = STRIDE) -> dict[str, np.ndarray]:
@@ -228,9 +245,7 @@ def train(texts: DataFrame, frequent: dict[bytes, int], unigram: np.ndarray, tex
 
             def learn() -> None:
                 nonlocal trainer, number
-                parts = [tokens_of(x) for x in texts_]
-                classes = known.of([w for x in parts for w in x])
-                ends = np.cumsum([len(x) for x in parts])
+                classes, ends = known.of(texts_)
                 if trainer is None:  # the noise is told apart by what the task reads
                     trainer = Trainer(share, zlib.crc32(texts_[0]))
                 place = np.arange(len(classes))
@@ -323,7 +338,7 @@ def class_scores(model: Model, classes: np.ndarray, ends: np.ndarray) -> np.ndar
     code = before[:, 0]
     for j in range(1, ORDER):  # ORDER numbers up to n as one
         code = code * (n + 1) + before[:, j]
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     new = np.r_[True, code[order][1:] != code[order][:-1]][: len(code)]
     first, which = np.flatnonzero(new), np.cumsum(new) - 1
     own_classes, ones = classes[order], np.ones(n, np.float32)
@@ -374,10 +389,12 @@ class Scorer:
         self.kind = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+    def classes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each token, where each text's tokens end and where they begin."""
         if len(self.number) >= KEPT:
             self.empty()
-        out = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        words, at, ends = numbered(texts)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[at]
         new = self.number.new
         if new:
             frequent, first = self.model.frequent, len(self.model.frequent)
@@ -385,18 +402,12 @@ class Scorer:
             if self.model.words is not None:
                 self.count = np.concatenate([self.count, self.model.words.of(new)])
             self.number.new = []
-        return out
-
-    def classes(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-        parts = [tokens_of(x) for x in texts]
-        at = self.numbers([w for x in parts for w in x])
-        ends = np.cumsum([len(x) for x in parts])
-        return parts, at, ends, np.r_[0, ends[:-1]]
+        return at, ends, np.r_[0, ends[:-1]]
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score, score; the words' counts are at hand."""
         model = self.model
-        _, at, ends, begin = self.classes(texts)
+        at, ends, begin = self.classes(texts)
         log_count = np.log10(self.count[at] + 0.1)
         base = np.add.reduceat(log_count, begin) - (ends - begin) * model.base
         known = np.add.reduceat((self.count[at] > 0).astype(np.int64), begin)
@@ -411,12 +422,12 @@ class Scorer:
     def apart(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[bytes, int]]]]:
         """n_tokens, the part of the score that needs no counts, and each text's words with how often they occur."""
         model = self.model
-        parts, at, ends, begin = self.classes(texts)
+        at, ends, begin = self.classes(texts)
         kind, first = self.kind[at], len(model.frequent)
         token = class_scores(model, kind, ends)
         other = kind >= first
         token[other] -= model.share[kind[other] - first]
-        return ends - begin, np.add.reduceat(token, begin), [list(Counter(x).items()) for x in parts]
+        return ends - begin, np.add.reduceat(token, begin), [list(Counter(x).items()) for x in map(tokens_of, texts)]
 
 
 def _blocks(batch: pa.Array, size: int = BLOCK) -> Iterator[list[bytes]]:
