@@ -39,6 +39,8 @@ BANDS, ROWS, PIVOTS, ROUNDS = 24, 4, 4, 2
 SURE, PART, PART_BYTES = 4.3, 4096, 16 << 20
 #: Pairs of one pivot that a part holds; shingles whose least hashes are worked out together.
 TOGETHER, BLOCK = 256, 1 << 12
+#: Pairs that a task verifies, members of buckets that it compares, where there are few of them.
+VERIFIED, COMPARED = 5_000, 2_000
 #: Classes up to which a list of them is sent to all tasks.
 SENT = 1_000_000
 _RNG = np.random.default_rng(1)
@@ -122,6 +124,12 @@ def sets_of(marked: DataFrame, asked: DataFrame, n: int, text: str, words: int,
     return written(texts.select("c", of("t").alias("s")), "sets")
 
 
+def _in_tasks(rows: DataFrame, n: int, each: int) -> DataFrame:
+    """n pieces of work, so many each task, but no fewer tasks than can run at once: each one writes a file and starts
+    a Python function, which for a few pieces takes longer than the work. Groups that lie in a partition stay whole."""
+    return rows.coalesce(n // each + rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int) -> DataFrame:
     """Of pairs (a, b) of classes, those similar enough. A pivot's many pairs are dealt out in parts; its set goes to each
     part once, ahead of the others', so no row holds two sets."""
@@ -130,7 +138,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int) -> Dat
     first = parts.join(sets, parts.a == sets.c).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "s")
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     others = dealt.join(sets.withColumnRenamed("c", "b"), "b").select("a", "part", "b", "s")
-    both = first.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    both = first.unionByName(others).repartition("a", "part")
+    dealt_out = _in_tasks(both, pairs.count(), VERIFIED).sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: np.ndarray | None = None
@@ -147,11 +156,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int) -> Dat
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         tidy()
 
-    return written(both.mapInArrow(near, "a bigint, b bigint"), "near")
+    return written(dealt_out.mapInArrow(near, "a bigint, b bigint"), "near")
 
 
-def _left(rows: DataFrame, least: float) -> DataFrame:
-    """rows: band, key, c, root, sig, s. Links (a, b) between a bucket's members of different roots. A bucket of several
+def _left(rows: DataFrame, least: float, members: int) -> DataFrame:
+    """rows: band, key, c, root, sig, s; members: their number. Links (a, b) between a bucket's members of different roots. A bucket of several
     parts is compared part with part, each pair of parts in a task."""
     bound = int(BANDS * ROWS * least - SURE * np.sqrt(BANDS * ROWS * least * (1 - least)))
     n, size = F.count(F.lit(1)) / F.lit(PART), F.sum(F.octet_length("s")) / F.lit(PART_BYTES)
@@ -159,7 +168,7 @@ def _left(rows: DataFrame, least: float) -> DataFrame:
     own = rows.join(parts, ["band", "key"]).withColumn("p", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     met = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("band", "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "c", "root", "sig", "s")
-    dealt = met.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    dealt = _in_tasks(met.repartition("band", "key", "i", "j"), members, COMPARED).sortWithinPartitions("band", "key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -247,7 +256,7 @@ def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int)
         if not open_.head(1):
             return links
         if turn == ROUNDS:  # whatever lies in different components
-            return links.unionByName(_left(open_.join(classes.select("c", "sig"), "c").join(sets, "c"), least))
+            return links.unionByName(_left(open_.join(classes.select("c", "sig"), "c").join(sets, "c"), least, open_.count()))
         chosen = [F.min(F.struct(F.xxhash64("c", F.lit(PIVOTS * turn + i)).alias("h"), "c"))["c"] for i in range(PIVOTS)]
         pivots = open_.groupBy("band", "key").agg(F.array_distinct(F.array(*chosen)).alias("p"))
         found = open_.join(pivots, ["band", "key"]).select("c", F.explode("p").alias("p"))
