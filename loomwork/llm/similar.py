@@ -248,9 +248,12 @@ def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int)
     asked = members.select("c").unionByName(by_fp.select(F.explode(F.array("a", "b")).alias("c")))
     sets = sets_of(marked, asked, n, text, words, seed)
     links = _verified(by_fp, sets, least, 8 * n)
-    for turn in range(ROUNDS + 1):
+    open_ = members
+    for turn in range(ROUNDS + 1):  # a bucket that lies in one component stays so and isn't looked at again
         roots = reach(links)
-        rooted = members.join(roots, members.c == roots.node, "left").select("band", "key", "c", F.coalesce("root", "c").alias("root"))
+        listed = open_.groupBy("c").agg(F.collect_list(F.struct("band", "key")).alias("at"))  # BANDS at most
+        found = listed.join(roots, listed.c == roots.node, "left").select("c", F.coalesce("root", "c").alias("root"), F.explode("at").alias("at"))
+        rooted = written(found.select("at.band", "at.key", "c", "root"), "rooted", BANDS * n)
         apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
         open_ = written(rooted.join(apart, ["band", "key"]), "open", BANDS * n)
         if not open_.head(1):

@@ -287,6 +287,7 @@ def train(texts: list[bytes], labels: list[int], passes: int | None = None, seed
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
     def table() -> None:
+        words.tables = words.tables[:, :, :0].copy()  # the last one's memory serves the next
         words.tables = words.projected(words.inputs(own, grams, begin))
 
     for turn in range(passes):
@@ -382,7 +383,9 @@ def _parting(top: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = LEARN_ROWS) -> Model:
-    return train(*labelled_sample(docs, labels, label, rows, LEARN_BYTES, key, text))
+    model = train(*labelled_sample(docs, labels, label, rows, LEARN_BYTES, key, text))
+    tidy()  # the driver needs the memory for plans
+    return model
 
 
 def scores(model: Model, words: Words | None, texts: list[bytes]) -> np.ndarray:

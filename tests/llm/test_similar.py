@@ -47,3 +47,22 @@ def test_near_duplicates_stage_is_that_of_brute_force(spark, monkeypatch):
     monkeypatch.setattr(similar, "ROUNDS", 0)  # all that the fingerprints leave is compared by least hashes, in parts
     monkeypatch.setattr(similar, "PART", 9)
     assert sorted(r["doc_id"] for r in stage(spark, frame, "").collect()) == want
+
+def test_each_round_joins_a_row_a_class_and_only_open_buckets(spark, monkeypatch):
+    from loomwork.llm import similar
+
+    rng, docs = random.Random(4), []
+    for group in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        docs += [" ".join(words)] + [edited(rng, words, 1) for _ in range(8)] + [edited(rng, words, 4) for _ in range(8)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    tables, own = [], similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name, rows=None: tables.append((name, own(df, name, rows))) or tables[-1][1])
+    kept = corpus_pipeline.near_duplicates_stage(spark, frame, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(list(enumerate(docs)))
+    rooted = [t for name, t in tables if name == "rooted"]
+    opened = [t for name, t in tables if name == "open"]
+    members = next(t for name, t in tables if name == "members")
+    assert rooted and len(rooted) == len(opened)
+    for before, after in zip([members, *opened], rooted):  # a round starts from what the last one left
+        assert sorted(map(tuple, before.select("band", "key", "c").collect())) == sorted(map(tuple, after.select("band", "key", "c").collect()))

@@ -272,3 +272,14 @@ def test_toxicity_reads_all_of_a_long_run():
     model = toxicity.train([make(x) for x in labels], labels)
     found = toxicity.scores(model, toxicity.Words(model), [make(i % 2) for i in range(60)]) >= 0.5
     assert np.mean(found == [i % 2 == 1 for i in range(60)]) > 0.9
+
+
+def test_toxicity_training_gives_its_memory_back(monkeypatch):
+    held, given, own = [], [], toxicity.Words.projected
+    monkeypatch.setattr(toxicity.Words, "projected", lambda self, x: held.append((len(x), self.tables.size)) or own(self, x))
+    texts = [f"word{i} and word{i % 7} {'bad' if i % 2 else 'good'}".encode() for i in range(40)]
+    monkeypatch.setattr(toxicity, "labelled_sample", lambda *a: (texts, [i % 2 for i in range(40)]))
+    monkeypatch.setattr(toxicity, "tidy", lambda: given.append(1))
+    model = toxicity.fit(None, None)
+    assert model.constant is None and given
+    assert {size for n, size in held if n == max(held)[0]} == {0}  # no table of all words stands beside the next one
