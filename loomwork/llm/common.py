@@ -7,6 +7,7 @@ import gc
 from collections.abc import Iterator
 from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,33 @@ def byte_rows(batch: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def cut_up(values: pa.Array) -> list[bytes]:
+    """An array's values, none of them null, as bytes: what to_pylist gives, in a fifth of the time for short ones."""
+    values = values.cast(pa.large_binary())
+    if not len(values):
+        return []
+    _, ends, held = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+    data = held[int(ends[0]) : int(ends[-1])].to_pybytes() if held is not None else b""
+    ends = (ends - ends[0]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def cut_up_text(values: pa.Array) -> list[str]:
+    """The same for well-formed text."""
+    values = values.cast(pa.large_string())
+    if not len(values):
+        return []
+    _, ends, held = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+    data = held[int(ends[0]) : int(ends[-1])].to_pybytes() if held is not None else b""
+    ends, text = ends - ends[0], data.decode()
+    if len(text) < len(data):  # places of characters, not of bytes
+        ends = np.r_[0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)][ends]
+    ends = ends.tolist()
+    return [text[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def tidy() -> None:
     """Gives memory that a task has freed back to the system: its worker may stay, and wait, for a long time."""
     gc.collect()

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw, shared_path, written
+from .common import byte_rows, cut_up_text, raw, shared_path, written
 from .pieces import splits
 
 MAGIC = b"LWTK0001"
@@ -229,8 +230,9 @@ class Encoder:
             part = stretches[low : low + 4000]
             whole = " " + " ".join(part)
             ids = np.array(self.own.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.fromiter((len(c.encode()) for c in part) if not whole.isascii() else map(len, part), np.int64, len(part)) + 1
-            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(ends)) + 4).tolist()
+            text = whole.encode()  # stretches hold no spaces
+            ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32)[1:], len(text))
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
             data, at = ids.tobytes(), 0
             for c, end in zip(part, cuts):
                 self.known[c] = data[at:end]
@@ -277,32 +279,42 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) >= KEPT // 2:  # what is asked for again comes back from the older half
             self.older, self.known, self.signs = self.known, {}, {}
-        get, gaps = self.known.get, []
-        found: list[list[bytes | None]] = []
         whole: list[str] = []  # texts that can't be cut, and the others up to their first space
+        rest: list[str] = []
+        cut: list[int] = []
         for k, x in enumerate(texts):
+            space = ""
             try:
                 x.encode("latin-1")
-                own = x.split(" ") if splits(x) else None
+                if splits(x):
+                    x, space, after = x.partition(" ")
             except UnicodeEncodeError:
-                own = None
-            whole.append(x if own is None else own.pop(0))
-            ids = list(map(get, own or ()))
-            found.append(ids)
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((k, at, own[at]))
+                pass
+            whole.append(x)
+            if space:
+                rest.append(after)
+                cut.append(k)
+        out = self._each(whole)
+        if not cut:
+            return out
+        parts = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        stretches = parts.flatten().dictionary_encode()
+        distinct = cut_up_text(stretches.dictionary)
         known, older, new = self.known, self.older, []
-        for c in {c for _, _, c in gaps}:
-            if c in older:
-                known[c] = older[c]
-            else:
-                new.append(c)
+        for c in distinct:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new.append(c)
         self._learn(new)
-        for k, at, c in gaps:
-            found[k][at] = self.known[c]
-        return [first + b"".join(ids) for first, ids in zip(self._each(whole), found)]
+        found = pa.array(list(map(known.__getitem__, distinct)), pa.large_binary()).take(stretches.indices)
+        _, ends, held = found.buffers()
+        edges = np.frombuffer(ends, np.int64)[parts.offsets.to_numpy()].tolist()
+        data = held.to_pybytes() if held is not None else b""
+        for k, low, high in zip(cut, edges, edges[1:]):
+            out[k] += data[low:high]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -423,3 +423,40 @@ def test_queries_with_sql(spark, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(found.fetchall(), key=str)
+
+
+def test_stretches_are_looked_up_once_a_block():
+    import public_tokenizers
+
+    class Counting(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counting.asked += 1
+            return super().__contains__(key)
+
+        def get(self, key, default=None):
+            Counting.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    own = tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    own.known = Counting()
+    texts = ["café déjà vu, " * 500 + f"end{i}" for i in range(3)] + ["", "one", "a  b", "日本 語", "tail "]
+    assert own.encode(texts) == own._each(texts)
+    assert Counting.asked < 200
+
+
+def test_values_are_cut_up_as_they_are():
+    import pyarrow as pa
+    from loomwork.llm.common import cut_up, cut_up_text
+
+    words = ["", "a", "été", "日本", "", "z\U0001f600", "b"]
+    for part in (slice(0, 0), slice(0, 7), slice(2, 5), slice(3, 7)):
+        values = pa.array(words)[part.start : part.stop]
+        assert cut_up_text(values) == words[part]
+        assert cut_up(values) == [w.encode() for w in words[part]]
+    assert cut_up(pa.array([b"\xff\xfe", b""], pa.large_binary())) == [b"\xff\xfe", b""]
