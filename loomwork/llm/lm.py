@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw, tidy, written
+from .common import byte_rows, cut_up, raw, tidy, written
 
 #: The end of a text; no word holds white space.
 END = b"\n"
@@ -43,6 +43,8 @@ FREQUENT, OTHERS, LAST_BYTES, ORDER, VECTOR = 384, 256, 3, 3, 24
 STRIDE, STEP_TOKENS, NOISE, RATE = 1, 1024, 48, 0.15
 #: Words up to which their counts are sent to all tasks, at some 35 bytes each; words that a worker keeps.
 BROADCAST_WORDS, KEPT = 4_000_000, 600_000
+#: Words with counts that a task adds up at once.
+COUNTED = 1_000_000
 #: Contexts whose probabilities are computed together, so that they stay in the processor's cache; bytes of texts scored
 #: together, whose equal contexts are met once.
 TOGETHER, BLOCK = 512, 2 << 20
@@ -52,15 +54,20 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def _split(texts: list[bytes]) -> pa.Array:
+    """Each text's words, with empty ones where white space stands at its edges."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+
+
 def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct tokens, the place among them of each token of each text, and where each text's tokens end: tokens_of by
     Arrow, which takes the bytes as they are, well-formed or not."""
-    held = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    held = _split(texts)
     words = held.flatten()
     is_word = pc.greater(pc.binary_length(words), 0)  # white space at a text's edges leaves empty ones
     last = np.r_[0, np.cumsum(is_word.to_numpy(zero_copy_only=False))][held.offsets.to_numpy()[1:] - held.offsets[0].as_py()]
     found = words.filter(is_word).dictionary_encode()
-    distinct = found.dictionary.view(pa.large_binary()).to_pylist()
+    distinct = cut_up(found.dictionary.view(pa.large_binary()))
     places = np.insert(found.indices.to_numpy().astype(np.int64), last, len(distinct))
     return [*distinct, END], places, last + np.arange(1, len(texts) + 1)
 
@@ -128,20 +135,28 @@ def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
     """word, c: how often each occurs. A task adds up its own words first."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        held: list[pa.RecordBatch] = []
+        rows = ends = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
+        def added() -> list[pa.RecordBatch]:
+            total = pa.Table.from_batches(held).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"])
+            return total.rename_columns(["word", "c"]).combine_chunks().to_batches()
 
         for batch in batches:
-            for x in byte_rows(batch.column(0)):
-                total.update(x.lower().split())
-                total[END] += 1
-                if len(total) > 500_000:
-                    yield out()
-                    total.clear()
-        if total:
-            yield out()
+            for block in _blocks(batch.column(0)):
+                words = _split(block).flatten()
+                found = words.filter(pc.greater(pc.binary_length(words), 0)).value_counts()
+                held.append(pa.record_batch([found.field("values").view(pa.large_binary()).cast(pa.binary()), found.field("counts")], names=["word", "c"]))
+                rows, ends = rows + len(found), ends + len(block)
+                if rows > COUNTED:
+                    held = added()
+                    rows = sum(map(len, held))
+                    if rows > COUNTED // 2:
+                        yield from held
+                        held, rows = [], 0
+        if ends:
+            held.append(pa.record_batch([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"]))
+            yield from added()
 
     return texts.select(raw(text).alias("t")).mapInArrow(partial, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 

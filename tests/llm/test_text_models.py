@@ -283,3 +283,17 @@ def test_toxicity_training_gives_its_memory_back(monkeypatch):
     model = toxicity.fit(None, None)
     assert model.constant is None and given
     assert {size for n, size in held if n == max(held)[0]} == {0}  # no table of all words stands beside the next one
+
+
+def test_words_are_counted_without_a_list_of_each(spark, monkeypatch):
+    from collections import Counter
+
+    from loomwork.llm import lm
+
+    texts = [" A b\tb\nc ", None, "", "b \x0b\x0c z", "café CAFÉ"] + [f"w{i} w{i % 3}" for i in range(50)]
+    want = Counter(w for x in texts for w in lm.tokens_of((x or "").encode()))
+    frame = spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+    for counted in (lm.COUNTED, 4):  # the second gives what it has added up again and again
+        monkeypatch.setattr(lm, "COUNTED", counted)
+        assert {bytes(r["word"]): r["c"] for r in lm.count_words(frame).collect()} == want
+    assert lm.count_words(frame.limit(0)).count() == 0
