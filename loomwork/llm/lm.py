@@ -11,8 +11,10 @@ against noise drawn from the counts; the replicas are averaged by the tokens the
 cover all training texts and grow with them. A replica draws its noise by the first text it reads, so scores depend, in
 their last digits, on how the texts lie in files.
 
-The words' counts are sent to the tasks if the vocabulary is small enough by a count made before; beyond that, each
-text's words are joined with them. Both look words up by all their bytes and give the same scores but for rounding.
+If the vocabulary is small enough by a count made before, tasks write the words' counts, cut by hash, to files in the
+folder that all machines share, and those that score map these: no machine holds them twice, and the driver never does.
+Beyond that, each text's words are joined with them. Both look words up by all their bytes and give the same scores but
+for rounding.
 
 Null and empty texts hold the end alone. Without training texts every probability is the base's. Rows are scored one by
 one, texts of any length whole: repeated rows get equal scores; an empty table gives an empty table. Other columns stay
@@ -21,19 +23,22 @@ as they are, but a column of the result's name is replaced.
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, cut_up, raw, tidy, written
+from .common import byte_rows, cut_up, raw, shared_path, tidy, written
 
 #: The end of a text; no word holds white space.
 END = b"\n"
@@ -41,8 +46,9 @@ END = b"\n"
 FREQUENT, OTHERS, LAST_BYTES, ORDER, VECTOR = 384, 256, 3, 3, 24
 #: Of the tokens, every so many is trained on (1: all); tokens and noise words of a step.
 STRIDE, STEP_TOKENS, NOISE, RATE = 1, 1024, 48, 0.15
-#: Words up to which their counts are sent to all tasks, at some 35 bytes each; words that a worker keeps.
-BROADCAST_WORDS, KEPT = 4_000_000, 600_000
+#: Words up to which all tasks get their counts, at some 35 bytes each; words of a file of them at most, about; words
+#: that a worker keeps.
+BROADCAST_WORDS, FILE_WORDS, KEPT = 4_000_000, 200_000, 600_000
 #: Words with counts that a task adds up at once.
 COUNTED = 1_000_000
 #: Contexts whose probabilities are computed together, so that they stay in the processor's cache; bytes of texts scored
@@ -88,11 +94,27 @@ class WordCounts:
         self.ends = np.frombuffer(ends, np.int64)[: len(order) + 1].copy() if len(order) else np.zeros(1, np.int64)
         self.bytes = np.frombuffer(held, np.uint8).copy() if held is not None else np.zeros(0, np.uint8)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def to_bytes(self) -> bytes:
+        parts = [np.array([len(self.hashes)], np.int64), self.hashes, self.counts, self.ends, self.bytes]
+        return b"".join([x.tobytes() for x in parts])
+
+    @classmethod
+    def over(cls, held: pa.Buffer) -> WordCounts:
+        """The same over what to_bytes gave, without a copy."""
+        found = cls.__new__(cls)
+        n = int(np.frombuffer(held, np.int64, 1)[0])
+        found.hashes, found.counts = np.frombuffer(held, np.uint64, n, 8), np.frombuffer(held, np.int64, n, 8 + 8 * n)
+        found.ends = np.frombuffer(held, np.int64, n + 1, 8 + 16 * n)
+        found.bytes = np.frombuffer(held, np.uint8, int(found.ends[-1]), 16 + 24 * n)
+        return found
+
+    def of(self, words: list[bytes], asked: np.ndarray | None = None) -> np.ndarray:
+        """asked: the words' hashes, if they are at hand."""
         n, out = len(words), np.zeros(len(words), np.int64)
         if not n or not len(self.hashes):
             return out
-        asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+        if asked is None:
+            asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
         order, at = np.argsort(asked), np.empty(n, np.int64)
         at[order] = np.searchsorted(self.hashes, asked[order])  # near places in a row stay in the processor's cache
         some = np.flatnonzero((at < len(self.hashes)) & (self.hashes[at.clip(max=len(self.hashes) - 1)] == asked))
@@ -113,18 +135,90 @@ class WordCounts:
         return out
 
 
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+@dataclass
+class WordFiles:
+    """Counts by word in files of a folder that all machines share, one for each value of the hashes' highest bits.
+    Names and numbers of bits travel with the model; a worker opens the files when it first looks a word up, and maps
+    them where the folder is in its machine's file system, so its processes share one copy in the system's cache."""
+
+    uri: str
+    bits: int
+    names: dict[int, str]
+    held: dict[int, WordCounts] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
+    def part(self, k: int) -> WordCounts:
+        if k not in self.held:
+            system, folder = _filesystem(self.uri)
+            path = posixpath.join(folder, self.names[k])
+            local = isinstance(system, pafs.LocalFileSystem)
+            with pa.memory_map(path) if local else system.open_input_file(path) as f:
+                self.held[k] = WordCounts.over(f.read_buffer())
+        return self.held[k]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        n, out = len(words), np.zeros(len(words), np.int64)
+        asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+        parts = _part(asked, self.bits)
+        order = np.argsort(parts, kind="stable")
+        edge = np.flatnonzero(np.r_[True, parts[order][1:] != parts[order][:-1], True][: n + 1]) if n else np.zeros(1, np.int64)
+        for low, high in zip(edge, edge[1:]):
+            pick = order[low:high]
+            if (k := int(parts[pick[0]])) in self.names:
+                out[pick] = self.part(k).of([words[i] for i in pick.tolist()], asked[pick])
+        return out
+
+
+def _part(h: np.ndarray, bits: int) -> np.ndarray:
+    """The highest bits of hashes."""
+    return (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+
+
+def word_files(counts: DataFrame, v: int) -> WordFiles:
+    """counts: word, c; v: their number. A file is written by the task that got its words; the names that count come
+    back, one a file."""
+    bits, uri = (v // FILE_WORDS).bit_length(), shared_path(counts.sparkSession, "word-files")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.fromiter(map(xxhash.xxh64_intdigest, cut_up(batch.column(0))), np.uint64, len(batch))
+            yield pa.record_batch([pa.array(_part(h, bits)), pa.array(h.view(np.int64)), batch.column(0), batch.column(1)], names=["p", "h", "word", "c"])
+
+    def store(table: pa.Table) -> pa.Table:
+        held = WordCounts(table["h"].to_numpy().view(np.uint64), table["word"].cast(pa.large_binary()).combine_chunks(), table["c"].to_numpy())
+        system, folder = _filesystem(uri)
+        system.create_dir(folder, recursive=True)
+        name = f"words-{uuid.uuid4().hex}"
+        with system.open_output_stream(posixpath.join(folder, name), compression=None) as f:
+            f.write(held.to_bytes())
+        out = pa.table({"p": table["p"][:1], "name": [name]})
+        del held, table
+        tidy()
+        return out
+
+    dealt = counts.select("word", "c").mapInArrow(hashed, "p int, h bigint, word binary, c bigint")
+    rows = dealt.groupBy("p").applyInArrow(store, "p int, name string").collect()
+    return WordFiles(uri, bits, {r["p"]: r["name"] for r in rows})
+
+
 @dataclass
 class Model:
     """frequent: word to class, the end first. Classes after these are the others'. p: parameters; the last context
     vector stands for what is before a text. share: log10 of the others' smoothed totals. n, v: training tokens and
-    distinct ones. words: all words with their counts, if they are few enough."""
+    distinct ones. words: where all words' counts lie, if they are few enough."""
 
     frequent: dict[bytes, int]
     p: dict[str, np.ndarray]
     share: np.ndarray
     n: int
     v: int
-    words: WordCounts | None = None
+    words: WordFiles | WordCounts | None = None
 
     @property
     def base(self) -> float:
@@ -328,16 +422,7 @@ def fit(texts: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_W
     unigram = np.concatenate([own + 0.1, totals])
     model = Model(frequent, train(texts, frequent, unigram / unigram.sum(), text), np.log10(totals), n, v)
     if v <= broadcast_words:
-
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = np.array([xxhash.xxh64_intdigest(x) for x in byte_rows(batch.column(0))], np.uint64).view(np.int64)
-                yield pa.record_batch([pa.array(h), batch.column(0), batch.column(1)], names=["h", "word", "c"])
-
-        table = counts.select("word", "c").mapInArrow(hashed, "h bigint, word binary, c bigint").toArrow()
-        model.words = WordCounts(table["h"].to_numpy().view(np.uint64), table["word"].combine_chunks(), table["c"].to_numpy())
-        del table
-        tidy()
+        model.words = word_files(counts, v)
     return model, counts
 
 

@@ -297,3 +297,22 @@ def test_words_are_counted_without_a_list_of_each(spark, monkeypatch):
         monkeypatch.setattr(lm, "COUNTED", counted)
         assert {bytes(r["word"]): r["c"] for r in lm.count_words(frame).collect()} == want
     assert lm.count_words(frame.limit(0)).count() == 0
+
+
+def test_words_lie_in_files_and_not_with_the_driver(spark, monkeypatch):
+    """The model that the driver holds and sends has no list of all words; looked up in any number of files, each has
+    its count."""
+    import pickle
+
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 30_000}ü" for j in range(400)) + " É\xa0x" * (i % 3) for i in range(500)] + [None, ""]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    want = Counter(w for x in texts for w in lm.tokens_of((x or "").encode()))
+    asked = [*want, b"never", "ü".encode()]
+    for most in (lm.FILE_WORDS, 3_000):
+        monkeypatch.setattr(lm, "FILE_WORDS", most)
+        model, _ = lm.fit(docs)
+        sent = pickle.dumps(model)
+        assert len(sent) < 8 * len(want) and model.v == len(want) > 25_000  # the words' bytes and counts alone are more
+        words = pickle.loads(sent).words
+        assert words.of(asked).tolist() == [want[w] for w in asked] and words.of([]).tolist() == []
+        assert (len(words.names) == 1) == (most > model.v)
