@@ -26,7 +26,7 @@ SHINGLE, SIMILARITY, BPE_ENTRIES = 5, 0.8, 0.4
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), apart=True)
     return toxicity.score(docs, model, to="__score").where(F.col("__score") < 0.5).select(*docs.columns)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from contextlib import suppress
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -66,20 +68,45 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], list[int]]:
-    """Texts and labels 0 or 1 of `rows` labelled keys of each class at most, those of the least hashes, without texts
-    that are null or longer than `longest` bytes. The keys are chosen among the labels alone and then sent to the
-    texts; of rows that repeat a key, the two of the least hashes are taken, so the same rows in any run."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, key: str = "doc_id", text: str = "text") -> DataFrame | None:
+    """k, y, t: texts and labels 0 or 1 of `rows` labelled keys of each class at most, those of the least hashes, without
+    texts that are null or longer than `longest` bytes. The keys are chosen among the labels alone and then sent to the
+    texts; of rows that repeat a key, the two of the least hashes are taken, so the same rows in any run. None if no row
+    is labelled."""
     chosen: list[tuple[int, int]] = []
     for value in (0, 1):
         keys = labels.where((F.col(label) == value) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct()
         chosen += [(r["k"], value) for r in keys.orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
     if not chosen:
-        return [], []
+        return None
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(chosen, "k bigint, y int"))
     usable = docs.select(F.col(key).cast("bigint").alias("k"), raw(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= longest))
     place = F.row_number().over(Window.partitionBy("k", "y").orderBy(F.xxhash64("t"), "t"))
-    found = usable.join(small, "k").withColumn("p", place).where("p <= 2").select("k", "y", "t").toArrow()
+    return usable.join(small, "k").withColumn("p", place).where("p <= 2").select("k", "y", "t")
+
+
+def _in_order(found: pa.Table) -> tuple[list[bytes], list[int]]:
     order = sorted(zip(found["k"].to_pylist(), found["y"].to_pylist(), found["t"].to_pylist()))
     return [t for _, _, t in order], [y for _, y, _ in order]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, key: str = "doc_id", text: str = "text") -> tuple[list[bytes], list[int]]:
+    """The texts and labels of labelled_rows."""
+    found = labelled_rows(docs, labels, label, rows, longest, key, text)
+    return ([], []) if found is None else _in_order(found.toArrow())
+
+
+def learnt_in_task(found: DataFrame | None, train: Callable[[list[bytes], list[int]], Any]) -> Any:
+    """What train makes of labelled_rows, in a task: the driver gets the model alone, neither texts nor what learning
+    takes."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("k", pa.int64()), ("y", pa.int32()), ("t", pa.binary())])
+        held = pickle.dumps(train(*_in_order(pa.Table.from_batches([x.cast(kinds) for x in batches], kinds))))
+        yield pa.record_batch([pa.array([held], pa.binary())], names=["model"])
+        del held
+        tidy()
+
+    rows = [] if found is None else found.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else train([], [])

@@ -3,8 +3,8 @@
 Each text gets a 64-bit fingerprint of its word shingles. Equal fingerprints first become one class. Of fingerprints
 that differ in few bits, cut into blocks, some blocks must be equal: each class is listed under every choice of that
 many blocks, the list is dealt out by block contents, and fingerprints under the same contents are compared. A task
-returns no pairs but, for each fingerprint, the smallest one that its links under these contents reach; large-star and
-small-star rounds join these links to components.
+returns no pairs but, for each fingerprint, the smallest one that its links under these contents reach. Tasks join these
+links to trees, and large-star and small-star rounds join the trees of several tasks to components.
 
 Contents shared by more fingerprints than a task compares are cut again: the bits still free are divided into blocks in
 the same way, until few enough share them. With every cut fewer bits are free, and r free bits allow 2 ** r
@@ -31,8 +31,8 @@ from .common import byte_rows, raw, tidy, written
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints under the same contents that one task compares with each other; the rest of a larger group is cut again.
 TOGETHER = 4096
-#: Shingles hashed at a time; links of a file.
-BLOCK, LINK_ROWS = 1 << 18, 200_000
+#: Shingles hashed at a time; links that a task joins to trees at once.
+BLOCK, LINK_ROWS = 1 << 18, 1_000_000
 _MASK = (1 << 64) - 1
 
 
@@ -262,11 +262,49 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, together: int = TOG
         links = links.unionByName(found.where(F.col("b").isNotNull()).select("a", "b"))
 
 
+def _trees(links: DataFrame, most: int) -> DataFrame:
+    """links: a, b. Links (a, b) of each node with the smallest that it reaches over the links of its task, `most` at a
+    time or a few more; they connect what the links connect."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def joined() -> np.ndarray:
+            nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+            at = at.reshape(-1, 2)
+            label = _components(at[:, 0], at[:, 1], len(nodes))
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            return np.stack([nodes[moved], nodes[label[moved]]], axis=1)
+
+        def out(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1))
+            size += len(batch)
+            if size > most:
+                held = [joined()]
+                size = len(held[0])
+                if size > most // 2:
+                    yield out(held[0])
+                    held, size = [], 0
+        if size:
+            yield out(joined())
+        tidy()
+
+    return links.select("a", "b").mapInArrow(of, "a bigint, b bigint")
+
+
 def reach(links: DataFrame) -> DataFrame:
-    """Connected components by large-star and small-star: node and root, the component's smallest node by signed
-    order, for all nodes but the roots. Each round is a written table; equal tables end it."""
-    both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    """Connected components: node and root, the component's smallest node by signed order, for all nodes but the roots.
+    Tasks join their links to trees; those of several tasks are joined by large-star and small-star, where each round is
+    a written table and equal tables end it."""
     parts = links.count() // LINK_ROWS + 1  # rounds never add links, so few files hold few of them
+    both = _trees(links.coalesce(parts), LINK_ROWS)
+    if parts == 1:  # all links have met
+        return written(both, "trees").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    both = both.distinct()
     state = None
     while True:
         both = written(both.coalesce(parts), "stars")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, labelled_sample, raw, tidy
+from .common import byte_rows, labelled_rows, labelled_sample, learnt_in_task, raw, tidy
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STEP = 48, 36
@@ -382,8 +382,10 @@ def _parting(top: np.ndarray, y: np.ndarray) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = LEARN_ROWS) -> Model:
-    model = train(*labelled_sample(docs, labels, label, rows, LEARN_BYTES, key, text))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = LEARN_ROWS, apart: bool = False) -> Model:
+    """apart: a task learns the same model, beside which the driver holds nothing."""
+    asked = (docs, labels, label, rows, LEARN_BYTES, key, text)
+    model = learnt_in_task(labelled_rows(*asked), train) if apart else train(*labelled_sample(*asked))
     tidy()  # the driver needs the memory for plans
     return model
 

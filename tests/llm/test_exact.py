@@ -460,3 +460,27 @@ def test_values_are_cut_up_as_they_are():
         assert cut_up_text(values) == words[part]
         assert cut_up(values) == [w.encode() for w in words[part]]
     assert cut_up(pa.array([b"\xff\xfe", b""], pa.large_binary())) == [b"\xff\xfe", b""]
+
+
+def test_reach_joins_links_in_tasks(spark, monkeypatch):
+    """A task's links need one table; those of several tasks, and more than a task joins at once, give the same."""
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(-400, 400, 700), rng.integers(-400, 400, 700)
+    pairs = [(int(x), int(y)) for x, y in zip(a, b)] + [(5, 5), (7, 9), (9, 7), (-(1 << 63), (1 << 63) - 1), *((i, i + 1) for i in range(1000, 1300))]
+    root = {x: x for pair in pairs for x in pair}
+    while True:
+        old = dict(root)
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+        if old == root:
+            break
+    want = sorted((x, y) for x, y in root.items() if x != y)
+    links, tables = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7), []
+    own = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name, *rest: tables.append(name) or own(df, name, *rest))
+    for most, rounds in ((simhash.LINK_ROWS, False), (300, True), (20, True)):
+        monkeypatch.setattr(simhash, "LINK_ROWS", most)
+        tables.clear()
+        assert sorted(tuple(r) for r in simhash.reach(links).collect()) == want
+        assert (len(tables) > 1) == rounds
+    assert simhash.reach(links.limit(0)).count() == 0

@@ -40,3 +40,16 @@ def test_run_is_the_stages_in_turn(spark):
     assert all(hashlib.sha256(r["text"].encode()).hexdigest() == sums[r["doc_id"]] for r in kept.collect())
     texts = kept.groupBy(F.lower("text")).count().where("count > 1")
     assert texts.count() == 0
+
+
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    """The driver, which holds all plans, has neither the texts nor the tables that learning takes; the model is the same."""
+    from loomwork.llm import toxicity
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels, rows=30)
+    apart = toxicity.fit(docs, labels, rows=30, apart=True)
+    assert model.shift == apart.shift and all((model.p[k] == apart.p[k]).all() for k in model.p) and model.constant is apart.constant is None
+    assert toxicity.fit(docs, labels.limit(0), apart=True).constant == toxicity.fit(docs.limit(0), labels, apart=True).constant == 0.0
+    monkeypatch.setattr(toxicity, "_run", None)  # in this process; tasks import their own
+    assert 0 < corpus_pipeline.toxicity_stage(spark, docs, SF).count() <= docs.count()
