@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir, shared_path, written  # noqa: F401  the operators' own modules take them from here
@@ -68,6 +68,13 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def rested(spark: SparkSession) -> None:
+    """Between the rounds of a long job: the driver's processes drop what ended plans, broadcasts and shuffles left, and
+    Spark's cleaner takes these from the executors too, before the next round makes its own."""
+    tidy()
+    spark.sparkContext._jvm.System.gc()
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, key: str = "doc_id", text: str = "text") -> DataFrame | None:
     """k, y, t: texts and labels 0 or 1 of `rows` labelled keys of each class at most, those of the least hashes, without
     texts that are null or longer than `longest` bytes. The keys are chosen among the labels alone and then sent to the

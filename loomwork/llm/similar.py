@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, raw, tidy, written
+from .common import byte_rows, raw, rested, tidy, written
 from .simhash import DISTANCE, folded, near_links, reach
 
 WORDS, SEED, LEAST = 5, 42, 0.8
@@ -250,6 +250,7 @@ def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int)
     links = _verified(by_fp, sets, least, 8 * n)
     open_ = members
     for turn in range(ROUNDS + 1):  # a bucket that lies in one component stays so and isn't looked at again
+        rested(marked.sparkSession)
         roots = reach(links)
         listed = open_.groupBy("c").agg(F.collect_list(F.struct("band", "key")).alias("at"))  # BANDS at most
         found = listed.join(roots, listed.c == roots.node, "left").select("c", F.coalesce("root", "c").alias("root"), F.explode("at").alias("at"))
@@ -271,6 +272,7 @@ def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int)
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, seed: int = SEED) -> DataFrame:
     """The row of the smallest doc_id of each component, with all its columns; of rows that repeat it, one. A null
     doc_id stands after all others. Null and empty texts are alike."""
+    rested(docs.sparkSession)
     marked = written(marked_rows(docs, text, words, seed), "marked")
     roots = reach(links_of(marked, text, words, least, seed))
     classes = marked.groupBy(F.col("__c").alias("c")).agg(F.min(doc_id).alias("least"))

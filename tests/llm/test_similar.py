@@ -66,3 +66,14 @@ def test_each_round_joins_a_row_a_class_and_only_open_buckets(spark, monkeypatch
     assert rooted and len(rooted) == len(opened)
     for before, after in zip([members, *opened], rooted):  # a round starts from what the last one left
         assert sorted(map(tuple, before.select("band", "key", "c").collect())) == sorted(map(tuple, after.select("band", "key", "c").collect()))
+
+def test_the_driver_rests_between_rounds(spark, monkeypatch):
+    from loomwork.llm import similar
+
+    rng, rested = random.Random(5), []
+    own = similar.rested
+    monkeypatch.setattr(similar, "rested", lambda s: rested.append(s) or own(s))
+    words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    docs = [(i, edited(rng, words, rng.randrange(4))) for i in range(30)]
+    kept = similar.survivors(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(docs) and len(rested) >= 2
