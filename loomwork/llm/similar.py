@@ -21,12 +21,12 @@ table; extra columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_rows, raw, rested, tidy, written
@@ -159,27 +159,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int) -> Dat
     return written(dealt_out.mapInArrow(near, "a bigint, b bigint"), "near")
 
 
-def _left(rows: DataFrame, least: float, members: int) -> DataFrame:
-    """rows: band, key, c, root, sig, s; members: their number. Links (a, b) between a bucket's members of different roots. A bucket of several
-    parts is compared part with part, each pair of parts in a task."""
-    bound = int(BANDS * ROWS * least - SURE * np.sqrt(BANDS * ROWS * least * (1 - least)))
-    n, size = F.count(F.lit(1)) / F.lit(PART), F.sum(F.octet_length("s")) / F.lit(PART_BYTES)
-    parts = rows.groupBy("band", "key").agg(F.ceil(F.greatest(n, size)).cast("int").alias("parts"))
+def _likely(sig: np.ndarray, band: int, may: Callable[[int, int], np.ndarray], bound: int, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of a bucket that share `bound` least hashes or more and no earlier band, which would have them.
+    may: of so many members from one on, which pairs count. known: pairs of two that it marks aren't asked for; what has
+    been given may be marked meanwhile."""
+    for low in range(0, len(sig), 256):
+        same = np.zeros((min(256, len(sig) - low), len(sig)), np.uint8)
+        for k in range(sig.shape[1]):
+            same += sig[low : low + 256, k, None] == sig[None, :, k]
+        near = (same >= bound) & may(low, low + 256)
+        if known is not None:
+            near &= ~(known[low : low + 256, None] & known[None, :])
+        x, y = np.nonzero(near)
+        for at in range(0, len(x), BLOCK):
+            one, other = x[at : at + BLOCK] + low, y[at : at + BLOCK]
+            first = (sig[one] == sig[other]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            yield one[first], other[first]
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each band, key, i, j, which follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1).astype(np.int64)
+        edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for low, high in zip(edge, edge[1:]):
+            if low == high:
+                continue
+            if last is not None and (keys[low] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            last = keys[low]
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(rows: DataFrame, parts: Column, members: int) -> DataFrame:
+    """rows: band, key, c, root, sig and more. Each bucket in that many parts, each pair of parts (i, j) in a task."""
+    parts = rows.groupBy("band", "key").agg(F.ceil(parts).cast("int").alias("parts"))
     own = rows.join(parts, ["band", "key"]).withColumn("p", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     met = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("band", "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "c", "root", "sig", "s")
-    dealt = _in_tasks(met.repartition("band", "key", "i", "j"), members, COMPARED).sortWithinPartitions("band", "key", "i", "j")
+    rest = [x for x in rows.columns if x not in ("band", "key")]
+    met = met.select("band", "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", *rest)
+    return _in_tasks(met.repartition("band", "key", "i", "j"), members, COMPARED).sortWithinPartitions("band", "key", "i", "j")
+
+
+def _left(rows: DataFrame, sets: DataFrame, least: float, members: int) -> DataFrame:
+    """rows: band, key, c, root, sig; members: their number; sets: c, s. Links (a, b) between a bucket's members of
+    different roots. A bucket of several parts is compared part with part, each pair of parts in a task. First by the
+    least hashes alone: sets are many times larger, and go only to those members of a bucket that a likely pair has."""
+    bound = int(BANDS * ROWS * least - SURE * np.sqrt(BANDS * ROWS * least * (1 - least)))
+    n, size = F.count(F.lit(1)) / F.lit(PART), F.sum(F.octet_length("s")) / F.lit(PART_BYTES)
+
+    def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, Callable[[int, int], np.ndarray]]:
+        i, j, p, c, root = (table.column(k).to_numpy() for k in (2, 3, 4, 5, 6))
+        sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(len(c), -1)
+
+        def may(low: int, high: int) -> np.ndarray:
+            out = (root[low:high, None] != root[None, :]) & (c[low:high, None] < c[None, :])
+            return out & (p[low:high, None] != p[None, :]) if i[0] != j[0] else out
+
+        return c, root, sig, table.column(0)[0].as_py(), may
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_part(batches):
+            c, _, sig, band, may = opened(table)
+            found = np.zeros(len(c), bool)
+            for x, y in _likely(sig, band, may, bound, found):
+                found[x] = found[y] = True
+            if found.any():
+                both = table.select([0, 1, 5]).filter(pa.array(found)).combine_chunks()
+                yield from both.to_batches()
+        tidy()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            table = pa.Table.from_batches(held)
-            band = table.column(0)[0].as_py()
-            i, j, p, c, root = (table.column(k).to_numpy() for k in (2, 3, 4, 5, 6))
-            sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(len(c), -1)
+        for table in _by_part(batches):
+            c, root, sig, band, may = opened(table)
             sets = [np.frombuffer(x, np.uint64) for x in table.column(8).to_pylist()]
             name = {x: x for x in root.tolist()}
 
@@ -189,18 +246,8 @@ def _left(rows: DataFrame, least: float, members: int) -> DataFrame:
                 return x
 
             found_a, found_b = [], []
-            for low in range(0, len(c), 256):
-                same = np.zeros((min(256, len(c) - low), len(c)), np.uint8)
-                for k in range(sig.shape[1]):
-                    same += sig[low : low + 256, k, None] == sig[None, :, k]
-                near = (same >= bound) & (root[low : low + 256, None] != root[None, :]) & (c[low : low + 256, None] < c[None, :])
-                if i[0] != j[0]:
-                    near &= p[low : low + 256, None] != p[None, :]
-                for x, y in zip(*np.nonzero(near)):
-                    x += low
-                    whole = (sig[x] == sig[y]).reshape(BANDS, ROWS).all(axis=1)
-                    if whole.argmax() != band:  # an earlier band has the pair
-                        continue
+            for xs, ys in _likely(sig, band, may, bound):
+                for x, y in zip(xs.tolist(), ys.tolist()):
                     one, other = top(int(root[x])), top(int(root[y]))
                     if one != other and similar(sets[x], sets[y], least):
                         name[one] = other
@@ -208,23 +255,13 @@ def _left(rows: DataFrame, least: float, members: int) -> DataFrame:
                         found_b.append(c[y])
             if found_a:
                 yield pa.record_batch([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1).astype(np.int64)
-            edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for low, high in zip(edge, edge[1:]):
-                if low == high:
-                    continue
-                if last is not None and (keys[low] != last).any():
-                    yield from settle()
-                    held = []
-                last = keys[low]
-                held.append(batch.slice(low, high - low))
-        yield from settle()
         tidy()
 
-    return written(dealt.mapInArrow(compare, "a bigint, b bigint"), "left")
+    rows = rows.select("band", "key", "c", "root", "sig")
+    chosen = _met(rows, n, members).mapInArrow(choose, "band int, key bigint, c bigint").distinct()
+    chosen = written(chosen, "likely", members)
+    asked = rows.join(chosen, ["band", "key", "c"]).join(sets, "c").select(*rows.columns, "s")
+    return written(_met(asked, F.greatest(n, size), chosen.count()).mapInArrow(compare, "a bigint, b bigint"), "left")
 
 
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
@@ -260,7 +297,7 @@ def links_of(marked: DataFrame, text: str, words: int, least: float, seed: int)
         if not open_.head(1):
             return links
         if turn == ROUNDS:  # whatever lies in different components
-            return links.unionByName(_left(open_.join(classes.select("c", "sig"), "c").join(sets, "c"), least, open_.count()))
+            return links.unionByName(_left(open_.join(classes.select("c", "sig"), "c"), sets, least, open_.count()))
         chosen = [F.min(F.struct(F.xxhash64("c", F.lit(PIVOTS * turn + i)).alias("h"), "c"))["c"] for i in range(PIVOTS)]
         pivots = open_.groupBy("band", "key").agg(F.array_distinct(F.array(*chosen)).alias("p"))
         found = open_.join(pivots, ["band", "key"]).select("c", F.explode("p").alias("p"))

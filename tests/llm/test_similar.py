@@ -77,3 +77,42 @@ def test_the_driver_rests_between_rounds(spark, monkeypatch):
     docs = [(i, edited(rng, words, rng.randrange(4))) for i in range(30)]
     kept = similar.survivors(spark.createDataFrame(docs, "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(docs) and len(rested) >= 2
+
+def test_shuffle_files_go_with_the_table_that_they_were_made_for(spark):
+    import time
+
+    from loomwork import storage
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = blocks.getAllFiles()
+        names = [found.apply(i).getName() for i in range(found.size())]
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(storage.FREED, None)
+    rows = spark.range(20_000).selectExpr("id % 1000 AS k", "id").repartition(3, "k")
+    held = [rows, storage.written(rows, "dealt")]
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and held[1].count() == 20_000
+    assert spark.conf.get(storage.FREED, None) == setting
+
+def test_sets_go_only_to_members_that_a_likely_pair_has(spark, monkeypatch):
+    from loomwork.llm import similar
+
+    rng, docs = random.Random(6), []
+    shared = [f"v{i}" for i in range(60)]
+    docs += [" ".join([*shared, *(f"a{rng.random()}" for _ in range(80))]) for _ in range(120)]  # share buckets, but are little alike
+    words = [f"w{i}" for i in range(140)]
+    docs += [edited(rng, words, rng.randrange(4)) for _ in range(12)]
+    rows = list(enumerate(docs))
+    tables, own = [], similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name, rows=None: tables.append((name, own(df, name, rows))) or tables[-1][1])
+    monkeypatch.setattr(similar, "ROUNDS", 0)
+    monkeypatch.setattr(similar, "PART", 50)
+    kept = similar.survivors(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows)
+    count = {name: t.select("c").distinct().count() for name, t in tables if name in ("open", "likely")}
+    assert count["open"] >= 60 and 2 <= count["likely"] <= 12
