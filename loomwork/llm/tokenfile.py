@@ -215,15 +215,29 @@ class Encoder:
         self.signs: dict[str, bytes] = {}
         self.seen: set[int] = set()
         self.copies: dict[str, bytes] = {}
+        self.model, level = self.own.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.names = {i: level.pre_tokenize_str(chr(i))[0][0] for i in [32, *range(128, 256)]}  # as the model has them
+        added = self.own.get_added_tokens_decoder().values()
+        self.direct = self.own.normalizer is None and isinstance(self.own.pre_tokenizer, ByteLevel) and all(x.special for x in added)
         sizes = {x: len(x) for x in ByteLevel.alphabet()}  # a byte is one character of a token's name
         vocabulary = self.own.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.data = [i.to_bytes(4, "little") for i in range(len(self.sizes))]
         for name, i in vocabulary.items():
             self.sizes[i] = sum(sizes.get(x, len(x.encode())) for x in name)
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> None:
+        """Words of letters are one piece each, with the space before them: the library's model gets them itself,
+        without cutting and without places in a text."""
+        if not self.direct:
+            return self._together(words)
+        known, names, data, model, space = self.known, self.names, self.data, self.model.tokenize, self.names[32]
+        for c in words:
+            known[c] = b"".join([data[t.id] for t in model(space + (c if c.isascii() else c.translate(names)))])
+
     def _together(self, stretches: list[str]) -> None:
         """Stretches that stay apart when they follow each other: one call for many, cut by the tokens' bytes."""
         for low in range(0, len(stretches), 4000):
@@ -252,7 +266,8 @@ class Encoder:
             else:
                 rest.append(c)
         words += {w for _, w in ended if w not in known}.difference(words)
-        self._together(words + plain)
+        self._words(words)
+        self._together(plain)
         for c, w in ended:
             end = c[len(w) :]
             if end not in signs:
@@ -301,14 +316,18 @@ class Encoder:
         stretches = parts.flatten().dictionary_encode()
         distinct = cut_up_text(stretches.dictionary)
         known, older, new = self.known, self.older, []
-        for c in distinct:
-            if c not in known:
-                if c in older:
-                    known[c] = older[c]
-                else:
-                    new.append(c)
+        own = list(map(known.get, distinct))
+        gone = [i for i, x in enumerate(own) if x is None]
+        for i in gone:
+            c = distinct[i]
+            if c in older:
+                known[c] = older[c]
+            else:
+                new.append(c)
         self._learn(new)
-        found = pa.array(list(map(known.__getitem__, distinct)), pa.large_binary()).take(stretches.indices)
+        for i in gone:
+            own[i] = known[distinct[i]]
+        found = pa.array(own, pa.large_binary()).take(stretches.indices)
         _, ends, held = found.buffers()
         edges = np.frombuffer(ends, np.int64)[parts.offsets.to_numpy()].tolist()
         data = held.to_pybytes() if held is not None else b""

@@ -484,3 +484,23 @@ def test_reach_joins_links_in_tasks(spark, monkeypatch):
         assert sorted(tuple(r) for r in simhash.reach(links).collect()) == want
         assert (len(tables) > 1) == rounds
     assert simhash.reach(links.limit(0)).count() == 0
+
+
+def test_words_of_letters_go_to_the_model_alone_with_the_librarys_ids(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomwork.llm import tokenfile
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, asked, own = Tokenizer.from_file(path), [], tokenfile.Encoder._together
+    whole.encode_special_tokens = True
+    monkeypatch.setattr(tokenfile.Encoder, "_together", lambda self, part: asked.extend(part) or own(self, part))
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    texts = ["".join(letters) + " " + " ".join(letters), " ".join(f"{a}{b}x" for a in letters for b in letters[::7]), "it isn't çà et là, endoftext <|endoftext|> a1 b. é!? x\ny", "one", "", "one two one"]
+    encoder = tokenfile.Encoder(path)
+    for _ in range(2):
+        for text, found in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(found, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert encoder.direct and not [x for x in asked if x.isalpha()]
